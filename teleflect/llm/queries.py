@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, records, warc
+from . import exact, packing, records, simhash, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), records.digest("ids").alias("ids_crc32"))
 
 
+def op4_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe(), end_id=1, with_ids=False)
 
@@ -37,5 +41,5 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), hash_all=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op3_token_records, op6_best_fit_packing, op7_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op3_token_records, op4_simhash_ball, op6_best_fit_packing, op7_exact_dedup)}
 ORACLE_SQL = {"op1_warc_capture_index": warc.SQL, "op7_exact_dedup": exact.SQL}
