@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +62,36 @@ def publish(uri: str, data: bytes) -> None:
     with fs.open_output_stream(part) as out:
         out.write(data)
     fs.move(part, path)
+
+
+def whole_runs(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows sorted by keys, regrouped so that no run of equal keys is torn: (rows, run of each row, whether that run is hot).
+
+    A run of over `most` rows is hot; it comes in parts as it arrives, so that memory stays bounded.
+    """
+    held, hot_key = None, None
+    for b in itertools.chain(batches, [None]):
+        parts = [x for x in (held, b) if x is not None and len(x)]
+        if not parts:
+            continue
+        rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
+        values = [rows[k].to_numpy() for k in keys]
+        new = np.ones(len(rows), bool)
+        new[1:] = np.any([v[1:] != v[:-1] for v in values], axis=0)
+        starts = np.flatnonzero(new)
+        goes_on = hot_key is not None and tuple(v[0] for v in values) == hot_key
+        held, hot_key = None, None
+        if b is not None:  # the last run may go on in the next batch
+            tail = int(starts[-1])
+            if len(rows) - tail > most or (goes_on and tail == 0):
+                hot_key = tuple(v[-1] for v in values)
+            else:
+                held, rows, starts = rows.iloc[tail:], rows.iloc[:tail], starts[:-1]
+        if not len(rows):
+            continue
+        sizes = np.diff(np.append(starts, len(rows)))
+        hot = sizes > most
+        hot[0] |= goes_on
+        hot[-1] |= hot_key is not None
+        run = np.repeat(np.arange(len(starts)), sizes)
+        yield rows, run, hot[run]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, partitions, stored
+from .common import broadcast_if_small, partitions, stored, whole_runs
 from .components import components
 
 BITS = 64
@@ -76,37 +76,11 @@ def _meet(rows: DataFrame, radius: int, most: int) -> DataFrame:
     """rows(block, key, fp) -> a, b, hot: verified pairs a < b; or, where over `most` fingerprints share a value, a = fp and b = key."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, hot_at = None, None  # the last, perhaps unfinished run; the value whose rows go out as hot
-        for b in itertools.chain(batches, [None]):
-            now = [x for x in (held, b) if x is not None and len(x)]
-            if not now:
-                continue
-            now = pd.concat(now, ignore_index=True)
-            block, key, fp = (now[c].to_numpy() for c in ("block", "key", "fp"))
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
-            starts = np.flatnonzero(new)
-            held = None
-            if b is not None:  # the last run may go on in the next batch
-                tail = int(starts[-1])
-                is_hot = (block[tail], key[tail]) == hot_at
-                if not is_hot and len(key) - tail <= most:
-                    held = now.iloc[tail:]
-                    block, key, fp, starts = block[:tail], key[:tail], fp[:tail], starts[:-1]
-                elif len(key):
-                    hot_at_next = (block[tail], key[tail])
-            if not len(key):
-                continue
-            sizes = np.diff(np.append(starts, len(key)))
-            run = np.repeat(np.arange(len(starts)), sizes)
-            hot_run = sizes > most
-            if hot_at is not None and (block[0], key[0]) == hot_at:
-                hot_run[0] = True
-            if b is not None and held is None:
-                hot_run[-1], hot_at = True, hot_at_next
-            hot = hot_run[run]
+        for rows, run, hot in whole_runs(batches, ["block", "key"], most):
+            block, key, fp = (rows[c].to_numpy() for c in ("block", "key", "fp"))
             if hot.any():
                 yield pd.DataFrame({"a": fp[hot], "b": key[hot], "block": block[hot], "hot": True})
-            cool, runs = fp[~hot].view(np.uint64), run[~hot]
+            cool, runs = fp[~hot].astype(np.int64).view(np.uint64), run[~hot]
             step = 1
             while step < len(cool):
                 same = np.flatnonzero(runs[step:] == runs[:-step])
