@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, records, simhash, substring, warc
+from . import exact, language, packing, records, simhash, substring, warc
 from .common import table
 
 
@@ -23,6 +23,12 @@ def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_captures(pages, top).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = records.write_records(table(spark, sf_dir, "documents"), word_bpe(), end_id=2)
     rows = records.read_records(files)
@@ -45,5 +51,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op3_token_records, op4_simhash_ball, op6_best_fit_packing, op7_exact_dedup, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_kneser_ney_language_id, op3_token_records, op4_simhash_ball, op6_best_fit_packing, op7_exact_dedup, op10_substring_dedup)}
 ORACLE_SQL = {"op1_warc_capture_index": warc.SQL, "op7_exact_dedup": exact.SQL, "op10_substring_dedup": substring.SQL}
