@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, packing, records, simhash, substring, warc
+from . import exact, language, packing, records, simhash, substring, toxicity, warc
 from .common import table
 
 
@@ -39,6 +39,13 @@ def op4_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), with_spans=True)
+    predicted = (F.col("score") >= toxicity.CUT).cast("int")
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), "spans")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe(), end_id=1, with_ids=False)
 
@@ -51,5 +58,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_kneser_ney_language_id, op3_token_records, op4_simhash_ball, op6_best_fit_packing, op7_exact_dedup, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_kneser_ney_language_id, op3_token_records, op4_simhash_ball, op5_crf_toxicity, op6_best_fit_packing, op7_exact_dedup, op10_substring_dedup)}
 ORACLE_SQL = {"op1_warc_capture_index": warc.SQL, "op7_exact_dedup": exact.SQL, "op10_substring_dedup": substring.SQL}
