@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, packing, records, simhash, substring, toxicity, warc
+from . import benchmark, exact, language, licenses, packing, records, simhash, substring, toxicity, warc
 from .common import table
 
 
@@ -54,9 +54,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), hash_all=True)
 
 
+def op8_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_kneser_ney_language_id, op3_token_records, op4_simhash_ball, op5_crf_toxicity, op6_best_fit_packing, op7_exact_dedup, op10_substring_dedup)}
-ORACLE_SQL = {"op1_warc_capture_index": warc.SQL, "op7_exact_dedup": exact.SQL, "op10_substring_dedup": substring.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_kneser_ney_language_id, op3_token_records, op4_simhash_ball, op5_crf_toxicity, op6_best_fit_packing, op7_exact_dedup, op8_license_set_join, op9_template_decontamination, op10_substring_dedup)}
+ORACLE_SQL = {"op1_warc_capture_index": warc.SQL, "op7_exact_dedup": exact.SQL, "op8_license_set_join": licenses.SQL, "op10_substring_dedup": substring.SQL}
