@@ -10,14 +10,16 @@ from ..params import Fix, Queue
 
 
 def score(candidates: DataFrame, p: Queue = Queue()) -> DataFrame:
-    """candidates(severity 0..1, hours_left, z_slope, members, at_risk_groups, in_service, behaviour, not_fixed) with score and pinned."""
+    """candidates(severity 0..1, hours_left, z_slope, members, at_risk_groups, in_service, behaviour, not_fixed, perhaps at_risk_only) with score and pinned."""
     unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     trend = F.greatest(unit(F.coalesce("z_slope", F.lit(0.0)) / p.full_z), F.coalesce(unit(1 - F.col("hours_left") / p.horizon_h), F.lit(0.0)))
     share = lambda c: unit(F.log2(1 + F.coalesce(F.col(c), F.lit(0)).cast("double")) / F.log2(F.lit(1.0 + p.full_at)))
     campaign = F.greatest(share("members"), p.at_risk_factor * share("at_risk_groups"))
     behaviour = unit((F.coalesce("behaviour", F.lit(1.0)) - 1) / (p.behaviour_full - 1))
     a, b, c, d, e, f = p.weights
-    total = a * F.col("severity") + b * trend + c * campaign + d * F.col("in_service").cast("double") + e * behaviour + f * F.col("not_fixed").cast("double")
+    # a unit that is only at risk (no incident, no membership, no failed repair) counts less
+    less = F.when(F.col("at_risk_only"), p.at_risk_factor).otherwise(1.0) if "at_risk_only" in candidates.columns else F.lit(1.0)
+    total = (a * F.col("severity") + b * trend) * less + c * campaign + d * F.col("in_service").cast("double") + e * behaviour + f * F.col("not_fixed").cast("double")
     return candidates.withColumns({"score": F.round(total, 6), "pinned": F.col("severity") >= p.critical})
 
 

@@ -18,10 +18,10 @@ def level_clues(level: Column, normal: Column, z: Column, slope: Column, hours_l
     )
 
 
-def waiting_cost(hours_left: Column, hazard: Column, days: Column, full: float, planned: float) -> Column:
-    """Chance of a breakdown while it waits, times what a breakdown costs beyond a planned repair."""
-    chance = F.when(hours_left.isNotNull(), F.least(F.lit(1.0), days * 24 / F.greatest(hours_left, F.lit(0.01)))).otherwise(1 - F.pow(1 - hazard, days))
-    return F.round(chance * (full - planned), 0)
+def waiting_cost(hours_left: Column, hazard: Column, days: Column, full: float) -> Column:
+    """Chance of a breakdown before its bay, times what a breakdown costs: from the time to the limit where it is known, else from a daily hazard."""
+    chance = F.when(hours_left.isNotNull(), F.least(F.lit(1.0), days * 24 / F.greatest(hours_left, F.lit(1.0)))).otherwise(1 - F.pow(1 - hazard, days))
+    return F.when(days <= 0, 0.0).otherwise(F.round(chance * full, 0))
 
 
 def merge_actions(actions: DataFrame, key: str) -> DataFrame:

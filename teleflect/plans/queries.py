@@ -441,7 +441,7 @@ def candidates(spark: SparkSession, sf: str, before: str = "2024-02-01") -> Data
     worst = F.max(F.when(F.col("evt") == "error", F.col("y")))
     severity = F.when(worst > 250, 1.0).when(worst > 150, 0.7).when(worst > 80, 0.4).otherwise(0.0)
     agg = r.groupBy("vin").agg(severity.alias("severity"), F.when(worst > 200, F.round(300 - worst, 2)).alias("hours_left"), F.max(F.when(F.col("metric") == "rate", F.col("k") / 25.0)).alias("z_slope"), F.count_if((F.col("evt") == "error") & (F.col("k") > 70)).alias("members"), F.count_if(F.col("k") == 50).alias("at_risk_groups"))
-    return agg.join(fleet.registry(spark, sf).select("vin", "depot_id"), "vin").withColumns({"in_service": F.col("vin") % 2 == 0, "behaviour": 1 + (F.col("vin") % 4) * 0.5, "not_fixed": F.col("vin") % 9 == 0})
+    return agg.join(fleet.registry(spark, sf).select("vin", "depot_id"), "vin").withColumns({"in_service": F.col("vin") % 2 == 0, "behaviour": 1 + (F.col("vin") % 4) * 0.5, "not_fixed": F.col("vin") % 9 == 0, "at_risk_only": (F.col("members") == 0) & (F.col("vin") % 9 != 0)})
 
 
 def ranked(spark: SparkSession, sf: str, before: str = "2024-02-01") -> DataFrame:
@@ -451,7 +451,7 @@ def ranked(spark: SparkSession, sf: str, before: str = "2024-02-01") -> DataFram
 def _queue_sql(n: str, before: str) -> str:
     return f""", c{n} AS (SELECT r.vin, depot_id, max(y) FILTER (evt = 'error') AS worst, max(k / 25.0) FILTER (metric = 'rate') AS zs, count(*) FILTER (evt = 'error' AND k > 70) AS members, count(*) FILTER (k = 50) AS arg FROM r JOIN veh USING (vin) WHERE ts < TIMESTAMP '{before}' GROUP BY ALL),
 p{n} AS (SELECT vin, depot_id, CASE WHEN worst > 250 THEN 1.0 WHEN worst > 150 THEN 0.7 WHEN worst > 80 THEN 0.4 ELSE 0.0 END AS severity, CASE WHEN worst > 200 THEN round(300 - worst, 2) END AS hl, coalesce(zs, 0) AS zs, members, arg FROM c{n}),
-q{n} AS (SELECT vin, depot_id, severity >= 1 AS pinned, hl, round(CAST(0.35 * severity + 0.25 * greatest(least(1, greatest(0, zs / 4)), coalesce(least(1, greatest(0, 1 - hl / 72)), 0)) + 0.2 * greatest(least(1, log2(1 + members) / log2(21)), 0.5 * least(1, log2(1 + arg) / log2(21))) + 0.1 * CASE WHEN vin % 2 = 0 THEN 1 ELSE 0 END + 0.1 * (vin % 4) * 0.5 / 2 + 0.15 * CASE WHEN vin % 9 = 0 THEN 1 ELSE 0 END AS DOUBLE), 6) AS score FROM p{n}),
+q{n} AS (SELECT vin, depot_id, severity >= 1 AS pinned, hl, round(CAST((0.35 * severity + 0.25 * greatest(least(1, greatest(0, zs / 4)), coalesce(least(1, greatest(0, 1 - hl / 72)), 0))) * CASE WHEN members = 0 AND vin % 9 <> 0 THEN 0.5 ELSE 1 END + 0.2 * greatest(least(1, log2(1 + members) / log2(21)), 0.5 * least(1, log2(1 + arg) / log2(21))) + 0.1 * CASE WHEN vin % 2 = 0 THEN 1 ELSE 0 END + 0.1 * (vin % 4) * 0.5 / 2 + 0.15 * CASE WHEN vin % 9 = 0 THEN 1 ELSE 0 END AS DOUBLE), 6) AS score FROM p{n}),
 k{n} AS (SELECT *, row_number() OVER (PARTITION BY depot_id ORDER BY pinned DESC, CASE WHEN pinned THEN hl END ASC NULLS LAST, score DESC, vin) AS rank FROM q{n}),
 e{n} AS (SELECT k.*, pinned OR score >= 0.4 AS eligible, 1 + depot_id % 3 AS bays FROM k{n} k),
 s{n} AS (SELECT *, CASE WHEN NOT eligible THEN 'WAITING' WHEN row_number() OVER (PARTITION BY depot_id, eligible ORDER BY rank) <= bays THEN 'TODAY' WHEN row_number() OVER (PARTITION BY depot_id, eligible ORDER BY rank) <= 2 * bays THEN 'TOMORROW' ELSE 'WAITING' END AS slot FROM e{n}),

@@ -21,10 +21,10 @@ def clue_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vin", "seq", F.array_join(clues, "; ").alias("clues"))
 
 
-@query("SELECT vin, seq, round((CASE WHEN k > 80 THEN least(1, (k % 4) * 24 / (100.5 - k)) ELSE 1 - pow(0.95, k % 4) END) * 39000, 0) AS cost FROM r WHERE evt = 'error'")
+@query("SELECT vin, seq, round((CASE WHEN k > 80 THEN least(1, (k % 4) * 24 / greatest(1.0, 100.5 - k)) ELSE 1 - pow(0.95, k % 4) END) * 51000, 0) AS cost FROM r WHERE evt = 'error'")
 def cost_of_waiting(spark: SparkSession, sf: str) -> DataFrame:
     r = fleet.readings(spark, sf).filter("evt = 'error'")
-    cost = V.waiting_cost(F.when(F.col("k") > 80, 100.5 - F.col("k")), F.lit(0.05), F.col("k") % 4, 51_000, 12_000)
+    cost = V.waiting_cost(F.when(F.col("k") > 80, 100.5 - F.col("k")), F.lit(0.05), F.col("k") % 4, 51_000)
     return r.select("vin", "seq", cost.alias("cost"))
 
 

@@ -15,6 +15,7 @@ from teleflect.operators import detect as D
 from teleflect.operators import evaluate as E
 from teleflect.operators import joins as J
 from teleflect.operators import queue as Q
+from teleflect.operators import views as V
 from teleflect.params import Baselines, Campaign, Fix, Metric
 from teleflect.sources import raw
 from teleflect.streaming import jobs
@@ -262,6 +263,14 @@ def test_raw_shapes_agree(spark):
     assert [r["error_code"] for r in dead.orderBy("offset").collect()] == ["MALFORMED_JSON", "UNKNOWN_SHAPE", "SCHEMA_INVALID", "INVALID_VIN", "MALFORMED_JSON", "MALFORMED_JSON"]
 
 
+def test_waiting_cost_and_clues(spark):
+    cost = lambda left, hazard, days: one(spark, V.waiting_cost(F.lit(left).cast("double"), F.lit(hazard), F.lit(days), 51_000))
+    assert (cost(12.0, 0.05, 1), cost(None, 0.05, 1), cost(48.0, 0.05, 1), cost(12.0, 0.05, 0)) == (51_000, 2_550, 25_500, 0)
+    clues = one(spark, V.level_clues(F.lit(97.0), F.lit(90.0), F.lit(4.0), F.lit(0.8), F.lit(5.2), "°C"))
+    assert clues == ["7.0 °C above its own normal", "rising 0.8 °C an hour", "limit in 6 h"]
+    assert one(spark, V.level_clues(F.lit(90.1), F.lit(90.0), F.lit(0.1), F.lit(0.0), F.lit(None).cast("double"), "°C")) == []
+
+
 def test_average_precision(spark):
     df = spark.createDataFrame([("g", i, s, y) for i, (s, y) in enumerate(((0.9, 1), (0.8, 0), (0.7, 1), (0.6, 0)))], "g string, id int, score double, label int")
     assert E.average_precision(df, ["g"]).first()["average_precision"] == pytest.approx(0.5 * 1 + 0.5 * 2 / 3)
