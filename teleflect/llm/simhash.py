@@ -72,25 +72,39 @@ def _emit(fps: DataFrame, masks: list[int], shift: int, width: int) -> DataFrame
     return fps.select("fp", values.alias("mask")).select("fp", F.col("fp").bitwiseAND(F.lit(own)).bitwiseXOR(F.col("mask")).alias("key"))
 
 
+def _spanning(run: np.ndarray, lanes: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs within `radius` bits inside each run, as many as keep together what all of them join.
+
+    Each row links to the first row near it, and to another near one only if that one has another first: else both
+    hang on the same row already.
+    """
+    pairs, step = [np.zeros((2, 0), np.int64)], 1
+    while step < len(run):
+        same = np.flatnonzero(run[step:] == run[:-step])
+        if not len(same):
+            break
+        near = sum(np.bitwise_count(x[same] ^ x[same + step]) for x in lanes) <= radius
+        pairs.append(np.stack([same, same + step])[:, near])
+        step += 1
+    j, i = np.concatenate(pairs, axis=1)
+    first = np.arange(len(run))
+    np.minimum.at(first, i, j)
+    use = (first[i] == j) | (first[j] != first[i])
+    return j[use], i[use]
+
+
 def _meet(rows: DataFrame, radius: int, most: int) -> DataFrame:
-    """rows(block, key, fp) -> a, b, hot: verified pairs a < b; or, where over `most` fingerprints share a value, a = fp and b = key."""
+    """rows(block, key, fp) -> a, b, hot: verified pairs a < b that keep together what all pairs join; or, where over `most` fingerprints share a value, a = fp and b = key."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, run, hot in whole_runs(batches, ["block", "key"], most):
             block, key, fp = (rows[c].to_numpy() for c in ("block", "key", "fp"))
             if hot.any():
                 yield pd.DataFrame({"a": fp[hot], "b": key[hot], "block": block[hot], "hot": True})
-            cool, runs = fp[~hot].astype(np.int64).view(np.uint64), run[~hot]
-            step = 1
-            while step < len(cool):
-                same = np.flatnonzero(runs[step:] == runs[:-step])
-                if not len(same):
-                    break
-                near = same[np.bitwise_count(cool[same] ^ cool[same + step]) <= radius]
-                if len(near):
-                    a, c = cool[near].view(np.int64), cool[near + step].view(np.int64)
-                    yield pd.DataFrame({"a": np.minimum(a, c), "b": np.maximum(a, c), "block": -1, "hot": False})
-                step += 1
+            cool = fp[~hot].astype(np.int64)
+            j, i = _spanning(run[~hot], [cool.view(np.uint64)], radius)
+            if len(i):
+                yield pd.DataFrame({"a": np.minimum(cool[i], cool[j]), "b": np.maximum(cool[i], cool[j]), "block": -1, "hot": False})
 
     n = partitions(rows.sparkSession)
     return rows.repartition(n, "block", "key").sortWithinPartitions("block", "key").mapInPandas(scan, "a long, b long, block int, hot boolean")
