@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Block, Lookup, blocks, class_of, mixed
+from .words import Block, Lookup, blocks, class_of, mixed, worker_table
 
 UNKNOWN = "und"
 START, END = "\x02", "\x03"
@@ -156,7 +156,7 @@ class Identifier:
 class _Scorer:
     """Sums over the words of a text; each distinct word is scored once per worker, in a table that restarts when full."""
 
-    def __init__(self, identifier: Identifier, most: int = 600_000):
+    def __init__(self, identifier: Identifier, most: int = 400_000):
         self.identifier, self.most = identifier, most
         self._clear()
 
@@ -185,14 +185,8 @@ class _Scorer:
         return done[first[1:]] - done[first[:-1]]
 
 
-_scorers: dict[str, _Scorer] = {}
-
-
 def _sums(texts: pd.Series, identifier: Identifier) -> np.ndarray:
-    if identifier.key not in _scorers:
-        _scorers.clear()
-        _scorers[identifier.key] = _Scorer(identifier)
-    scorer = _scorers[identifier.key]
+    scorer = worker_table(("language", identifier.key), lambda: _Scorer(identifier))
     parts = [scorer.sums(block) for block in blocks((t or "").lower().encode() for t in texts)]
     return np.concatenate(parts) if parts else np.zeros((0, 2 * len(identifier.models) + 1))
 

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from .words import Block, Lookup, blocks, class_of
+from .words import Block, Lookup, blocks, class_of, worker_table
 
 #: Punctuation that no contraction pattern and no special token contains.
 _TAIL = class_of(b".,;:!?%&*$#")
@@ -29,7 +29,7 @@ def _plain(text: str | None) -> bytes:
 class WordEncoder:
     """encode(texts) gives the ids of each text. Memory is bounded: the table of words restarts after `most` of them."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -93,11 +93,6 @@ class WordEncoder:
                 yield ids[a:b]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker and tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """The worker's encoder for a tokenizer file."""
+    return worker_table(("tokens", path), lambda: WordEncoder(path))

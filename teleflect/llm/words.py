@@ -92,6 +92,17 @@ def windows(h: np.ndarray, first: np.ndarray, k: int, which: int = 0) -> tuple[n
     return at, mixed((sums[at + k] - sums[at]) * down[at])
 
 
+_table: list = []
+
+
+def worker_table(key, make):
+    """make(), kept by this Python worker until another key is asked for: workers serve many stages, and each holds one large table at a time."""
+    if not _table or _table[0] != key:
+        _table.clear()
+        _table.extend((key, make()))
+    return _table[1]
+
+
 class Lookup:
     """Sorted hash array: a growing map from 64-bit hashes to codes 0, 1, 2, ... in order of arrival."""
 
