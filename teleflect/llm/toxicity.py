@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import _GAPS, held_out, letters
-from .words import Block, Lookup, blocks, mixed
+from .words import Block, Lookup, blocks, worker_table
 
 BUCKETS = 1 << 16
 CUT = 0.3
+#: Twice the log-likelihood ratio that makes a word a seed: 10 is a chance of about one in 600.
+SURE = 10
 #: Word starts and ends, with their lengths.
 _PARTS = ((0, 0), (1, 4), (1, 5), (1, 6), (2, 3), (2, 4))
 
@@ -148,14 +150,8 @@ class _Tagger:
         return b, forward_backward(self.emit[codes[code_of]], b.first, self.model.trans)
 
 
-_taggers: dict[str, _Tagger] = {}
-
-
 def _tagger(model: Field) -> _Tagger:
-    if model.key not in _taggers:
-        _taggers.clear()
-        _taggers[model.key] = _Tagger(model)
-    return _taggers[model.key]
+    return worker_table(("toxicity", model.key), lambda: _Tagger(model))
 
 
 def evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -198,9 +194,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, tokens: int = 40
     by_word = rows.mapInPandas(spread, "word string, toxic int, near int").groupBy("word").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), F.countDistinct(F.when(F.col("toxic") == 1, F.col("near"))).alias("places"))
     n_bad, n_good = (min(sample, sizes[k]) for k in (1, 0))
+    # far more often than by chance: a likelihood-ratio test of the two counts, and a large ratio
+    both, q = F.col("bad") + F.col("good"), n_bad / (n_bad + n_good)
+    part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * share))).otherwise(0.0)
+    unlikely = 2 * (part("bad", q) + part("good", 1 - q))
     odds = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("good") + 0.5) / (n_good + 1))
-    least = max(3, 0.002 * n_bad)
-    seeds = {r["word"] for r in by_word.filter((odds >= 8) & (F.col("places") >= least) & (F.col("places") >= 0.4 * F.col("bad"))).select("word").collect() if r["word"]}  # words of the bounded sample
+    seeds = {r["word"] for r in by_word.filter((odds >= 8) & (unlikely >= SURE) & (F.col("places") >= 0.4 * F.col("bad"))).select("word").collect() if r["word"]}  # words of the bounded sample
     sample_rows = rows.select("doc_id", "text", F.col("toxic").cast("int")).toPandas().sort_values(["doc_id"])
 
     with_seed, without = [], []
