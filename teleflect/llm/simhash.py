@@ -160,44 +160,50 @@ def hex_of(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _roots(n: int, j: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Smallest index that each of n rows reaches over the links (j, i)."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, i, root[j])
+        np.minimum.at(new, j, root[i])
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
 def _wide_scan(radius: int, most: int):
-    """Links inside the runs of equal (block, key): as many as keep together what pairs within `radius` bits join."""
-
-    def near(lanes: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count(x[i] ^ x[j]) for x in lanes) <= radius
-
-    def inside(doc: np.ndarray, run: np.ndarray, lanes: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        """Each row links to the first row near it, and to another only if that one has another first."""
-        pairs, step = [], 1
-        while step < len(run):
-            same = np.flatnonzero(run[step:] == run[:-step])
-            if not len(same):
-                break
-            pairs.append(np.stack([same, same + step])[:, near(lanes, same, same + step)])
-            step += 1
-        if pairs:
-            j, i = np.concatenate(pairs, axis=1)
-            first = np.arange(len(run))
-            np.minimum.at(first, i, j)
-            use = (first[i] == j) | (first[j] != first[i])
-            yield pd.DataFrame({"u": doc[j[use]], "v": doc[i[use]]})
+    """Links inside the runs of equal (block, key): each row to the smallest document that pairs within `radius` bits lead to there."""
+
+    def inside(doc: np.ndarray, run: np.ndarray, lanes: list[np.ndarray]) -> np.ndarray:
+        return _roots(len(doc), *_spanning(run, lanes, radius))
+
+    def linked(doc: np.ndarray, root: np.ndarray) -> pd.DataFrame:
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pd.DataFrame({"u": doc[root[moved]], "v": doc[moved]})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaders: tuple | None = None  # of the hot run that comes in parts: its key, doc and lanes of its first rows
+        leaders: tuple | None = None  # of the hot run that comes in parts: its key, its first rows' roots and lanes
         for rows, run, hot in whole_runs(batches, ["block", "key"], most):
             doc, lanes = rows["first"].to_numpy(), [rows[c].to_numpy().view(np.uint64) for c in ("f0", "f1")]
-            yield from inside(doc[~hot], run[~hot], [x[~hot] for x in lanes])
-            for r in np.unique(run[hot]):  # a run of over `most` rows: parts by themselves, each row with the run's first ones too
+            cool = doc[~hot]
+            yield linked(cool, inside(cool, run[~hot], [x[~hot] for x in lanes]))
+            for r in np.unique(run[hot]):  # over `most` rows: parts of that size by themselves, and each row with the run's first ones
                 at = np.flatnonzero(run == r)
+                own, own_lanes = doc[at], [x[at] for x in lanes]
+                root = inside(own, np.arange(len(at)) // most, own_lanes)
+                yield linked(own, root)
                 key = (rows["block"].iloc[at[0]], rows["key"].iloc[at[0]])
                 if leaders is None or leaders[0] != key:
-                    leaders = (key, doc[at[:most]], [x[at[:most]] for x in lanes])
-                yield from inside(doc[at], np.arange(len(at)) // most, [x[at] for x in lanes])
-                for i in range(len(leaders[1])):
-                    d = sum(np.bitwise_count(x[at] ^ y[i]) for x, y in zip(lanes, leaders[2], strict=True))
-                    hit = at[(d <= radius) & (doc[at] != leaders[1][i])]
-                    if len(hit):
-                        yield pd.DataFrame({"u": leaders[1][i], "v": doc[hit]})
+                    leaders = (key, own[root[:most]], [x[:most] for x in own_lanes])
+                pairs = []
+                for i, lead in enumerate(leaders[1].tolist()):
+                    d = sum(np.bitwise_count(x ^ y[i]) for x, y in zip(own_lanes, leaders[2], strict=True))
+                    hit = own[root[d <= radius]]
+                    pairs.append(np.stack([np.full(len(hit), lead), hit]))
+                u, v = np.unique(np.concatenate(pairs, axis=1), axis=1)
+                yield pd.DataFrame({"u": u[u != v], "v": v[u != v]})
 
     return scan
 
@@ -233,7 +239,7 @@ def similar_groups(docs: DataFrame, k: int = 5, radius: int = 26, width: int = 2
     rows = classes.select("first", "f0", "f1", F.explode(F.array(*values)).alias("b"))
     rows = rows.select("first", "f0", "f1", F.col("b.block").alias("block"), F.col("b.own").alias("own"), F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
     rows = rows.select("first", "f0", "f1", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
-    met = rows.repartition(partitions(docs.sparkSession), "block", "key").sortWithinPartitions("block", "key").mapInPandas(_wide_scan(radius, most), "u long, v long")
+    met = rows.repartition(partitions(docs.sparkSession), "block", "key").sortWithinPartitions("block", "key", "first").mapInPandas(_wide_scan(radius, most), "u long, v long")
     roots = components(stored(met.filter("u <> v").distinct(), "wide-links"))
     named = classes.join(roots, F.col("first") == F.col("node"), "left").select("f0", "f1", F.coalesce("root", "first").alias("component_id"))
     return prints.join(named, ["f0", "f1"], "left").select("doc_id", "component_id")
