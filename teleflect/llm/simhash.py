@@ -15,16 +15,17 @@ that grows with the number of fingerprints. Null and blank texts have fingerprin
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, partitions, stored, whole_runs
 from .components import components
+from .words import Block, blocks, mixed, windows
 
 BITS = 64
 
@@ -160,92 +161,119 @@ def hex_of(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _roots(n: int, j: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """Smallest index that each of n rows reaches over the links (j, i)."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, i, root[j])
-        np.minimum.at(new, j, root[i])
-        new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
+def shingle_sets(texts: Iterable[str | None], k: int = 5) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its k-word shingles, ASCII capitals lowered; a text of fewer words is one shingle, a blank one none."""
+    for block in blocks((t or "").encode().lower() for t in texts):
+        b = Block(block)
+        first = b.first
+        at, hashes = windows(b.hashes(b.starts, b.ends), first, k)
+        cuts = np.searchsorted(at, first)
+        for i, text in enumerate(block):
+            if cuts[i] == cuts[i + 1] and first[i] < first[i + 1]:
+                yield np.array([xxhash.xxh64_intdigest(b" ".join(text.split()), 42)], np.uint64)
+            else:
+                yield np.unique(hashes[cuts[i] : cuts[i + 1]])
 
 
-def _wide_scan(radius: int, most: int):
-    """Links inside the runs of equal (block, key): each row to the smallest document that pairs within `radius` bits lead to there."""
+#: Bands and minima a band: two sets of similarity 0.8 share a band with probability 1 - (1 - 0.8**6)**32 = 0.99994.
+BANDS = (32, 6)
 
-    def inside(doc: np.ndarray, run: np.ndarray, lanes: list[np.ndarray]) -> np.ndarray:
-        return _roots(len(doc), *_spanning(run, lanes, radius))
 
-    def linked(doc: np.ndarray, root: np.ndarray) -> pd.DataFrame:
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"u": doc[root[moved]], "v": doc[moved]})
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of MinHash values of a set; none for an empty set."""
+    n, each = BANDS
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    flip, times = np.random.default_rng(42).integers(1 << 64, size=(2, n * each), dtype=np.uint64)
+    times |= np.uint64(1)
+    least = np.full(n * each, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(shingles), 512):
+        least = np.minimum(least, ((shingles[at : at + 512, None] ^ flip) * times).min(axis=0))
+    keys = np.arange(1, n + 1, dtype=np.uint64)
+    for column in least.reshape(n, each).T:
+        keys = mixed((keys ^ column) * np.uint64(0x9E3779B97F4A7C15))
+    return keys.view(np.int64)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaders: tuple | None = None  # of the hot run that comes in parts: its key, its first rows' roots and lanes
-        for rows, run, hot in whole_runs(batches, ["block", "key"], most):
-            doc, lanes = rows["first"].to_numpy(), [rows[c].to_numpy().view(np.uint64) for c in ("f0", "f1")]
-            cool = doc[~hot]
-            yield linked(cool, inside(cool, run[~hot], [x[~hot] for x in lanes]))
-            for r in np.unique(run[hot]):  # over `most` rows: parts of that size by themselves, and each row with the run's first ones
-                at = np.flatnonzero(run == r)
-                own, own_lanes = doc[at], [x[at] for x in lanes]
-                root = inside(own, np.arange(len(at)) // most, own_lanes)
-                yield linked(own, root)
-                key = (rows["block"].iloc[at[0]], rows["key"].iloc[at[0]])
-                if leaders is None or leaders[0] != key:
-                    leaders = (key, own[root[:most]], [x[:most] for x in own_lanes])
-                pairs = []
-                for i, lead in enumerate(leaders[1].tolist()):
-                    d = sum(np.bitwise_count(x ^ y[i]) for x, y in zip(own_lanes, leaders[2], strict=True))
-                    hit = own[root[d <= radius]]
-                    pairs.append(np.stack([np.full(len(hit), lead), hit]))
-                u, v = np.unique(np.concatenate(pairs, axis=1), axis=1)
-                yield pd.DataFrame({"u": u[u != v], "v": v[u != v]})
-
-    return scan
-
-
-def similar_groups(docs: DataFrame, k: int = 5, radius: int = 26, width: int = 24, most: int = 512) -> DataFrame:
-    """doc_id, component_id of every row, by 128-bit SimHash of k-word shingles and ball hashing on stretches of its bits.
-
-    For texts that share much, but less than a 64-bit radius of 4 asks for: shingle sets of similarity (Jaccard) 0.8
-    differ in some 15 % of the bits, far more than a whole ball can reach. So each of five stretches of `width` bits
-    emits its ball of radius 1 (25 values), which meets whatever differs in at most 2 of those bits, and pairs that
-    meet are verified on all 128 (radius 26: 20 %; texts with nothing in common differ in about half, and one
-    in 10**11 pairs of them in so few). Of pairs at 0.8 about four in five meet, at 0.9 nearly all. Unlike `links`
-    this may miss a pair near the threshold; it is as wide as the shuffle allows. Rows of one doc_id count as one.
+
+def _alike(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """Of pairs(a, b) of classes those whose shingle sets have a Jaccard similarity of `least` or more, as u, v."""
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            hit = [same >= least * (len(x) + len(y) - same) for x, y in zip(shingle_sets(rows["ta"], k), shingle_sets(rows["tb"], k), strict=True) for same in [len(np.intersect1d(x, y, assume_unique=True))]]
+            yield rows.loc[np.array(hit, bool), ["a", "b"]].rename(columns={"a": "u", "b": "v"})
+
+    side = lambda name, text: texts.select(F.col("cls").alias(name), F.col("text").alias(text))
+    return pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb").mapInPandas(test, "u long, v long")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows(cls, ...) with the smallest class that links lead to from each."""
+    return rows.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+
+
+def _similar_links(meetings: DataFrame, texts: DataFrame, k: int, least: float, most: int) -> DataFrame:
+    """Links that join the same classes as all pairs of `least` that share a key of meetings(key, cls, low, n) do.
+
+    A bucket of up to `most` classes has all its pairs tested. In a larger one each class is tested with the smallest
+    first; then every pair that these links leave in different components is. At least one of such a pair lies outside
+    the bucket's largest component, so only those are set against the whole bucket, and a large group of near copies
+    is gone through once instead of pair by pair.
     """
+    few, many = meetings.filter(F.col("n") <= most).select("key", "cls"), meetings.filter(F.col("n") > most)
+    pairs = few.withColumnRenamed("cls", "a").join(few.withColumnRenamed("cls", "b"), "key").filter("a < b").select("a", "b")
+    pairs = stored(pairs.unionByName(many.filter("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b"))).distinct(), "near-pairs")
+    links = stored(_alike(pairs, texts, k, least), "near-links")
+    if not many.limit(1).count():
+        return links
+    rows = stored(_rooted(many.select("key", "cls"), components(links)), "near-rooted")
+    sizes = rows.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
+    rows = rows.join(sizes.filter("roots > 1").drop("roots"), "key")
+    apart = rows.filter("root <> main").select("key", F.col("cls").alias("x"), F.col("root").alias("rx")).join(rows.select("key", F.col("cls").alias("y"), F.col("root").alias("ry")), "key").filter("rx <> ry")
+    apart = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    return links.unionByName(stored(_alike(stored(apart, "near-apart"), texts, k, least), "near-links"))
+
+
+def _text_hash() -> F.Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _similar(docs: DataFrame, k: int, least: float, most: int) -> DataFrame:
+    """doc_id, h (hash of its text), component_id and kept of every row, kept: its component's smallest doc_id, and of several texts with that one of them."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            lanes = [np.array([fingerprint(t, k, seed) for t in b["text"]], np.uint64).view(np.int64) for seed in (42, 43)]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "f0": lanes[0], "f1": lanes[1]})
-
-    prints = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(each, "doc_id long, f0 long, f1 long"), "wide-fingerprints")
-    classes = stored(prints.filter("doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("first")), "wide-classes")
-    masks = [1 << i for i in range(width)] + [0]
-    mask = (1 << width) - 1
-    values = []
-    for block in range(2 * BITS // width):
-        lane, at = ("f0", block * width) if (block + 1) * width <= BITS else ("f1", block * width - BITS)
-        if at < 0:  # a stretch over both lanes
-            low = F.shiftrightunsigned(F.col("f0"), block * width).bitwiseOR(F.shiftleft(F.col("f1"), BITS - block * width))
-        else:
-            low = F.shiftrightunsigned(F.col(lane), at)
-        values.append(F.struct(F.lit(block).alias("block"), low.bitwiseAND(F.lit(mask)).alias("own")))
-    rows = classes.select("first", "f0", "f1", F.explode(F.array(*values)).alias("b"))
-    rows = rows.select("first", "f0", "f1", F.col("b.block").alias("block"), F.col("b.own").alias("own"), F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
-    rows = rows.select("first", "f0", "f1", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
-    met = rows.repartition(partitions(docs.sparkSession), "block", "key").sortWithinPartitions("block", "key", "first").mapInPandas(_wide_scan(radius, most), "u long, v long")
-    roots = components(stored(met.filter("u <> v").distinct(), "wide-links"))
-    named = classes.join(roots, F.col("first") == F.col("node"), "left").select("f0", "f1", F.coalesce("root", "first").alias("component_id"))
-    return prints.join(named, ["f0", "f1"], "left").select("doc_id", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+            sets = [(xxhash.xxh64_intdigest(s.tobytes()), band_keys(s)) for s in shingle_sets(b["text"], k)]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "cls": np.array([c for c, _ in sets], np.uint64).view(np.int64), "keys": [keys for _, keys in sets]})
+
+    docs = docs.select(F.col("doc_id").cast("long"), "text", _text_hash().alias("h"))
+    prints = stored(docs.mapInPandas(each, "doc_id long, h long, cls long, keys array<long>"), "near-sets")
+    known = prints.filter("doc_id is not null")
+    rows = known.select("cls", F.explode("keys").alias("key")).repartition(partitions(docs.sparkSession), "key").dropDuplicates(["key", "cls"])
+    bucket = Window.partitionBy("key")
+    meetings = rows.select("key", "cls", F.min("cls").over(bucket).alias("low"), F.count(F.lit(1)).over(bucket).alias("n")).filter("n > 1")
+    meetings = stored(meetings, "near-meetings")
+    met = known.join(meetings.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("h").alias("h"))
+    texts = docs.join(broadcast_if_small(stored(met, "near-met")), "h").groupBy("cls").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    roots = components(_similar_links(meetings, stored(texts, "near-texts"), k, least, most))
+    rows = stored(_rooted(prints.select("doc_id", "h", "cls"), roots), "near-roots")
+    best = rows.filter("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "cls")).alias("best"))
+    kept = F.col("doc_id").isNull() | (F.struct("doc_id", "cls") == F.col("best"))
+    return rows.join(best, "root", "left").select("doc_id", "h", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, most: int = 16) -> DataFrame:
+    """doc_id, component_id of every row: the smallest doc_id that links of a Jaccard similarity of `least` reach, on sets of k-word shingles.
+
+    For texts that share much, but less than a 64-bit radius of 4 asks for: shingle sets of similarity 0.8 differ in
+    some 15 % of SimHash bits, too far for balls to meet in without nearly every text meeting others by chance. Bands
+    of MinHash values (BANDS) meet instead: 0.99994 of pairs at 0.8, more above it. What meets is only a candidate;
+    every link is tested on the exact sets of hashed shingles. Texts of equal sets are one class from the start.
+    """
+    return _similar(docs, k, least, most).select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, most: int = 16) -> DataFrame:
     """docs with one row of each group of similar_groups: that with its smallest doc_id. Every column stays, and so do rows without a doc_id."""
-    gone = stored(similar_groups(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = stored(_similar(docs, k, least, most).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct(), "near-copies")
+    return docs.join(broadcast_if_small(gone), (F.col("doc_id") == F.col("__gone")) & (_text_hash() == F.col("__h")), "left_anti")

@@ -232,6 +232,40 @@ def test_near_copies_of_five_word_shingles(spark):
     assert simhash.drop_near_copies(docs(spark, [(None, "a b"), (None, "a b")])).count() == 2
 
 
+def near_brute(rows, k=5, least=0.8):
+    """component of each document: the smallest that links of true Jaccard similarity reach."""
+    sets = {}
+    for i, t in rows.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))}
+    root = {i: i for i in rows}
+    for a in rows:
+        for b in rows:
+            if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    return root
+
+
+def swapped(t, places, word):
+    w = t.split()
+    for p in places:
+        w[p] = f"{word}{p}"
+    return " ".join(w)
+
+
+def test_near_copies_by_true_similarity(spark):
+    """Pairs from 0.98 down to 0.5: those of 0.8 or more are one group, others stay."""
+    rows = {}
+    for n in range(1, 16):
+        for s in range(4):
+            t = rows[10 * n + 2 * s] = text(100 * n + s, 300)
+            rows[10 * n + 2 * s + 1] = swapped(t, range(5, 5 + 16 * n, 16), "new")
+    want = near_brute(rows)
+    assert 15 < sum(i != r for i, r in want.items()) < 45
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs(spark, rows)).collect()} == want
+
+
 # ---- op5
 
 
