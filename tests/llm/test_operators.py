@@ -266,6 +266,18 @@ def test_near_copies_by_true_similarity(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs(spark, rows)).collect()} == want
 
 
+def test_near_copies_in_hot_buckets(spark):
+    """Texts of one template at 0.6 to 0.8 share buckets; pairs of near copies far behind a bucket's first rows are found."""
+    base, rows = text(900, 400), {}
+    for g in range(30):
+        t = swapped(base, range(g % 16, 400, 26), f"g{g}x")
+        rows[g], rows[100 + g] = t, swapped(t, (200 + g,), "copy")
+    want = near_brute(rows)
+    assert len(set(want.values())) > 10
+    for most in (1, 4, 512):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs(spark, rows), most=most).collect()} == want
+
+
 # ---- op5
 
 
