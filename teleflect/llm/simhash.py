@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, partitions, stored, whole_runs
 from .components import components
+from .exact import text_hash
 from .words import Block, blocks, mixed, windows
 
 BITS = 64
@@ -234,10 +235,6 @@ def _similar_links(meetings: DataFrame, texts: DataFrame, k: int, least: float,
     return links.unionByName(stored(_alike(stored(apart, "near-apart"), texts, k, least), "near-links"))
 
 
-def _text_hash() -> F.Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
-
 def _similar(docs: DataFrame, k: int, least: float, most: int) -> DataFrame:
     """doc_id, h (hash of its text), component_id and kept of every row, kept: its component's smallest doc_id, and of several texts with that one of them."""
 
@@ -246,7 +243,7 @@ def _similar(docs: DataFrame, k: int, least: float, most: int) -> DataFrame:
             sets = [(xxhash.xxh64_intdigest(s.tobytes()), band_keys(s)) for s in shingle_sets(b["text"], k)]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "cls": np.array([c for c, _ in sets], np.uint64).view(np.int64), "keys": [keys for _, keys in sets]})
 
-    docs = docs.select(F.col("doc_id").cast("long"), "text", _text_hash().alias("h"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("h"))
     prints = stored(docs.mapInPandas(each, "doc_id long, h long, cls long, keys array<long>"), "near-sets")
     known = prints.filter("doc_id is not null")
     rows = known.select("cls", F.explode("keys").alias("key")).repartition(partitions(docs.sparkSession), "key").dropDuplicates(["key", "cls"])
@@ -276,4 +273,4 @@ def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, most: int =
 def drop_near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, most: int = 16) -> DataFrame:
     """docs with one row of each group of similar_groups: that with its smallest doc_id. Every column stays, and so do rows without a doc_id."""
     gone = stored(_similar(docs, k, least, most).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct(), "near-copies")
-    return docs.join(broadcast_if_small(gone), (F.col("doc_id") == F.col("__gone")) & (_text_hash() == F.col("__h")), "left_anti")
+    return docs.join(broadcast_if_small(gone), (F.col("doc_id") == F.col("__gone")) & (text_hash() == F.col("__h")), "left_anti")

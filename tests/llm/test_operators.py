@@ -384,6 +384,18 @@ def test_drop_copies_keeps_columns(spark):
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
 
 
+def test_drops_go_by_row(spark):
+    """Unique texts stay beside a copy under a null and under a repeated doc_id."""
+    a, b, c, d = (text(s, 100) for s in (21, 22, 23, 24))
+    rows = [(1, a), (None, a), (None, b), (2, a), (2, c), (3, d), (None, None)]
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    want = sorted([(1, a), (None, b), (2, c), (3, d), (None, None)], key=repr)
+    assert pairs(exact.drop_copies(docs(spark, rows))) == want
+    near = [(1, a), (2, swapped(a, (50,), "new")), (2, b), (None, a), (None, c), (3, d), (3, swapped(d, (50,), "new"))]
+    got = pairs(simhash.drop_near_copies(docs(spark, near)))
+    assert len(got) == 5 and set(got) > {(1, a), (2, b), (None, a), (None, c)} and {i for i, _ in got} == {1, 2, 3, None}
+
+
 # ---- op8
 
 
