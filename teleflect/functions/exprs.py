@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import uuid
 
 from pyspark.sql import Column
@@ -87,17 +89,25 @@ def geohash5(lat: Column, lon: Column) -> Column:
     return F.concat(*chars)
 
 
-def poisson_tail(n: Column, rate: Column, terms: int = 60) -> Column:
-    """P(X >= n), X Poisson with mean `rate`: a sum of logarithmic terms upward from n, enough of them for rates under n or so."""
-    n = n.cast("int")
-    start = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, k: a + F.log(k.cast("double")))
-    first = F.exp(n * F.log(rate) - rate - start)
+def poisson_tail(n: Column, rate: Column) -> Column:
+    """P(X >= n), X Poisson with mean `rate`: terms upward from n where the mean is at most n, else 1 less the terms below n.
+
+    Either sum falls from its first term on, at i terms by exp(-i*i/(2n + 2i)) at least, and goes on until terms vanish.
+    """
+    n, rate = n.cast("long"), rate.cast("double")
+    above = rate > n
+    k = F.when(above, n - 1).otherwise(n)  # the first term's
+    x = F.greatest(k, F.lit(20)).cast("double")  # Stirling's series from 20 on, exact below
+    log_factorial = F.when(k > 20, x * F.log(x) - x + F.log(x * (2 * math.pi)) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)).otherwise(F.log(F.factorial(F.greatest(F.least(k, F.lit(20)), F.lit(0)).cast("int")).cast("double")))
+    first = F.exp(k * F.log(rate) - rate - log_factorial)
+    terms = F.ceil(60 + F.sqrt(3600 + 120 * F.greatest(n, F.lit(1))))
     grown = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)),
+        F.sequence(F.lit(1).cast("long"), terms),
         F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
-        lambda a, k: F.struct((a["t"] * rate / (n + k)).alias("t"), (a["s"] + a["t"] * rate / (n + k)).alias("s")),
+        lambda a, i: F.transform(F.array(a["t"] * F.when(above, F.greatest(k - i + 1, F.lit(0)) / rate).otherwise(rate / (n + i))), lambda t: F.struct(t.alias("t"), (a["s"] + t).alias("s")))[0],
     )["s"]
-    return F.when(n <= 0, 1.0).when(rate <= 0, 0.0).otherwise(F.least(F.lit(1.0), first * grown))
+    tail = F.when(above, 1 - first * grown).otherwise(first * grown)
+    return F.when(n <= 0, 1.0).when(rate <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
 
 
 def cosine(a: Column, b: Column) -> Column:

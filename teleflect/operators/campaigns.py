@@ -98,11 +98,14 @@ def tail(n: int, rate: float) -> float:
         return 1.0
     if rate <= 0:
         return 0.0
-    total, k, term = 0.0, n, math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
-    while term > total * 1e-17 and k < n + 10_000:
-        total, k = total + term, k + 1
-        term *= rate / k
-    return min(1.0, total)
+    above, total = rate > n, 0.0  # terms fall upward from n, or downward from n - 1
+    k = n - 1 if above else n
+    term = math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+    while term > total * 1e-17:
+        total += term
+        term *= k / rate if above else rate / (k + 1)
+        k += -1 if above else 1
+    return max(0.0, 1 - total) if above else min(1.0, total)
 
 
 class Book:

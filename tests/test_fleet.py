@@ -59,6 +59,22 @@ def test_poisson_edges(spark):
     assert one(spark, X.poisson_tail(F.lit(18), F.lit(0.5))) < 1e-15
 
 
+@pytest.mark.parametrize(("n", "rate"), [(50, 150.0), (3, 90.0), (30, 30.0), (9, 4.5), (400, 399.0), (401, 402.5), (2000, 1900.0), (5, 900.0), (2000, 2100.0)])
+def test_poisson_tail_of_large_groups(spark, n, rate):
+    below = sum(math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(n))
+    assert one(spark, X.poisson_tail(F.lit(n), F.lit(rate))) == pytest.approx(1 - below, abs=1e-10)
+    assert C.tail(n, rate) == pytest.approx(1 - below, abs=1e-10)
+
+
+def test_campaigns_keep_large_groups(spark, monkeypatch):
+    from teleflect.plans import queries as Q
+
+    groups = spark.createDataFrame([("a", 0, 1, 1, 3), ("b", 0, 1, 2, 50)], "family_key string, grp long, first_bucket long, last_bucket long, members long")
+    monkeypatch.setattr(Q, "group_touching_buckets", lambda spark, sf: groups)
+    got = {r["family_key"]: r["p_value"] for r in Q.campaign_open_poisson(spark, "").collect()}
+    assert got == {"a": pytest.approx(C.tail(3, 0.09), abs=1e-6), "b": pytest.approx(C.tail(50, 3.0), abs=1e-6)}
+
+
 def test_hours_to_limit(spark):
     f = lambda level, rate: one(spark, X.hours_to_limit(F.lit(level), F.lit(rate), 110, 0.5))
     assert (f(100.0, 2.0), f(100.0, 0.1), f(100.0, -2.0), f(112.0, 2.0)) == (5.0, None, None, 0.0)
