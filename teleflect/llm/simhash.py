@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, partitions, stored, whole_runs
 from .components import components
 from .exact import text_hash
-from .words import Block, blocks, mixed, windows
+from .words import Block, blocks, mixed, windows, worker_table
 
 BITS = 64
 
@@ -196,16 +197,26 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.RecordBatch]:
+    """batches in parts of few rows, so that a worker holds few texts as Python objects. A table left by an earlier stage is let go."""
+    worker_table("near-sets", lambda: None)
+    for b in batches:
+        for at in range(0, b.num_rows, most):
+            yield b.slice(at, most)
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """Of pairs(a, b) of classes those whose shingle sets have a Jaccard similarity of `least` or more, as u, v."""
 
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            hit = [same >= least * (len(x) + len(y) - same) for x, y in zip(shingle_sets(rows["ta"], k), shingle_sets(rows["tb"], k), strict=True) for same in [len(np.intersect1d(x, y, assume_unique=True))]]
-            yield rows.loc[np.array(hit, bool), ["a", "b"]].rename(columns={"a": "u", "b": "v"})
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _slices(batches):
+            ta, tb = (shingle_sets(rows[c].to_pylist(), k) for c in ("ta", "tb"))
+            hit = [same >= least * (len(x) + len(y) - same) for x, y in zip(ta, tb, strict=True) for same in [len(np.intersect1d(x, y, assume_unique=True))]]
+            found = rows.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(found.columns, ["u", "v"])
 
     side = lambda name, text: texts.select(F.col("cls").alias(name), F.col("text").alias(text))
-    return pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb").mapInPandas(test, "u long, v long")
+    return pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(test, "u long, v long")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -238,13 +249,14 @@ def _similar_links(meetings: DataFrame, texts: DataFrame, k: int, least: float,
 def _similar(docs: DataFrame, k: int, least: float, most: int) -> DataFrame:
     """doc_id, h (hash of its text), component_id and kept of every row, kept: its component's smallest doc_id, and of several texts with that one of them."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [(xxhash.xxh64_intdigest(s.tobytes()), band_keys(s)) for s in shingle_sets(b["text"], k)]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "cls": np.array([c for c, _ in sets], np.uint64).view(np.int64), "keys": [keys for _, keys in sets]})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            sets = [(xxhash.xxh64_intdigest(s.tobytes()), band_keys(s)) for s in shingle_sets(b["text"].to_pylist(), k)]
+            cls = pa.array(np.array([c for c, _ in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], cls, pa.array([keys for _, keys in sets], pa.list_(pa.int64()))], ["doc_id", "h", "cls", "keys"])
 
     docs = docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("h"))
-    prints = stored(docs.mapInPandas(each, "doc_id long, h long, cls long, keys array<long>"), "near-sets")
+    prints = stored(docs.mapInArrow(each, "doc_id long, h long, cls long, keys array<long>"), "near-sets")
     known = prints.filter("doc_id is not null")
     rows = known.select("cls", F.explode("keys").alias("key")).repartition(partitions(docs.sparkSession), "key").dropDuplicates(["key", "cls"])
     bucket = Window.partitionBy("key")
