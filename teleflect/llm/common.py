@@ -6,6 +6,7 @@ import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -23,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors see."""
+    """A new folder under spark.checkpoint.dir, which the driver and all executors see; a local one only where driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="teleflect-")
         spark.sparkContext.setCheckpointDir(base)
     if "://" not in base and not base.startswith("file:"):
@@ -40,9 +44,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """df, hinted for a broadcast only if a count shows that it has few rows; a shuffle join otherwise. df should be stored."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def _width(column: str, kind: str) -> F.Column:
+    c = F.col(f"`{column}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) if kind.startswith(("array", "map", "struct")) else F.lit(8)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 200_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """df, hinted for a broadcast only if a count shows that it has few rows and bytes; a shuffle join otherwise. df should be stored.
+
+    Only how the join runs depends on the size, never its rows.
+    """
+    width = sum((_width(c, t) for c, t in df.dtypes), F.lit(0))
+    rows, size = df.limit(most_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most_rows and size <= most_bytes else df
 
 
 def partitions(spark: SparkSession) -> int:
@@ -54,13 +70,14 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def publish(uri: str, data: bytes) -> None:
-    """Write a file under another name and move it into place: a repeated task replaces it with the same bytes."""
+@contextmanager
+def publishing(uri: str):
+    """A stream into a file of another name, moved into place at the end: a repeated task replaces it with the same bytes."""
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(part) as out:
-        out.write(data)
+        yield out
     fs.move(part, path)
 
 

@@ -7,14 +7,17 @@ closes each index file, and a list of the files' first keys stands above. A look
 directory, reads one block by range, bisects it, and reads the record by range. Nothing in it grows with the number
 of captures but the files themselves: blocks have `block` captures, files a share of the table.
 
-A null html is an empty payload, a null url the key "". Repeated rows each get a record; captures of one key are in
-page_id order (null first).
+A null html is an empty payload, a null url the key "". Repeated rows each get a record (with equal large payloads and
+page_id they are all responses); captures of one key are in page_id order (null first). A very long page is one record;
+tasks write records and blocks as they go. Columns other than page_id, url and html are left out, whatever their names.
+An empty table gives no archive, an empty index and no rows.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import json
 import struct
 import zlib
@@ -25,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, filesystem, partitions, publish, shared_dir, stored
+from .common import broadcast_if_small, filesystem, partitions, publishing, shared_dir, stored
 
 
 def url_key(url) -> F.Column:
@@ -73,19 +76,22 @@ def write_archives(pages: DataFrame, least: int = 1000) -> DataFrame:
     rows = rows.join(broadcast_if_small(stored(again, "payloads")), "digest", "left")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, body, at = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz", [], 0
-        for b in batches:
-            places = []
-            for r in b.itertuples():
-                page_id, first = (None if pd.isna(x) else int(x) for x in (r.page_id, r.first))
-                revisit = first is not None and page_id != first
-                data = record_bytes(page_id, r.url, r.payload, r.size, r.digest, "revisit" if revisit else "response", first)
-                places.append((r.key, page_id, path, at, len(data)))
-                body.append(data)
-                at += len(data)
-            yield pd.DataFrame(places, columns=["key", "page_id", "path", "offset", "length"]).astype({"page_id": "Int64"})
-        if body:
-            publish(path, b"".join(body))
+        batches = (b for b in batches if len(b))
+        head = next(batches, None)
+        if head is None:
+            return
+        path, at = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz", 0
+        with publishing(path) as out:
+            for b in itertools.chain([head], batches):
+                places = []
+                for r in b.itertuples():
+                    page_id, first = (None if pd.isna(x) else int(x) for x in (r.page_id, r.first))
+                    revisit = first is not None and page_id != first
+                    data = record_bytes(page_id, r.url, r.payload, r.size, r.digest, "revisit" if revisit else "response", first)
+                    places.append((r.key, page_id, path, at, len(data)))
+                    out.write(data)
+                    at += len(data)
+                yield pd.DataFrame(places, columns=["key", "page_id", "path", "offset", "length"]).astype({"page_id": "Int64"})
 
     rows = rows.select("page_id", "url", "payload", "size", "digest", "first", url_key(F.col("url")).alias("key"))
     return stored(rows.mapInPandas(write, "key string, page_id long, path string, offset long, length long"), "captures")
@@ -105,17 +111,19 @@ def write_index(captures: DataFrame, block: int = 3000) -> list[tuple[tuple, str
     folder = shared_dir(spark, "index")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lines = [(*_order(r.key, None if pd.isna(r.page_id) else int(r.page_id)), r.path, r.offset, r.length) for b in batches for r in b.itertuples()]
-        if lines:
-            body, directory, at = [], [], 0
-            for i in range(0, len(lines), block):
-                data = zlib.compress(json.dumps(lines[i : i + block]).encode())
-                directory.append((*lines[i][:3], at, len(data)))
-                body.append(data)
+        lines = ((*_order(r.key, None if pd.isna(r.page_id) else int(r.page_id)), r.path, r.offset, r.length) for b in batches for r in b.itertuples())
+        head = next(lines, None)
+        if head is None:
+            return
+        path, directory, at = f"{folder}/part-{TaskContext.get().partitionId():06d}.idx", [], 0
+        with publishing(path) as out:
+            for own in iter(lambda rest=itertools.chain([head], lines): list(itertools.islice(rest, block)), []):
+                data = zlib.compress(json.dumps(own).encode())
+                directory.append((*own[0][:3], at, len(data)))
+                out.write(data)
                 at += len(data)
-            path = f"{folder}/part-{TaskContext.get().partitionId():06d}.idx"
-            publish(path, b"".join(body) + zlib.compress(json.dumps(directory).encode()) + struct.pack("<Q", at))
-            yield pd.DataFrame({"key": [lines[0][0]], "known": [lines[0][1]], "page_id": [lines[0][2]], "path": [path]})
+            out.write(zlib.compress(json.dumps(directory).encode()) + struct.pack("<Q", at))
+        yield pd.DataFrame({"key": [head[0]], "known": [head[1]], "page_id": [head[2]], "path": [path]})
 
     rows = captures.repartitionByRange(partitions(spark), "key", "page_id").sortWithinPartitions("key", "page_id")
     files = stored(rows.mapInPandas(write, "key string, known boolean, page_id long, path string"), "index-files")
