@@ -2,13 +2,18 @@
 
 A record: u64 length of the payload, u32 masked checksum of those 8 bytes, payload, u32 masked checksum of it; all
 little-endian, checksums CRC-32 rotated right by 15 bits plus a constant, so that a checksum of data that holds
-checksums stays useful. Payload: u8 bytes per id (2 or 4), u8 1 if doc_id is known, i64 doc_id, ids. The index file
-holds one (u64 offset, u64 number of ids) pair for each record. Files are in ascending doc_id order (null first, ties
-by the text's hash), each sorted as well. A null text is empty and still gets its record.
+checksums stays useful. Payload: u8 bytes per id (2 or 4, as the tokenizer's vocabulary asks for), u8 1 if doc_id is
+known, i64 doc_id, ids. The index file holds one (u64 offset, u64 number of ids) pair for each record. Files are in
+ascending doc_id order (null first, ties by the text's hash), each sorted as well; a task writes both as it goes and
+holds one batch of texts.
+
+A null text is empty and still gets its record; so does every repeated row, and a very long text is one record. Columns
+other than doc_id and text are left out, whatever their names. An empty table gives no file and no row.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, partitions, publish, shared_dir, stored
+from .common import filesystem, partitions, publishing, shared_dir, stored
 from .tokens import encoder
 
 _MASK = 0xA282EAD8
@@ -44,6 +49,8 @@ def payload_of(record: bytes) -> bytes:
 
 
 def packed(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
+    if len(ids) and int(ids.max()) >> (8 * width):
+        raise ValueError(f"an id does not fit {width} bytes")
     return struct.pack("<BBq", width, doc_id is not None, doc_id or 0) + ids.astype(f"<u{width}").tobytes()
 
 
@@ -52,25 +59,36 @@ def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (doc_id if known else None), np.frombuffer(payload, f"<u{width}", offset=10)
 
 
-def write_records(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
-    """Write docs(doc_id, text) to files in a new shared folder. Returns one row a file: part, path, records, tokens, tokens_before."""
+def width_for(tokenizer: str, end_id: int) -> int:
+    """Bytes that hold every id of a tokenizer file, and end_id."""
+    from tokenizers import Tokenizer
+
+    most = max([end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()])
+    return 2 if most < 1 << 16 else 4
+
+
+def write_records(docs: DataFrame, tokenizer: str, end_id: int, width: int | None = None) -> DataFrame:
+    """Write docs(doc_id, text) to files in a new shared folder. Returns one row a file: part, path, records, tokens, tokens_before.
+
+    width: bytes of an id; as the vocabulary asks for unless given. An id that does not fit is an error.
+    """
     spark = docs.sparkSession
-    folder = shared_dir(spark, "records")
+    folder, width = shared_dir(spark, "records"), width or width_for(tokenizer, end_id)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, body, index, at, total = TaskContext.get().partitionId(), [], [], 0, 0
-        for b in batches:
-            for doc_id, ids in zip(b["doc_id"], encoder(tokenizer).encode(b["text"]), strict=True):
+        rows = ((doc_id, ids) for b in batches for doc_id, ids in zip(b["doc_id"], encoder(tokenizer).encode(b["text"]), strict=True))
+        first = next(rows, None)
+        if first is None:
+            return
+        part = TaskContext.get().partitionId()
+        path, at, records, total = f"{folder}/part-{part:06d}", 0, 0, 0
+        with publishing(f"{path}.idx") as index, publishing(f"{path}.rec") as body:
+            for doc_id, ids in itertools.chain([first], rows):
                 record = frame(packed(None if pd.isna(doc_id) else int(doc_id), np.append(ids, np.uint32(end_id)), width))
-                index.append((at, len(ids) + 1))
-                body.append(record)
-                at += len(record)
-                total += len(ids) + 1
-        if index:
-            path = f"{folder}/part-{part:06d}"
-            publish(f"{path}.idx", np.array(index, "<u8").tobytes())
-            publish(f"{path}.rec", b"".join(body))
-            yield pd.DataFrame({"part": [part], "path": [path], "records": [len(index)], "tokens": [total]})
+                index.write(struct.pack("<QQ", at, len(ids) + 1))
+                body.write(record)
+                at, records, total = at + len(record), records + 1, total + len(ids) + 1
+        yield pd.DataFrame({"part": [part], "path": [path], "records": [records], "tokens": [total]})
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
