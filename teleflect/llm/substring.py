@@ -8,18 +8,23 @@ covered by a window that starts in a document with a smaller doc_id.
 
 Only edges that can repeat are gathered: each window belongs to its minimizer, the m-word stretch in it of the
 smallest hash, and equal windows have equal minimizers. So rows are dealt by minimizer, about one for every five
-windows, each with 32-bit hashes of its own windows. The m words and those hashes together tell windows apart; then
-every span is verified against its source by a digest of the words themselves, and if one fails, all is done
-again with other hashes. A minimizer with over `most` rows does not meet in one task: its windows go through grouped
-minima and a join that adaptive execution may split.
+windows, each with 64-bit hashes of its own windows. Then every span is verified against its source by a digest of the
+words themselves; should one fail, all is done again with word hashes of another kind.
 
-Null texts have no words. A null doc_id is neither smaller nor larger than another: such rows stay whole and are no
-source. Rows that repeat a doc_id are told apart by the hash of their text.
+A minimizer that holds a large share of all rows never meets in one task: a first pass finds those few by mergeable
+counters, and their rows are spread evenly. So are, within a task, runs of over `most` rows. Windows of such minimizers
+go through grouped minima with partial aggregation and a join of its own.
+
+Null and blank texts have no words. A null doc_id is neither smaller nor larger than another: such rows stay whole and
+are no source. Rows that repeat a doc_id are told apart by the hash of their text; equal rows share one fate. Other
+columns are left out, whatever their names. An empty table gives an empty result. A very long text is one row of its
+batch; words are arrays there, not objects.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +32,76 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, whole_runs
-from .words import Block, blocks, mixed, windows
+from .common import broadcast_if_small, partitions, stored, whole_runs
+from .words import Block, blocks, windows
 
-ROWS = "h long, doc_id long, tie long, pos int, wins binary"
+ROWS = "h long, salt int, doc_id long, tie long, pos int, wins binary"
 MATCHES = "doc_id long, tie long, pos int, n int, src_doc long, src_tie long, src_pos int"
 
 
-def _minimizer_rows(docs: DataFrame, k: int, m: int, seed: int) -> DataFrame:
-    """One row for each minimizer: its hash, where its first window starts (in words), 32-bit hashes of its windows."""
-    salt = np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) % 2**64)
+def _word_hashes(block: Block, seed: int) -> np.ndarray:
+    """64-bit hashes of a block's words: prefix sums at first, a keyed digest of each distinct word in a later round."""
+    h = block.hashes(block.starts, block.ends)
+    if not seed:
+        return h
+    _, at, code = np.unique(np.stack([h, block.hashes(block.starts, block.ends, 1)]), axis=1, return_index=True, return_inverse=True)
+    own = [int.from_bytes(hashlib.blake2b(block.word(i), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little") for i in at.tolist()]
+    return np.array(own, np.uint64)[code.ravel()]
+
+
+class _Edges:
+    """Of a block of texts: minimizer, text and place (in words) of each run of windows under one minimizer; hash of every window; where each run's begin."""
+
+    def __init__(self, texts: list[bytes], k: int, m: int, seed: int):
+        block = Block(texts)
+        first = block.first
+        words = _word_hashes(block, seed)
+        at, self.whole = windows(words, first, k)
+        self.size = len(at)
+        if not self.size:
+            return
+        stretch = windows(words, np.array([0, len(words)]), m)[1]
+        least = at + np.lib.stride_tricks.sliding_window_view(stretch, k - m + 1)[at].argmin(axis=1)  # of each window
+        starts = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)]))
+        self.cuts = np.append(starts, len(at))
+        self.h = stretch[least[starts]].view(np.int64)
+        self.text = np.searchsorted(first, at[starts], side="right") - 1
+        self.pos = (at[starts] - first[self.text]).astype(np.int32)
+
+
+def _heavy(docs: DataFrame, k: int, m: int, seed: int, most: int) -> np.ndarray:
+    """Minimizers, sorted, of over 1 / (4 * shuffle partitions) of all rows, and perhaps some of nearly as many; none of under most / 10.
+
+    Each task keeps twice that number of counters (a Misra-Gries summary, which merges by addition and misses no
+    minimizer of that share), so neither tasks nor the driver hold more of them at any size of the table.
+    """
+    n = 8 * partitions(docs.sparkSession)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, sizes, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for b in batches:
+            for texts in blocks([(t or "").encode() for t in b["text"]]):
+                edges = _Edges(texts, k, m, seed)
+                if not edges.size:
+                    continue
+                total += len(edges.h)
+                own, c = np.unique(edges.h, return_counts=True)
+                keys, code = np.unique(np.concatenate([keys, own]), return_inverse=True)
+                sizes = np.bincount(code, np.concatenate([sizes, c]), len(keys)).astype(np.int64)
+                if len(keys) > n:
+                    sizes -= np.partition(sizes, len(sizes) - n - 1)[len(sizes) - n - 1]
+                    keys, sizes = keys[sizes > 0], sizes[sizes > 0]
+        yield pd.DataFrame({"h": [*keys, 0], "n": [*sizes, total], "all": [False] * len(keys) + [True]})
+
+    counts = docs.filter("doc_id is not null").select("text").mapInPandas(count, "h long, n long, all boolean").groupBy("all", "h").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "heavy")
+    total = counts.filter("all").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return np.array(sorted(r["h"] for r in counts.filter(~F.col("all") & (F.col("n") > max(total / n, most / 10))).select("h").collect()), np.int64)  # n of them at most
+
+
+def _minimizer_rows(docs: DataFrame, k: int, m: int, seed: int, heavy: np.ndarray) -> DataFrame:
+    """One row for each minimizer: its hash, where its first window starts (in words), 64-bit hashes of its windows. salt: 0, or any number to spread the rows of heavy ones."""
+    n = partitions(docs.sparkSession)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -44,41 +109,30 @@ def _minimizer_rows(docs: DataFrame, k: int, m: int, seed: int) -> DataFrame:
             for texts in blocks([(t or "").encode() for t in b["text"]]):
                 ids, ties = b["doc_id"].to_numpy()[done : done + len(texts)], b["tie"].to_numpy()[done : done + len(texts)]
                 done += len(texts)
-                block = Block(texts)
-                first = block.first
-                words = mixed(block.hashes(block.starts, block.ends) ^ salt)
-                at, whole = windows(words, first, k)
-                if not len(at):
+                edges = _Edges(texts, k, m, seed)
+                if not edges.size:
                     continue
-                where, stretch = windows(words, np.array([0, len(words)]), m)
-                least = at + np.lib.stride_tricks.sliding_window_view(stretch, k - m + 1)[at].argmin(axis=1)  # of each window
-                new = np.concatenate([[True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)])
-                starts = np.flatnonzero(new)
-                sizes = np.diff(np.append(starts, len(at)))
-                text = np.searchsorted(first, at[starts], side="right") - 1
-                data = (whole >> np.uint64(32)).astype("<u4").tobytes()
-                cuts = (np.append(starts, len(at)) * 4).tolist()
-                yield pd.DataFrame({
-                    "h": stretch[least[starts]].view(np.int64), "doc_id": ids[text], "tie": ties[text],
-                    "pos": (at[starts] - first[text]).astype(np.int32), "wins": [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)],
-                })
-                assert sizes.min() > 0
+                data, cuts = edges.whole.astype("<u8").tobytes(), (edges.cuts * 8).tolist()
+                doc = ids[edges.text]
+                salt = np.where(np.isin(edges.h, heavy), 1 + (doc * 31 + edges.pos) % n, 0) if len(heavy) else 0
+                yield pd.DataFrame({"h": edges.h, "salt": np.int32(salt), "doc_id": doc, "tie": ties[edges.text], "pos": edges.pos, "wins": [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]})
 
     return docs.filter("doc_id is not null").mapInPandas(each, ROWS)
 
 
 def _spread(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each window: its row, its place in the row, its hash."""
-    sizes = rows["wins"].map(len).to_numpy() // 4
+    sizes = rows["wins"].map(len).to_numpy() // 8
     row = np.repeat(np.arange(len(rows)), sizes)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.frombuffer(b"".join(rows["wins"]), "<u4")
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.frombuffer(b"".join(rows["wins"]), "<i8")
 
 
 def _matches(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """MATCHES: stretches of n windows whose source is in a smaller document; and the rows of hot minimizers."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for all_rows, all_run, hot in whole_runs(batches, ["h"], most):
+        for all_rows, all_run, hot in whole_runs(batches, ["h", "salt"], most):
+            hot |= all_rows["salt"].to_numpy() > 0
             if hot.any():
                 out = all_rows[hot]
                 yield pd.DataFrame({"h": out["h"], "doc_id": out["doc_id"], "tie": out["tie"], "pos": out["pos"], "wins": out["wins"], "n": 0, "src_doc": 0, "src_tie": 0, "src_pos": 0})
@@ -103,7 +157,7 @@ def _matches(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
             yield from _stretches(doc[row], tie[row], pos, doc[row][source], tie[row][source], pos[source], row)
 
     n = partitions(rows.sparkSession)
-    met = rows.repartition(n, "h").sortWithinPartitions("h").mapInPandas(scan, MATCHES + ", h long, wins binary")
+    met = rows.repartition(n, "h", "salt").sortWithinPartitions("h", "salt").mapInPandas(scan, MATCHES + ", h long, wins binary")
     met = stored(met, "matches")
     return met.filter("n > 0").drop("h", "wins"), met.filter("n = 0").select("h", "doc_id", "tie", "pos", "wins")
 
@@ -126,11 +180,11 @@ def _hot_matches(rows: DataFrame) -> DataFrame:
     def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             row, place, win = _spread(b)
-            yield pd.DataFrame({c: b[c].to_numpy()[row] for c in ("h", "doc_id", "tie")} | {"pos": (b["pos"].to_numpy()[row] + place).astype(np.int32), "win": win.astype(np.int64)})
+            yield pd.DataFrame({c: b[c].to_numpy()[row] for c in ("h", "doc_id", "tie")} | {"pos": (b["pos"].to_numpy()[row] + place).astype(np.int32), "win": win})
 
     one = rows.mapInPandas(single, "h long, doc_id long, tie long, pos int, win long")
     first = one.groupBy("h", "win").agg(F.min(F.struct("doc_id", "tie", "pos")).alias("s"), F.max("doc_id").alias("last")).filter("last > s.doc_id").drop("last")
-    found = one.join(first, ["h", "win"]).filter("doc_id > s.doc_id")
+    found = one.join(broadcast_if_small(stored(first, "hot-sources")), ["h", "win"]).filter("doc_id > s.doc_id")
     return found.select("doc_id", "tie", "pos", F.lit(1).alias("n"), F.col("s.doc_id").alias("src_doc"), F.col("s.tie").alias("src_tie"), F.col("s.pos").alias("src_pos"))
 
 
@@ -145,7 +199,7 @@ def _compact(matches: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, k: int = 13, m: int = 6, most: int = 200_000, seed: int = 0) -> DataFrame:
     """docs(doc_id, tie, text) -> MATCHES, n counted in windows: a span has n + k - 1 words."""
-    matches, hot = _matches(_minimizer_rows(docs, k, m, seed), most)
+    matches, hot = _matches(_minimizer_rows(docs, k, m, seed, _heavy(docs, k, m, seed, most)), most)
     if hot.limit(1).count():
         matches = matches.unionByName(_hot_matches(hot))
     return stored(_compact(matches), "spans")
@@ -154,7 +208,7 @@ def repeated_spans(docs: DataFrame, k: int = 13, m: int = 6, most: int = 200_000
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, src_doc long, src_tie long, src_pos int, n int, digest string, of_source boolean"
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, with_text: bool = True, most: int = 200_000, rounds: int = 3) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 13, with_text: bool = True, most: int = 200_000) -> DataFrame:
     """docs(doc_id, text) without the words of spans that a smaller document has: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     kept_text: the words that stay, joined by one space (null unless with_text).
@@ -184,7 +238,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, with_text: bool = True, most: i
             names = [x.split()[0] for x in RESULT.split(", ")]
             yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("doc_id", "n_words", "n_removed", "src_doc", "src_tie", "src_pos", "n")})
 
-    for seed in range(rounds):
+    for seed in itertools.count():  # a second round has about one chance in 2**64 / (pairs of windows of one minimizer)
         spans = repeated_spans(docs, k, most=most, seed=seed)
         source = ("src_doc", "src_tie", "src_pos", "n")
         own = spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "n", "src_doc", "src_tie", "src_pos")).alias("spans"))
@@ -193,8 +247,6 @@ def remove_repeats(docs: DataFrame, k: int = 13, with_text: bool = True, most: i
         ours, theirs = out.filter("not of_source"), out.filter("of_source").select(*source, F.col("digest").alias("known")).distinct()
         if not ours.join(theirs, list(source), "left").filter("not digest <=> known").limit(1).count():
             return out.filter("of_source is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
-    raise RuntimeError("spans did not match their sources")
-
 
 SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
