@@ -4,12 +4,15 @@ A text is its runs of letters, lower case, each run a sequence of characters bet
 model holds two sorted hash arrays: n-grams with their interpolated log-probability, contexts with the log of the
 weight that they leave to shorter ones. The language with the lowest cross-entropy per character wins (ties: the
 first in alphabetical order). A text is rejected if it has no letters, or if its cross-entropy under the winner lies
-above anything that calibration texts of that language show, allowing for its length.
+above anything that calibration texts of that language show, allowing for its length. One learnable document in five,
+chosen by a hash, is kept from the counts and used for calibration alone (all of a language's, where it has none such).
 
 Fitting reads at most about `sample` documents of each language, chosen by a hash of their doc_id: a documented bound,
 so that the models stay a few MB at any size of the table. Word lists are counted by Spark and reduced to n-grams
-before the driver sees them. Null and letterless texts are `und` with score 0; a table without labelled rows gives
-`und` everywhere.
+before the driver sees them. Languages are taken to be few: their models stand in every worker. Null and letterless
+texts are `und` with score 0; a table without labelled rows gives `und` everywhere; an empty one an empty result.
+Repeated rows are predicted alike; of very long texts all words count; columns named like a result are replaced, others
+carried.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, stored
 from .words import Block, Lookup, blocks, class_of, mixed, worker_table
 
 UNKNOWN = "und"
@@ -38,6 +42,12 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def lowered(text: str | None) -> str:
+    """Lower case, with as many characters as before: those that would become several stay."""
+    t = (text or "").lower()
+    return t if len(t) == len(text or "") else "".join(x if len(x) == 1 else c for c in text for x in [c.lower()])
+
+
 def letters(word: bytes) -> str:
     return "".join(c for c in word.decode(errors="ignore") if c.isalpha())
 
@@ -195,14 +205,15 @@ def fit(docs: DataFrame, sample: int = 2500, order: int = 4) -> Identifier | Non
     """From docs(doc_id, text, lang) whose rows are not held out; None without labelled rows."""
     spark = docs.sparkSession
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
-    if not sizes:
+    sizes = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")), "languages")
+    if not sizes.limit(1).count():
         return None
-    chance = F.lit(0.0)
-    for lang, n in sizes.items():
-        chance = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(chance)
     # some hundreds of documents beyond the bound at most: the choice is by hash, each for itself
-    rows = rows.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) < chance * (1 << 30)).select("doc_id", "text", "lang")
+    chosen = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) < (F.lit(sample) / F.col("__n")) * (1 << 30)
+    rows = rows.join(broadcast_if_small(sizes), "lang").filter(chosen)
+    rows = rows.select("text", "lang", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(8)), F.lit(5)) == 0).alias("aside"))
+    learned = rows.groupBy("lang").agg(F.bool_and("aside").alias("only_aside"))
+    rows = stored(rows.join(F.broadcast(learned), "lang").select("text", "lang", (F.col("aside") & ~F.col("only_aside")).alias("aside")), "language-sample")  # one row a language
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[str, Counter] = {}
@@ -220,10 +231,10 @@ def fit(docs: DataFrame, sample: int = 2500, order: int = 4) -> Identifier | Non
             yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
 
     counts: dict[str, dict[str, int]] = {}
-    for r in rows.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas().itertuples():
+    for r in rows.filter("not aside").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas().itertuples():
         counts.setdefault(r.lang, {})[r.gram] = r.n
     if not counts:
-        return None
+        return None  # no learnable text has letters
     identifier = Identifier(order, {lang: KneserNey.fit(counts[lang], order) for lang in sorted(counts)})
     langs = list(identifier.models)
     shared = spark.sparkContext.broadcast(identifier)
@@ -231,12 +242,14 @@ def fit(docs: DataFrame, sample: int = 2500, order: int = 4) -> Identifier | Non
     def calibrate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sums = _sums(b["text"], shared.value)
-            own = b["lang"].map(langs.index).to_numpy()
+            own = b["lang"].map(langs.index).to_numpy(int)
             i = np.arange(len(b))
-            yield pd.DataFrame({"lang": b["lang"], "s": sums[i, own], "q": sums[i, len(langs) + own], "n": sums[:, -1]})
+            yield pd.DataFrame({"lang": b["lang"], "aside": b["aside"], "s": sums[i, own], "q": sums[i, len(langs) + own], "n": sums[:, -1]})
 
-    seen = rows.mapInPandas(calibrate, "lang string, s double, q double, n double").filter("n > 0").toPandas()
+    known = rows.filter(F.col("lang").isin(langs))
+    seen = known.mapInPandas(calibrate, "lang string, aside boolean, s double, q double, n double").filter("n > 0").toPandas()
     for lang, g in seen.groupby("lang"):
+        g = g[g["aside"]] if g["aside"].any() else g
         mean = g["s"].sum() / g["n"].sum()
         char = max(1e-6, g["q"].sum() / g["n"].sum() - mean**2)
         off = g["s"] / g["n"] - mean
