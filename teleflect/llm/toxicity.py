@@ -1,14 +1,18 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Words are runs of letters, lower case, tagged 0 (clean) or 1 (toxic). Only documents carry labels, so the training
-tags come from them: a word that toxic documents hold far more often than clean ones, in many different
-neighbourhoods (so that copies of one text do not count again and again), is tagged 1 in toxic documents; all else is
-0. The field has hashed features of each word (itself, its first letters, its last letters) and weights between
-neighbouring tags. It is fitted by gradient ascent on sentences of a bounded sample.
+tags come from them: a word that stands in far more different neighbourhoods in toxic documents than in clean ones (so
+that copies of one text do not count again and again) is tagged 1 in toxic documents; all else is 0. The field has
+hashed features of each word (itself, its first letters, its last letters) and weights between neighbouring tags. It is
+fitted by gradient ascent on the likelihood of stretches of 24 words of a bounded sample; expected tags and pairs of
+tags come from forward-backward.
 
 Forward-backward gives each word's probability of tag 1. A document's evidence is the sum of those over one tenth; its
 score is evidence / (evidence + c), with c set on the training sample so that a score of 0.3 parts the labels best.
-Null and wordless texts have no evidence and score 0. Without labels of both kinds every score is 0.
+Null and wordless texts have no evidence and score 0. Without labels of both kinds every score is 0. A document with
+several labels is toxic if one says so; words of equal evidence are seeds alike, and of equally good cuts the lowest is
+taken. Repeated rows score alike; very long texts are scored whole; an empty table gives an empty result; columns named
+like a result are replaced, others carried.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .language import _GAPS, held_out, letters
+from .common import stored
+from .language import _GAPS, held_out, letters, lowered
 from .words import Block, Lookup, blocks, worker_table
 
 BUCKETS = 1 << 16
@@ -51,7 +56,11 @@ def hash_of(text: str) -> int:
 
 
 def forward_backward(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Probability of tag 1 for each word. emit: its score for tag 1 (tag 0: 0); words of text k: first[k]:first[k + 1]; trans: log weights (from, to).
+    return marginals(emit, first, trans)[0]
+
+
+def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of tag 1 for each word, and of the four pairs of tags (00, 01, 10, 11) with the word before it (of a text's first word: nothing to use). emit: its score for tag 1 (tag 0: 0); words of text k: first[k]:first[k + 1]; trans: log weights (from, to).
 
     Odds instead of pairs of weights: forward r = E * (t01 + t11 r) / (t00 + t10 r), and likewise backward. All texts
     that are long enough take each step together.
@@ -79,7 +88,9 @@ def forward_backward(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) ->
         new[:k] = (t10 + t11 * w) / (t00 + t01 * w)
         s[at] = last_s = new
     odds = r * s
-    return odds / (1 + odds)
+    before, w = np.roll(r, 1), e * s
+    pair = np.stack([np.full(len(e), t00), t01 * w, before * t10, before * t11 * w])
+    return odds / (1 + odds), pair / pair.sum(axis=0)
 
 
 @dataclass
@@ -110,14 +121,11 @@ class Field:
         gw, gb, gt = np.full(BUCKETS, 1e-6), 1e-6, np.full((2, 2), 1e-6)
         for _ in range(steps):
             emit = (w[f].sum(axis=1) + bias)[x]
-            p = forward_backward(emit, first, trans)
+            p, pair = marginals(emit, first, trans)
             by_word = np.bincount(x, y - p, len(words))
             d = np.bincount(f.ravel(), np.repeat(by_word, f.shape[1]), BUCKETS) - decay * len(x) * w
             db = float(np.sum(y - p))
-            # expected pairs of tags, neighbours taken as independent given the marginals' odds
-            e = np.exp(trans)
-            pair = np.stack([(1 - p[at - 1]) * (1 - p[at]) * e[0, 0], (1 - p[at - 1]) * p[at] * e[0, 1], p[at - 1] * (1 - p[at]) * e[1, 0], p[at - 1] * p[at] * e[1, 1]])
-            want = (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
+            want = pair[:, at].sum(axis=1).reshape(2, 2)
             dt = seen - want - decay * len(x) * trans
             gw, gb, gt = gw + d * d, gb + db * db, gt + dt * dt
             w, bias, trans = w + rate * d / np.sqrt(gw), bias + rate * db / np.sqrt(gb), trans + rate * dt / np.sqrt(gt)
@@ -160,16 +168,28 @@ def evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    t = (text or "").lower().encode()
+    t = lowered(text).encode()
     b = Block([t], _GAPS)
     return [letters(t[s:e]) for s, e in zip(b.starts.tolist(), b.ends.tolist(), strict=True)]
 
 
+def _neighbourhoods(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for text, toxic in zip(b["text"], b["toxic"], strict=True):
+            words, near = words_of(text), {}
+            for a, w, c in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
+                near.setdefault(w, hash_of(f"{a} {c}"))
+            out += [(w, toxic, n) for w, n in near.items() if w]
+        yield pd.DataFrame(out, columns=["word", "toxic", "near"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, tokens: int = 400_000) -> Field | None:
     """From docs(doc_id, text) and labels(doc_id, toxic), rows that are not held out; None unless both labels occur.
 
-    sample: documents of each label, about, chosen by a hash of doc_id; tokens: training words at most, whole
-    sentences with a toxic word first. Both are documented bounds. A document with several labels is toxic if one says so.
+    sample: documents of each label, about, chosen by a hash of doc_id; tokens: training words at most, half of them
+    from stretches with a toxic word. Both are documented bounds; the driver holds the latter and a number for each of
+    the former.
     """
     marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
@@ -178,49 +198,51 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, tokens: int = 40
     chance = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / sizes[1]))).otherwise(F.lit(min(1.0, sample / sizes[0])))
     chosen = marked.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) < chance * (1 << 30))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # the bound above: about 2 * sample rows
+    # copies are one document
+    rows = stored(rows.filter("text is not null").groupBy("text").agg(F.max("toxic").cast("int").alias("toxic")), "toxicity-sample")
+    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not counts.get(0) or not counts.get(1):
+        return None
 
-    # which words: documents of each label that hold it, and its different neighbourhoods in toxic ones
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                words = words_of(text)
-                near = {}
-                for a, w, c in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
-                    near.setdefault(w, hash_of(f"{a} {c}"))
-                out += [(w, toxic, n) for w, n in near.items()]
-            yield pd.DataFrame(out, columns=["word", "toxic", "near"])
-
-    by_word = rows.mapInPandas(spread, "word string, toxic int, near int").groupBy("word").agg(
-        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), F.countDistinct(F.when(F.col("toxic") == 1, F.col("near"))).alias("places"))
-    n_bad, n_good = (min(sample, sizes[k]) for k in (1, 0))
+    # which words: different neighbourhoods of each (its first place in a document) on either side
+    near = rows.mapInPandas(_neighbourhoods, "word string, toxic int, near int").distinct()
+    by_word = near.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     # far more often than by chance: a likelihood-ratio test of the two counts, and a large ratio
-    both, q = F.col("bad") + F.col("good"), n_bad / (n_bad + n_good)
+    both, q = F.col("bad") + F.col("good"), counts[1] / (counts[0] + counts[1])
     part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * share))).otherwise(0.0)
     unlikely = 2 * (part("bad", q) + part("good", 1 - q))
-    odds = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("good") + 0.5) / (n_good + 1))
-    seeds = {r["word"] for r in by_word.filter((odds >= 8) & (unlikely >= SURE) & (F.col("places") >= 0.4 * F.col("bad"))).select("word").collect() if r["word"]}  # words of the bounded sample
-    sample_rows = rows.select("doc_id", "text", F.col("toxic").cast("int")).toPandas().sort_values(["doc_id"])
-
-    with_seed, without = [], []
-    for text, toxic in zip(sample_rows["text"], sample_rows["toxic"], strict=True):
-        words = words_of(text)
-        for at in range(0, len(words), 24):
-            s = [w for w in words[at : at + 24] if w]
-            t = [int(toxic and w in seeds) for w in s]
-            if s:
-                (with_seed if any(t) else without).append((s, t))
-    keep = with_seed[:: max(1, -(-24 * len(with_seed) // (tokens // 2)))]
-    keep += without[:: max(1, -(-24 * len(without) // (tokens // 2)))]
-    model = Field.fit([s for s, _ in keep], [t for _, t in keep])
-    b_first, ev = [0], []
-    for block in blocks((t or "").lower().encode() for t in sample_rows["text"]):
-        b, p = _tagger(model).marginals(block)
-        ev.append(evidence(p, b.first))
-    ev, y = np.concatenate(ev), sample_rows["toxic"].to_numpy()
+    odds = ((F.col("bad") + 0.5) / (counts[1] + 1)) / ((F.col("good") + 0.5) / (counts[0] + 1))
+    seeds = {r["word"] for r in by_word.filter((odds >= 8) & (unlikely >= SURE)).select("word").collect()}  # words of the bounded sample
+
+    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for text, toxic in zip(b["text"], b["toxic"], strict=True):
+                words = [w for w in words_of(text) if w]
+                for at in range(0, len(words), 24):
+                    own = words[at : at + 24]
+                    tags = [int(toxic and w in seeds) for w in own]
+                    out.append((" ".join(own), tags, any(tags)))
+            yield pd.DataFrame(out, columns=["words", "tags", "seeded"])
+
+    parts = stored(rows.mapInPandas(stretches, "words string, tags array<int>, seeded boolean"), "toxicity-stretches")
+    most = max(1, tokens // 48)
+    keep = [r for seeded in (True, False) for r in parts.filter(F.col("seeded") == seeded).orderBy(F.xxhash64("words"), "words").limit(most).collect()]
+    model = Field.fit([r["words"].split(" ") for r in keep], [r["tags"] for r in keep])
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            done = []
+            for block in blocks(lowered(t).encode() for t in b["text"]):
+                own, p = _tagger(shared.value).marginals(block)
+                done.append(evidence(p, own.first))
+            yield pd.DataFrame({"ev": np.concatenate(done) if done else np.zeros(0), "toxic": b["toxic"]})
+
+    seen = rows.mapInPandas(weigh, "ev double, toxic int").toPandas().sort_values(["ev", "toxic"], kind="stable")
     # the cut with the fewest errors, each label weighing the same; in the middle of the gap it stands in
-    order = np.argsort(ev, kind="stable")
-    v, y = ev[order], y[order]
+    v, y = seen["ev"].to_numpy(), seen["toxic"].to_numpy()
     errors = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum()) + (np.sum(1 - y) - np.concatenate([[0], np.cumsum(1 - y)])) / max(1, np.sum(1 - y))
     edges = np.concatenate([[v[0] - 1e-3], v, [v[-1] + 1]])
     allowed = np.flatnonzero(edges[1:] > edges[:-1])
@@ -234,7 +256,7 @@ SPANS = "score double, spans array<struct<start:int,end:int,p:double>>"
 
 
 def score(docs: DataFrame, model: Field | None, with_spans: bool = True) -> DataFrame:
-    """docs with its score and toxic spans (character offsets in text, largest marginal); columns of these names are replaced."""
+    """docs with its score and toxic spans (character offsets in text, largest marginal); columns of these names are replaced. Offsets count characters of the text as it stands: lowering keeps their number."""
     docs = docs.drop("score", "spans")
     if model is None:
         return docs.withColumns({"score": F.lit(0.0), "spans": F.array().cast("array<struct<start:int,end:int,p:double>>")})
@@ -243,7 +265,7 @@ def score(docs: DataFrame, model: Field | None, with_spans: bool = True) -> Data
     @F.pandas_udf(SPANS)
     def tag(texts: pd.Series) -> pd.DataFrame:
         tagger, scores, spans = _tagger(shared.value), [], []
-        for block in blocks(((t or "").lower().encode() for t in texts), 4_000_000):
+        for block in blocks((lowered(t).encode() for t in texts), 4_000_000):
             b, p = tagger.marginals(block)
             first = b.first
             e = evidence(p, first)
