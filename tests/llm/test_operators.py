@@ -127,6 +127,71 @@ def test_kneser_ney_is_a_distribution():
     assert 0.2 < total <= 1.0 + 1e-9 and len(m.grams) == len(m.logp)
 
 
+def plain_kneser_ney(counts, order):
+    """p(character | up to order - 1 before it), straight from the definition."""
+    levels = {n: {} for n in range(1, order + 1)}
+    for g, c in counts.items():
+        levels[len(g)][g] = levels[len(g)].get(g, 0) + c
+    for n in range(order, 1, -1):
+        for g in list(levels[n]):
+            levels[n - 1][g[1:]] = levels[n - 1].get(g[1:], 0) + 1
+    d = {}
+    for n, level in levels.items():
+        ones, twos = (sum(c == x for c in level.values()) for x in (1, 2))
+        d[n] = min(0.9, max(0.1, ones / (ones + 2 * twos) if ones else 0.5))
+
+    def p(gram, n):
+        if n == 0:
+            return 1 / (len(levels[1]) + 1)
+        context = gram[-n:-1]
+        if len(gram) < n or (n > 1 and len(context) < n - 1):
+            return p(gram, n - 1)
+        own = {g: c for g, c in levels[n].items() if g[:-1] == context}
+        if not own:
+            return p(gram, n - 1)
+        total = sum(own.values())
+        return max(own.get(gram[-n:], 0) - d[n], 0) / total + d[n] * len(own) / total * p(gram, n - 1)
+
+    return lambda gram: p(gram, min(order, len(gram)))
+
+
+def test_language_scores_are_the_definition():
+    rnd, order, models, plain = random.Random(5), 3, {}, {}
+    for lang, parts in LANGS.items():
+        counts = {}
+        for _ in range(60):
+            t = language.START + "".join(rnd.choice(parts) for _ in range(2)) + language.END
+            for i in range(1, len(t)):
+                g = t[max(0, i - order + 1) : i + 1]
+                counts[g] = counts.get(g, 0) + 1
+        models[lang], plain[lang] = language.KneserNey.fit(counts, order), plain_kneser_ney(counts, order)
+    words = ["baldor", "xyoqwi", "balqwi", "perz", "b", "zzzz", "éà"]
+    got = language.Identifier(order, models).words(words)
+    for i, w in enumerate(words):
+        t = language.START + w + language.END
+        for j, lang in enumerate(models):
+            want = -sum(np.log(plain[lang](t[max(0, c - order + 1) : c + 1])) for c in range(1, len(t)))
+            assert got[i, j] == pytest.approx(want, rel=1e-9), (w, lang)
+
+
+def test_language_rejects_strange_texts(spark):
+    df, _ = lang_docs(spark, 400)
+    identifier = language.fit(df)
+    rnd = random.Random(3)
+    odd = {i: " ".join("".join(rnd.choice("ßøłđþæĸŋħ") for _ in range(7)) for _ in range(40)) for i in range(3)}
+    clean = {10 + i: " ".join("".join(rnd.choice(LANGS["aa"]) for _ in range(2)) for _ in range(40)) for i in range(20)} | {40: "BALDOR 12 mikTAN | 3.5 | sulper, dor"}
+    out = {r["doc_id"]: r["rejected"] for r in language.identify(docs(spark, odd | clean), identifier).collect()}
+    assert all(out[i] == (i < 3) for i in out)
+
+
+def test_language_of_long_repeated_and_lowered_texts(spark):
+    assert [language.lowered(t) for t in ("ABC", "İX", None, "ΑΣ")] == ["abc", "İx", "", "ας"]
+    df, _ = lang_docs(spark)
+    long = "baldor mikper " * 40_000
+    out = language.identify(docs(spark, [(1, long), (2, "xyoqwi"), (2, "xyoqwi"), (None, "xyoqwi")]), language.fit(df)).collect()
+    assert sorted((str(r["doc_id"]), r["lang_pred"]) for r in out) == [("1", "aa"), ("2", "bb"), ("2", "bb"), ("None", "bb")]
+
+
 def test_language_without_labels(spark):
     df = docs(spark, ODD, dict.fromkeys(ODD))
     assert {r["lang_pred"] for r in language.identify(df, language.fit(df)).collect()} == {"und"}
@@ -160,6 +225,14 @@ def test_records_detect_damage_and_null_ids(spark):
     assert records.read_records(records.write_records(df.filter("false"), word_bpe(), 2)).count() == 0
 
 
+def test_record_width_follows_the_vocabulary(spark):
+    assert records.width_for(word_bpe(), 2) == 2 and records.width_for(word_bpe(), 70_000) == 4
+    with pytest.raises(ValueError):
+        records.packed(1, np.array([1, 70_000]), 2)
+    out = records.read_records(records.write_records(docs(spark, {1: "a b", 2: None}), word_bpe(), 70_000)).orderBy("doc_id").collect()
+    assert [np.frombuffer(r["ids"], "<u4")[-1] for r in out] == [70_000, 70_000] and out[1]["start"] == len(out[0]["ids"]) // 4
+
+
 # ---- op4
 
 
@@ -297,6 +370,73 @@ def test_forward_backward_is_exact():
         assert n == 0 or np.allclose(p[a:z], ones / total)
 
 
+def test_pair_marginals_and_gradient_are_exact():
+    rnd = np.random.default_rng(2)
+    first, trans, emit = np.array([0, 4, 5, 8]), rnd.normal(size=(2, 2)), rnd.normal(size=8)
+    _, pair = toxicity.marginals(emit, first, trans)
+    for a, z in zip(first[:-1], first[1:], strict=True):
+        n, total, want = z - a, 0.0, np.zeros((z - a, 4))
+        for code in range(1 << n):
+            y = [code >> i & 1 for i in range(n)]
+            w = np.exp(sum(emit[a + i] * y[i] for i in range(n)) + sum(trans[y[i], y[i + 1]] for i in range(n - 1)))
+            total += w
+            for i in range(1, n):
+                want[i, 2 * y[i - 1] + y[i]] += w
+        for i in range(1, n):
+            assert np.allclose(pair[:, a + i], want[i] / total)
+
+    def log_likelihood(trans, tags):
+        out = 0.0
+        for a, z in zip(first[:-1], first[1:], strict=True):
+            n = z - a
+            weight = lambda y: sum(emit[a + i] * y[i] for i in range(n)) + sum(trans[y[i], y[i + 1]] for i in range(n - 1))  # noqa: B023, E731
+            out += weight(tags[a:z]) - np.log(sum(np.exp(weight([c >> i & 1 for i in range(n)])) for c in range(1 << n)))
+        return out
+
+    tags = [1, 0, 0, 1, 1, 0, 1, 1]
+    inner = [1, 2, 3, 6, 7]
+    want = pair[:, inner].sum(axis=1).reshape(2, 2)
+    for a in (0, 1):
+        for b in (0, 1):
+            up, down = trans.copy(), trans.copy()
+            up[a, b] += 1e-5
+            down[a, b] -= 1e-5
+            seen = sum(tags[i - 1] == a and tags[i] == b for i in inner)
+            assert (log_likelihood(up, tags) - log_likelihood(down, tags)) / 2e-5 == pytest.approx(seen - want[a, b], abs=1e-5)
+
+
+def toxic_corpus(copies=0):
+    rnd, rows, labels = random.Random(6), {}, []
+    for i in range(160):
+        w = text(i, 30).split()
+        if i % 4 == 0:
+            for j in rnd.sample(range(30), 3):
+                w[j] = rnd.choice(["vileword", "nastyword", "Foulword"])
+        rows[i], _ = " ".join(w), labels.append((i, int(i % 4 == 0)))
+    for i in range(1000, 1000 + copies):
+        rows[i], _ = rows[0], labels.append((i, 1))
+    return rows, labels
+
+
+def test_toxic_words_in_a_crowd_of_copies(spark):
+    """Most toxic documents are copies of one: its words count once, the others stay seeds."""
+    rows, labels = toxic_corpus(400)
+    df = docs(spark, rows)
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = {r["doc_id"]: r["score"] >= toxicity.CUT for r in toxicity.score(df, model, with_spans=False).collect()}
+    assert all(out[i] == (i % 4 == 0 or i >= 1000) for i in out)
+
+
+def test_toxic_offsets_are_of_the_text_as_it_stands(spark):
+    rows, labels = toxic_corpus()
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    odd = {1: "İİİ and vileword here", 2: "ẞé NASTYWORD, ǅ", 3: None}
+    out = {r["doc_id"]: r["spans"] for r in toxicity.score(docs(spark, odd), model).collect()}
+    assert [[odd[i][s["start"] : s["end"]] for s in out[i]] for i in (1, 2)] == [["vileword"], ["NASTYWORD"]] and out[3] == []
+    empty = docs(spark, {})
+    assert toxicity.score(empty, model).count() == 0 and toxicity.fit(empty, spark.createDataFrame(labels, "doc_id long, toxic int")) is None
+
+
 def test_toxicity(spark):
     rnd, rows, labels = random.Random(6), {}, []
     for i in range(160):
@@ -362,8 +502,11 @@ def test_pack_documents(spark):
 # ---- op7
 
 
-@pytest.mark.parametrize("options", [{}, {"small_rows": 0}, {"hash_all": True}, {"prefix_chars": 1}])
-def test_exact_groups(spark, options):
+@pytest.mark.parametrize("options", [{}, {"join": "shuffle"}, {"hash_all": True}, {"prefix_chars": 1}])
+def test_exact_groups(spark, options, monkeypatch):
+    options = dict(options)
+    if options.pop("join", None):
+        monkeypatch.setattr(exact, "broadcast_if_small", lambda df: df)
     rows = [*ODD.items(), (20, "o n e"), (21, "One "), (22, "One"), (23, " One"), (None, "One"), (24, "x" * 50_000), (25, "x" * 49_999 + "y"), (24, "x" * 50_000)]
     got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.exact_groups(docs(spark, rows), **options).collect()]
     norm = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
@@ -376,6 +519,9 @@ def test_exact_groups(spark, options):
     order = lambda x: sorted(map(repr, x))
     assert order(got) == order(want)
     assert exact.exact_groups(docs(spark, {}), **options).count() == 0
+    hashed = {r["doc_id"] for r in exact.exact_groups(docs(spark, rows), **options).collect() if r["text_sha256"]}
+    assert 9 not in hashed or "hash_all" in options  # a text of a length of its own is not hashed, however the join runs
+    assert {5, 6, 22, 23} <= hashed
 
 
 def test_drop_copies_keeps_columns(spark):
@@ -428,6 +574,56 @@ def test_decontamination(spark):
     assert benchmark.contaminated(docs(spark, {}), items).count() == 0 == benchmark.contaminated(docs(spark, rows), items.filter("false")).count()
 
 
+def test_a_name_that_opens_a_sentence_is_a_name(spark):
+    assert benchmark.canonical("Maria")[0] == benchmark.NAME == benchmark.canonical("Joana,")[0] and benchmark.canonical("The")[1] == "the" == benchmark.canonical("the")[1]
+    q = "Maria has 3 apples in her basket and gives 2 of them to Pedro. How many apples does Maria have left in the basket now?"
+    items = spark.createDataFrame([(1, q)], "item_id long, text string")
+    other = q.replace("Maria", "Joana").replace("3", "5").replace("2", "4").replace("Pedro", "Ana")
+    got = benchmark.contaminated(docs(spark, {1: other, 2: "Well. " + q, 3: text(5)}), items).collect()
+    assert sorted((r["doc_id"], r["coverage"], r["reparameterised"]) for r in got) == [(1, 1.0, True), (2, 1.0, False)]
+
+
+def brute_contaminated(rows, items, k=8, literal=4, share=0.5, run=6):
+    """Every window of every item at every distance in every document."""
+    out = {}
+    for d, t in rows:
+        doc = benchmark.template(t)
+        for i, u in items:
+            item = benchmark.template(u)
+            own = [p for p in range(len(item) - k + 1) if sum(x[0] == benchmark.PLAIN for x in item[p : p + k]) >= literal]
+            for shift in range(-len(item), len(doc)):
+                met = [p for p in own if 0 <= p + shift <= len(doc) - k and [x[1] for x in item[p : p + k]] == [x[1] for x in doc[p + shift : p + shift + k]]]
+                kept = benchmark.aligned(item, doc, shift, met, k)[0] if met else []
+                runs = [n for n in range(1, len(kept) + 1) if any(all(p + j in kept for j in range(n)) for p in kept)]
+                if kept and (len(kept) >= share * len(own) or max(runs) >= run):
+                    out[d, i] = max(out.get((d, i), 0), len(kept))
+    return out
+
+
+def test_decontamination_is_brute_force(spark):
+    """Items that share openings, are alike, or share an item_id; documents with parts of them, values changed; null ids, repeats."""
+    rnd = random.Random(12)
+    opening = "Read the following question about the river and then choose the best answer below."
+    body = [text(300 + i, rnd.randint(8, 25)) + f" for {i + 3} km or {i * 7 + 2} miles with Anna" for i in range(8)]
+    items = [(i, f"{opening} {b}") for i, b in enumerate(body)] + [(20, f"{opening} {body[0]}"), (2, body[5]), (21, opening), (22, "short one"), (None, body[1])]
+    rows = []
+    for d in range(30):
+        w = f"{rnd.choice([opening, ''])} {rnd.choice(body)}".split()
+        cut = rnd.randint(0, len(w) // 2)
+        part = " ".join(w[cut : cut + rnd.randint(6, 40)]).replace("km", rnd.choice(["km", "miles"])).replace("Anna", rnd.choice(["Anna", "Bert"]))
+        rows.append((rnd.choice([d, d, d, 3]), f"{text(400 + d, rnd.randint(0, 12))} {part} {text(500 + d, 5)}"))
+    rows += [(40, None), (41, ""), (42, opening), rows[0], (43, (text(7, 3000) + " " + body[2]))]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_windows"] for r in benchmark.contaminated(docs(spark, rows), df).collect()}
+    want = brute_contaminated([x for x in rows if x[0] is not None], [x for x in items if x[0] is not None])
+    assert got == want and len(want) > 20
+    # removal goes by text: rows without a doc_id are judged too
+    rows = [(None if i % 5 == 0 else d, t) for i, (d, t) in enumerate(rows)]
+    dirty = {t for (n, i) in brute_contaminated([(t, t) for _, t in rows if t], [x for x in items if x[0] is not None]) for t in [n]}
+    stay = sorted(map(repr, (x for x in rows if x[1] not in dirty)))
+    assert sorted(repr((r["doc_id"], r["text"])) for r in benchmark.drop_contaminated(docs(spark, rows), df).collect()) == stay
+
+
 # ---- op10
 
 
@@ -464,6 +660,24 @@ def test_substring_dedup(spark, most):
     assert got == brute_repeats(rows)
 
 
+def test_substring_heavy_minimizers_and_later_rounds(spark, monkeypatch):
+    passage = text(88, 20)
+    rows = {i: f"{text(1000 + i, 4)} {passage} {text(2000 + i, 4)}" for i in range(150)}
+    df = docs(spark, rows).select("doc_id", "text", F.lit(0).cast("long").alias("tie"))
+    assert len(substring._heavy(df, 13, 6, 0, 100)) > 0 == len(substring._heavy(df, 13, 6, 0, 10_000))
+    b = Block([passage.encode(), passage.encode()])
+    h = substring._word_hashes(b, 1)
+    assert h[:20].tolist() == h[20:].tolist() != b.hashes(b.starts, b.ends)[:20].tolist() and len(set(h.tolist())) == len(set(passage.split()))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(docs(spark, rows), most=100).collect()}
+    assert got == brute_repeats(rows)
+    # hashes that collide at first: the digests notice, and the next round is right
+    plain = substring._word_hashes
+    monkeypatch.setattr(substring, "_word_hashes", lambda block, seed: plain(block, seed) if seed else np.ones(len(block.starts), np.uint64))
+    few = {i: rows[i] for i in range(4)}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(docs(spark, few)).collect()}
+    assert got == brute_repeats(few)
+
+
 def test_substring_null_and_repeated_ids(spark):
     p = text(77, 30)
     rows = [(None, p), (None, p), (1, p), (2, "x " + p), (2, "y z " + p), (2, "y z " + p)]
