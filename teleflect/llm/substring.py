@@ -8,8 +8,10 @@ covered by a window that starts in a document with a smaller doc_id.
 
 Only edges that can repeat are gathered: each window belongs to its minimizer, the m-word stretch in it of the
 smallest hash, and equal windows have equal minimizers. So rows are dealt by minimizer, about one for every five
-windows, each with 64-bit hashes of its own windows. Then every span is verified against its source by a digest of the
-words themselves; should one fail, all is done again with word hashes of another kind.
+windows, each with 32-bit hashes of its own windows (64 bits where a minimizer is heavy). Then every span is verified
+against its source by a digest of the words themselves. Where hashes of different windows met, the smallest place of
+them all stands as source, so each mistake shows as a span that fails. Only the windows of failed spans are gone over
+again, with hashes of another kind, and verified again, until none fails.
 
 A minimizer that holds a large share of all rows never meets in one task: a first pass finds those few by mergeable
 counters, and their rows are spread evenly. So are, within a task, runs of over `most` rows. Windows of such minimizers
@@ -50,13 +52,13 @@ def _word_hashes(block: Block, seed: int) -> np.ndarray:
 
 
 class _Edges:
-    """Of a block of texts: minimizer, text and place (in words) of each run of windows under one minimizer; hash of every window; where each run's begin."""
+    """Of a block of texts: minimizer, text and place (in words) of each run of windows under one minimizer; hash of every window (by seed); where each run's begin."""
 
     def __init__(self, texts: list[bytes], k: int, m: int, seed: int):
         block = Block(texts)
         first = block.first
-        words = _word_hashes(block, seed)
-        at, self.whole = windows(words, first, k)
+        words = _word_hashes(block, 0)
+        at, self.whole = windows(_word_hashes(block, seed) if seed else words, first, k)
         self.size = len(at)
         if not self.size:
             return
@@ -69,7 +71,7 @@ class _Edges:
         self.pos = (at[starts] - first[self.text]).astype(np.int32)
 
 
-def _heavy(docs: DataFrame, k: int, m: int, seed: int, most: int) -> np.ndarray:
+def _heavy(docs: DataFrame, k: int, m: int, most: int) -> np.ndarray:
     """Minimizers, sorted, of over 1 / (4 * shuffle partitions) of all rows, and perhaps some of nearly as many; none of under most / 10.
 
     Each task keeps twice that number of counters (a Misra-Gries summary, which merges by addition and misses no
@@ -81,7 +83,7 @@ def _heavy(docs: DataFrame, k: int, m: int, seed: int, most: int) -> np.ndarray:
         keys, sizes, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         for b in batches:
             for texts in blocks([(t or "").encode() for t in b["text"]]):
-                edges = _Edges(texts, k, m, seed)
+                edges = _Edges(texts, k, m, 0)
                 if not edges.size:
                     continue
                 total += len(edges.h)
@@ -99,8 +101,8 @@ def _heavy(docs: DataFrame, k: int, m: int, seed: int, most: int) -> np.ndarray:
     return np.array(sorted(r["h"] for r in counts.filter(~F.col("all") & (F.col("n") > max(total / n, most / 10))).select("h").collect()), np.int64)  # n of them at most
 
 
-def _minimizer_rows(docs: DataFrame, k: int, m: int, seed: int, heavy: np.ndarray) -> DataFrame:
-    """One row for each minimizer: its hash, where its first window starts (in words), 64-bit hashes of its windows. salt: 0, or any number to spread the rows of heavy ones."""
+def _minimizer_rows(docs: DataFrame, k: int, m: int, heavy: np.ndarray, seed: int = 0) -> DataFrame:
+    """One row for each minimizer: its hash, where its first window starts (in words), 32-bit hashes of its windows. Heavy ones have 64-bit hashes and as salt any positive number, to spread their rows; others 0."""
     n = partitions(docs.sparkSession)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,19 +114,20 @@ def _minimizer_rows(docs: DataFrame, k: int, m: int, seed: int, heavy: np.ndarra
                 edges = _Edges(texts, k, m, seed)
                 if not edges.size:
                     continue
-                data, cuts = edges.whole.astype("<u8").tobytes(), (edges.cuts * 8).tolist()
                 doc = ids[edges.text]
-                salt = np.where(np.isin(edges.h, heavy), 1 + (doc * 31 + edges.pos) % n, 0) if len(heavy) else 0
-                yield pd.DataFrame({"h": edges.h, "salt": np.int32(salt), "doc_id": doc, "tie": ties[edges.text], "pos": edges.pos, "wins": [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]})
+                salt = np.where(np.isin(edges.h, heavy), 1 + (doc * 31 + edges.pos) % n, 0).astype(np.int32)
+                short, whole = (edges.whole >> np.uint64(32)).astype("<u4").tobytes(), edges.whole.astype("<u8").tobytes() if salt.any() else b""
+                wins = [whole[8 * x : 8 * y] if wide else short[4 * x : 4 * y] for x, y, wide in zip(edges.cuts[:-1].tolist(), edges.cuts[1:].tolist(), salt.tolist(), strict=True)]
+                yield pd.DataFrame({"h": edges.h, "salt": salt, "doc_id": doc, "tie": ties[edges.text], "pos": edges.pos, "wins": wins})
 
     return docs.filter("doc_id is not null").mapInPandas(each, ROWS)
 
 
-def _spread(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window: its row, its place in the row, its hash."""
-    sizes = rows["wins"].map(len).to_numpy() // 8
+def _spread(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window: its row, its place in the row, its hash of `width` bytes."""
+    sizes = np.array([len(x) for x in rows["wins"]], np.int64) // width
     row = np.repeat(np.arange(len(rows)), sizes)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.frombuffer(b"".join(rows["wins"]), "<i8")
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.frombuffer(b"".join(rows["wins"]), f"<i{width}").astype(np.int64)
 
 
 def _matches(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +138,7 @@ def _matches(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
             hot |= all_rows["salt"].to_numpy() > 0
             if hot.any():
                 out = all_rows[hot]
-                yield pd.DataFrame({"h": out["h"], "doc_id": out["doc_id"], "tie": out["tie"], "pos": out["pos"], "wins": out["wins"], "n": 0, "src_doc": 0, "src_tie": 0, "src_pos": 0})
+                yield pd.DataFrame({**{c: out[c] for c in ("h", "salt", "doc_id", "tie", "pos", "wins")}, "n": 0, "src_doc": 0, "src_tie": 0, "src_pos": 0})
             cool, run = all_rows[~hot], all_run[~hot]
             if not len(cool):
                 continue
@@ -147,7 +150,7 @@ def _matches(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
                 continue
             cool, run, doc = cool[keep].reset_index(drop=True), run[keep], doc[keep]
             tie, start = cool["tie"].to_numpy(), cool["pos"].to_numpy()
-            row, place, win = _spread(cool)
+            row, place, win = _spread(cool, 4)
             pos = start[row] + place
             order = np.lexsort((pos, tie[row], doc[row], win, run[row]))
             r, w = run[row][order], win[order]
@@ -157,9 +160,9 @@ def _matches(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
             yield from _stretches(doc[row], tie[row], pos, doc[row][source], tie[row][source], pos[source], row)
 
     n = partitions(rows.sparkSession)
-    met = rows.repartition(n, "h", "salt").sortWithinPartitions("h", "salt").mapInPandas(scan, MATCHES + ", h long, wins binary")
+    met = rows.repartition(n, "h", "salt").sortWithinPartitions("h", "salt").mapInPandas(scan, MATCHES + ", h long, salt int, wins binary")
     met = stored(met, "matches")
-    return met.filter("n > 0").drop("h", "wins"), met.filter("n = 0").select("h", "doc_id", "tie", "pos", "wins")
+    return met.filter("n > 0").drop("h", "salt", "wins"), met.filter("n = 0").select("h", "salt", "doc_id", "tie", "pos", "wins")
 
 
 def _stretches(doc, tie, pos, src_doc, src_tie, src_pos, row) -> Iterator[pd.DataFrame]:
@@ -171,7 +174,7 @@ def _stretches(doc, tie, pos, src_doc, src_tie, src_pos, row) -> Iterator[pd.Dat
     new[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1) | (sd[1:] != sd[:-1]) | (st[1:] != st[:-1]) | (sp[1:] != sp[:-1] + 1)
     at = np.flatnonzero(new)
     n = np.diff(np.append(at, len(use)))
-    yield pd.DataFrame({"doc_id": d[at], "tie": t[at], "pos": p[at].astype(np.int32), "n": n.astype(np.int32), "src_doc": sd[at], "src_tie": st[at], "src_pos": sp[at].astype(np.int32), "h": 0, "wins": b""})
+    yield pd.DataFrame({"doc_id": d[at], "tie": t[at], "pos": p[at].astype(np.int32), "n": n.astype(np.int32), "src_doc": sd[at], "src_tie": st[at], "src_pos": sp[at].astype(np.int32), "h": 0, "salt": np.int32(0), "wins": b""})
 
 
 def _hot_matches(rows: DataFrame) -> DataFrame:
@@ -179,8 +182,9 @@ def _hot_matches(rows: DataFrame) -> DataFrame:
 
     def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            row, place, win = _spread(b)
-            yield pd.DataFrame({c: b[c].to_numpy()[row] for c in ("h", "doc_id", "tie")} | {"pos": (b["pos"].to_numpy()[row] + place).astype(np.int32), "win": win})
+            for width, own in ((4, b[b["salt"] == 0]), (8, b[b["salt"] > 0])):
+                row, place, win = _spread(own, width)
+                yield pd.DataFrame({c: own[c].to_numpy()[row] for c in ("h", "doc_id", "tie")} | {"pos": (own["pos"].to_numpy()[row] + place).astype(np.int32), "win": win})
 
     one = rows.mapInPandas(single, "h long, doc_id long, tie long, pos int, win long")
     first = one.groupBy("h", "win").agg(F.min(F.struct("doc_id", "tie", "pos")).alias("s"), F.max("doc_id").alias("last")).filter("last > s.doc_id").drop("last")
@@ -197,18 +201,36 @@ def _compact(matches: DataFrame) -> DataFrame:
     return path.groupBy("doc_id", "tie", "path").agg(F.min("pos").alias("pos"), F.sum("n").cast("int").alias("n"), F.first("src_doc").alias("src_doc"), F.first("src_tie").alias("src_tie"), F.min("src_pos").alias("src_pos")).drop("path")
 
 
-def repeated_spans(docs: DataFrame, k: int = 13, m: int = 6, most: int = 200_000, seed: int = 0) -> DataFrame:
-    """docs(doc_id, tie, text) -> MATCHES, n counted in windows: a span has n + k - 1 words."""
-    matches, hot = _matches(_minimizer_rows(docs, k, m, seed, _heavy(docs, k, m, seed, most)), most)
-    if hot.limit(1).count():
-        matches = matches.unionByName(_hot_matches(hot))
-    return stored(_compact(matches), "spans")
+def repeated_spans(docs: DataFrame, k: int = 13, m: int = 6, most: int = 200_000) -> DataFrame:
+    """docs(doc_id, tie, text) -> MATCHES, n counted in windows: a span has n + k - 1 words. Not verified yet."""
+    return stored(_compact(_found(_minimizer_rows(docs, k, m, _heavy(docs, k, m, most)), most)), "spans")
+
+
+def _found(rows: DataFrame, most: int) -> DataFrame:
+    matches, hot = _matches(rows, most)
+    return matches.unionByName(_hot_matches(hot)) if hot.limit(1).count() else matches
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, src_doc long, src_tie long, src_pos int, n int, digest string, of_source boolean"
+def _mended(docs: DataFrame, spans: DataFrame, failed: DataFrame, k: int, m: int, most: int, seed: int) -> DataFrame:
+    """spans, where the windows of failed ones are matched again by hashes of another kind among all rows of their minimizers."""
+    key = ["doc_id", "tie", "pos"]
+    failed = stored(spans.join(failed.select("src_doc", "src_tie", "src_pos", "n", *key), ["src_doc", "src_tie", "src_pos", "n", *key], "left_semi"), "failed")
+    none = np.zeros(0, np.int64)
+    bad = failed.select("doc_id", "tie", F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("z"))
+    theirs = docs.join(broadcast_if_small(stored(bad.select("doc_id", "tie").distinct(), "failed-documents")), ["doc_id", "tie"], "left_semi")
+    own = _minimizer_rows(theirs, k, m, none).withColumn("end", F.col("pos") + F.floor(F.octet_length("wins") / 4))
+    touched = stored(own.join(bad, ["doc_id", "tie"]).filter((F.col("pos") < F.col("z")) & (F.col("end") > F.col("a"))).select("h").distinct(), "failed-minimizers")
+    again = _found(_minimizer_rows(docs, k, m, none, seed).join(broadcast_if_small(touched), "h", "left_semi"), most)
+    lap = again.join(bad, ["doc_id", "tie"]).filter((F.col("pos") < F.col("z")) & (F.col("pos") + F.col("n") > F.col("a")))
+    cut = F.greatest(F.col("a") - F.col("pos"), F.lit(0))
+    lap = lap.select("doc_id", "tie", (F.col("pos") + cut).alias("pos"), (F.least(F.col("z"), F.col("pos") + F.col("n")) - F.col("pos") - cut).alias("n"), "src_doc", "src_tie", (F.col("src_pos") + cut).alias("src_pos"))
+    return stored(_compact(spans.join(failed, spans.columns, "left_anti").unionByName(lap)), "spans")
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, with_text: bool = True, most: int = 200_000) -> DataFrame:
+RESULT = "doc_id long, tie long, pos int, n_words long, n_removed long, kept_sha256 string, kept_text string, src_doc long, src_tie long, src_pos int, n int, digest string, of_source boolean"
+
+
+def remove_repeats(docs: DataFrame, k: int = 13, with_text: bool = True, most: int = 200_000, m: int = 6) -> DataFrame:
     """docs(doc_id, text) without the words of spans that a smaller document has: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     kept_text: the words that stay, joined by one space (null unless with_text).
@@ -221,32 +243,35 @@ def remove_repeats(docs: DataFrame, k: int = 13, with_text: bool = True, most: i
         sha = lambda words: hashlib.sha256(b" ".join(words)).hexdigest()
         for b in batches:
             out = []
-            for doc_id, text, spans, asked in zip(b["doc_id"], b["text"], b["spans"], b["asked"], strict=True):
+            for doc_id, tie, text, spans, asked in zip(b["doc_id"], b["tie"], b["text"], b["spans"], b["asked"], strict=True):
                 words = (text or "").encode().split()
                 kept = words
                 if spans is not None and len(spans):
                     gone = np.zeros(len(words), bool)
                     for s in spans:
                         gone[s["pos"] : s["pos"] + s["n"] + k - 1] = True
-                        out.append((None, None, None, None, None, s["src_doc"], s["src_tie"], s["src_pos"], s["n"], sha(words[s["pos"] : s["pos"] + s["n"] + k - 1]), False))
+                        out.append((doc_id, tie, s["pos"], None, None, None, None, s["src_doc"], s["src_tie"], s["src_pos"], s["n"], sha(words[s["pos"] : s["pos"] + s["n"] + k - 1]), False))
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 if asked is not None:
                     for s in asked:
-                        out.append((None, None, None, None, None, s["src_doc"], s["src_tie"], s["src_pos"], s["n"], sha(words[s["src_pos"] : s["src_pos"] + s["n"] + k - 1]), True))
+                        out.append((None, None, None, None, None, None, None, s["src_doc"], s["src_tie"], s["src_pos"], s["n"], sha(words[s["src_pos"] : s["src_pos"] + s["n"] + k - 1]), True))
                 whole = b" ".join(kept)
-                out.append((None if pd.isna(doc_id) else int(doc_id), len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), whole.decode() if with_text else None, None, None, None, None, None, None))
+                out.append((None if pd.isna(doc_id) else int(doc_id), None, None, len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), whole.decode() if with_text else None, None, None, None, None, None, None))
             names = [x.split()[0] for x in RESULT.split(", ")]
-            yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("doc_id", "n_words", "n_removed", "src_doc", "src_tie", "src_pos", "n")})
+            yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("doc_id", "tie", "pos", "n_words", "n_removed", "src_doc", "src_tie", "src_pos", "n")})
 
-    for seed in itertools.count():  # a second round has about one chance in 2**64 / (pairs of windows of one minimizer)
-        spans = repeated_spans(docs, k, most=most, seed=seed)
-        source = ("src_doc", "src_tie", "src_pos", "n")
+    spans = repeated_spans(docs, k, m, most)
+    source = ("src_doc", "src_tie", "src_pos", "n")
+    for seed in itertools.count(1):
         own = spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "n", "src_doc", "src_tie", "src_pos")).alias("spans"))
         asked = spans.select(*source).distinct().groupBy(F.col("src_doc").alias("doc_id"), F.col("src_tie").alias("tie")).agg(F.collect_list(F.struct(*source)).alias("asked"))
-        out = stored(docs.join(own, ["doc_id", "tie"], "left").join(asked, ["doc_id", "tie"], "left").select("doc_id", "text", "spans", "asked").mapInPandas(apply, RESULT), "kept")
+        out = stored(docs.join(own, ["doc_id", "tie"], "left").join(asked, ["doc_id", "tie"], "left").select("doc_id", "tie", "text", "spans", "asked").mapInPandas(apply, RESULT), "kept")
         ours, theirs = out.filter("not of_source"), out.filter("of_source").select(*source, F.col("digest").alias("known")).distinct()
-        if not ours.join(theirs, list(source), "left").filter("not digest <=> known").limit(1).count():
+        failed = ours.join(theirs, list(source), "left").filter("not digest <=> known")
+        if not failed.limit(1).count():
             return out.filter("of_source is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
+        spans = _mended(docs, spans, failed, k, m, most, seed)
+
 
 SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
