@@ -664,18 +664,36 @@ def test_substring_heavy_minimizers_and_later_rounds(spark, monkeypatch):
     passage = text(88, 20)
     rows = {i: f"{text(1000 + i, 4)} {passage} {text(2000 + i, 4)}" for i in range(150)}
     df = docs(spark, rows).select("doc_id", "text", F.lit(0).cast("long").alias("tie"))
-    assert len(substring._heavy(df, 13, 6, 0, 100)) > 0 == len(substring._heavy(df, 13, 6, 0, 10_000))
+    assert len(substring._heavy(df, 13, 6, 100)) > 0 == len(substring._heavy(df, 13, 6, 10_000))
     b = Block([passage.encode(), passage.encode()])
     h = substring._word_hashes(b, 1)
     assert h[:20].tolist() == h[20:].tolist() != b.hashes(b.starts, b.ends)[:20].tolist() and len(set(h.tolist())) == len(set(passage.split()))
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(docs(spark, rows), most=100).collect()}
     assert got == brute_repeats(rows)
-    # hashes that collide at first: the digests notice, and the next round is right
-    plain = substring._word_hashes
-    monkeypatch.setattr(substring, "_word_hashes", lambda block, seed: plain(block, seed) if seed else np.ones(len(block.starts), np.uint64))
-    few = {i: rows[i] for i in range(4)}
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(docs(spark, few)).collect()}
-    assert got == brute_repeats(few)
+
+
+@pytest.mark.parametrize("most", [200_000, 20])
+def test_substring_mends_hashes_that_met(spark, monkeypatch, most):
+    """First-round hashes that take few values: digests notice, and only windows of failed spans are matched again."""
+    rnd, rows = random.Random(4), {}
+    passages = [text(700 + i, 30).split() for i in range(4)]
+    for i in range(30):
+        w = text(800 + i, rnd.randint(0, 20)).split()
+        for p in rnd.sample(passages, 2):
+            a = rnd.randint(0, 12)
+            w += p[a : a + rnd.randint(13, 30)]
+        rows[i] = " ".join(w)
+    edges = substring._Edges
+
+    class Weak(edges):
+        def __init__(self, texts, k, m, seed):
+            super().__init__(texts, k, m, seed)
+            if self.size and seed < 2:
+                self.whole = self.whole % np.uint64(3) << np.uint64(32)
+
+    monkeypatch.setattr(substring, "_Edges", Weak)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(docs(spark, rows), most=most).collect()}
+    assert got == brute_repeats(rows)
 
 
 def test_substring_null_and_repeated_ids(spark):
