@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bucket, cosine, poisson_tail
+from ..functions.exprs import bucket, poisson_tail
 from ..params import Campaign
+from .folds import ordered_fold
 
 
 def touching_groups(incidents: DataFrame, key: str, bucket_col: str) -> DataFrame:
@@ -65,18 +67,37 @@ def top_codes(codes: DataFrame, group: list[str], k: int = 3) -> DataFrame:
     return n.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
-def most_similar(wanted: DataFrame, catalogue: DataFrame, k: int = 3) -> DataFrame:
+def most_similar(wanted: DataFrame, catalogue: DataFrame, k: int = 3, block: int = 2_000, chunk: int = 20_000) -> DataFrame:
     """id, other_id, similarity, rank: the k catalogue vectors of the largest cosine, ties by id; itself left out.
 
-    Exact and blockwise: every wanted vector against the whole catalogue, which is sent to the tasks (a catalogue of
-    known cases; its size does not grow with the readings).
+    Exact and blockwise: about `block` wanted vectors and `chunk` catalogue vectors meet in a task, which keeps k of
+    the latter for each of the former; what is kept is merged by grouping. No side is sent whole to anyone.
     """
-    pairs = wanted.crossJoin(F.broadcast(catalogue.select(F.col("id").alias("other_id"), F.col("vector").alias("other")))).filter("id <> other_id")
-    sim = pairs.select("id", "other_id", F.round(cosine(F.col("vector"), F.col("other")), 6).alias("similarity"))
-    # a fold of the k best keeps what one unit gathers small
-    best = sim.groupBy("id").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("similarity", (-F.col("other_id")).alias("minus"))))), 1, k).alias("best"))
-    out = best.select("id", F.posexplode("best").alias("rank", "b"))
-    return out.select("id", (-F.col("b.minus")).alias("other_id"), F.col("b.similarity").alias("similarity"), (F.col("rank") + 1).cast("long").alias("rank"))
+    blocks, chunks = (-(-max(1, d.count()) // n) for d, n in ((wanted, block), (catalogue, chunk)))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vector = F.transform("vector", lambda x: x.cast("double")).alias("vector")
+    left = wanted.select("id", vector, part(blocks).alias("b"), each(chunks).alias("c"))
+    right = catalogue.select("id", vector, part(chunks).alias("c"), each(blocks).alias("b"))
+
+    def best(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(ours) and len(theirs):
+            x, y = np.stack(ours["vector"].to_list()), np.stack(theirs["vector"].to_list())
+            nx, ny, ids = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1), theirs["id"].to_numpy()
+            for at in range(0, len(x), 256):
+                size = nx[at : at + 256, None] * ny[None, :]
+                sim = np.round(np.divide(x[at : at + 256] @ y.T, size, out=np.zeros_like(size), where=size > 0), 6)
+                for i, row in zip(ours["id"].to_numpy()[at : at + 256], sim, strict=True):
+                    row[ids == i] = -np.inf
+                    least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                    near = np.flatnonzero((row >= least) & (row > -np.inf))
+                    found += [(i, ids[j], row[j]) for j in near[np.lexsort((ids[near], -row[near]))][:k]]
+        return pd.DataFrame(found, columns=["id", "other_id", "similarity"])
+
+    kept = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(best, "id long, other_id long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other_id"))
+    return kept.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
 def at_risk(hourly: DataFrame, key: list[str], p: Campaign = Campaign()) -> DataFrame:
@@ -189,25 +210,25 @@ class Book:
         return []
 
 
+def book_step(book: Book, row: tuple) -> list[tuple]:
+    """One action on a key's book: the events that it makes. row: family_key, ts, seq, kind, vin, runaway, vans, per_1000."""
+    key, ts, _, kind, vin, runaway, _, _ = row
+    if kind == "INCIDENT":
+        made = book.incident(vin, int(ts.value // (book.p.bucket_h * 3_600_000_000_000)), ts, bool(runaway))
+    elif kind == "DISMISS":
+        made = book.dismiss(ts)
+    else:
+        made = book.outcome(vin, kind == "FIXED", ts)
+    return [(key, *e.values()) for e in made]
+
+
+def actions_in_order(actions: DataFrame) -> DataFrame:
+    return actions.select("family_key", F.col("ts").cast("timestamp").alias("ts"), "seq", "kind", "vin", "runaway", "vans", "per_1000")
+
+
 def campaign_fold(actions: DataFrame, p: Campaign = Campaign()) -> DataFrame:
     """actions(family_key, seq, ts, kind, vin, runaway, vans, per_1000) -> EVENTS. kind: INCIDENT, DISMISS, FIXED or NOT_FIXED, taken in (ts, seq) order."""
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts", "seq"], kind="stable")
-        first = g.iloc[0]
-        book, out = Book(p, int(first["vans"]), float(first["per_1000"])), []
-        for r in g.itertuples():
-            if r.kind == "INCIDENT":
-                made = book.incident(r.vin, int(r.ts.value // (p.bucket_h * 3_600_000_000_000)), r.ts, bool(r.runaway))
-            elif r.kind == "DISMISS":
-                made = book.dismiss(r.ts)
-            else:
-                made = book.outcome(r.vin, r.kind == "FIXED", r.ts)
-            out += [{"family_key": first["family_key"], **e} for e in made]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in EVENTS.split(", ")])
-
-    cols = ["family_key", "seq", F.col("ts").cast("timestamp").alias("ts"), "kind", "vin", "runaway", "vans", "per_1000"]
-    return actions.select(*cols).groupBy("family_key").applyInPandas(fold, EVENTS)
+    return ordered_fold(actions_in_order(actions), ["family_key"], ["ts", "seq"], lambda r: Book(p, int(r[6]), float(r[7])), book_step, EVENTS)
 
 
 def bucketed(incidents: DataFrame, p: Campaign = Campaign()) -> DataFrame:

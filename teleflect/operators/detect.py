@@ -4,27 +4,30 @@ from __future__ import annotations
 
 from math import exp, isnan
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bucket, hours
-from ..params import METRICS, Detect, Metric
+from ..params import Detect, Metric
+from .folds import ordered_fold
 
 
 def weighted_trend(rows: DataFrame, keys: list[str], tau_h: float = 12.0, order: str = "seq") -> DataFrame:
     """rows(keys, ts, y, order), in event order per key -> weight, mean, slope of an exponentially forgetting line at each row.
 
-    Running sums of exp(t / tau) * {1, t, t^2, y, ty} from the key's first row, re-centred at each row. Valid while a
-    key spans under 600 tau; split longer histories by a period first.
+    Running sums of exp(t / tau) * {1, t, t^2, y, ty}, re-centred at each row. A key's time is cut into stretches of 400
+    tau that each begin anew, fed with the 40 tau before them (what is older weighs under 1e-17), so no span overflows.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = (hours(F.col("ts")) - F.min(hours(F.col("ts"))).over(Window.partitionBy(*keys))).alias("t")
-    d = rows.select("*", t)
+    t = hours(F.col("ts")) - F.min(hours(F.col("ts"))).over(Window.partitionBy(*keys))
+    length = F.lit(400.0 * tau_h)
+    d = rows.select("*", t.alias("__t")).withColumn("__p", F.floor(F.col("__t") / length).cast("long"))
+    late = F.col("__t") - F.col("__p") * length >= 360.0 * tau_h
+    d = d.withColumn("__in", F.explode(F.when(late, F.array(F.col("__p"), F.col("__p") + 1)).otherwise(F.array("__p"))))
+    d = d.withColumn("t", F.col("__t") - F.col("__in") * length)
+    run = Window.partitionBy(*keys, "__in").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     g = F.exp(F.col("t") / tau_h)
     sums = {"s0": g, "s1": g * F.col("t"), "s2": g * F.col("t") * F.col("t"), "sy": g * F.col("y"), "sty": g * F.col("t") * F.col("y")}
-    d = d.withColumns({k: F.sum(v).over(run) for k, v in sums.items()})
+    d = d.withColumns({k: F.sum(v).over(run) for k, v in sums.items()}).filter(F.col("__in") == F.col("__p"))
     shrink = F.exp(-F.col("t") / tau_h)
     weight = F.col("s0") * shrink
     mt, my = F.col("s1") / F.col("s0"), F.col("sy") / F.col("s0")
@@ -108,16 +111,15 @@ class Line:
 
 
 class Unit:
-    """State of one unit and metric: guard, trends, k-of-n ring, open incident. step() takes one qualifying reading."""
+    """State of one unit and metric: guard, trends, k-of-n ring, run counters. step() takes one qualifying reading."""
 
-    def __init__(self, metric: Metric, p: Detect, median: float, mad: float, slope_median: float = 0.0, slope_mad: float = 0.0):
-        self.m, self.p, self.base = metric, p, (median, mad, slope_median, slope_mad)
+    def __init__(self, metric: Metric, p: Detect):
+        self.m, self.p = metric, p
         self.slow, self.fast = Line(p.tau_h), Line(p.fast_tau_h)
         self.last: tuple[float, float] | None = None
         self.rejected: tuple[int, float, float] = (0, 0.0, 0.0)
         self.ring: list[bool] = []
         self.normal = self.toward = 0
-        self.open: dict | None = None
 
     def _guard(self, t: float, y: float) -> bool:
         """Whether the reading is taken. A run of rejected readings that agree over long enough restarts the trend."""
@@ -134,20 +136,21 @@ class Unit:
             return True
         return False
 
-    def step(self, t: float, y: float, peers: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> dict | None:
-        """t in hours; peers: deviation, slope deviation and fast slope of the peers now. Returns the score and what it did to the incident, if scored."""
+    def step(self, t: float, y: float, normal: tuple[float, float, float, float], peers: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> dict | None:
+        """t in hours; normal: median, MAD, slope median, slope MAD; peers: their deviation, slope deviation and fast slope now. Returns the score, if scored."""
         m, p = self.m, self.p
         if not self._guard(t, y):
             return None
         self.slow.add(t, y)
         self.fast.add(t, y)
         self.last = (t, y)
-        median, mad, slope_median, slope_mad = self.base
+        median, mad, slope_median, slope_mad = normal
         if self.slow.n < p.min_weight or isnan(median):
             return None
-        dev, slope = self.slow.mean - median, self.slow.slope
+        slope = self.slow.slope
+        dev, slope_dev = self.slow.mean - median, 0.0 if slope is None else slope - slope_median
         z = m.direction * (dev - peers[0]) / (1.4826 * max(mad, m.min_mad))
-        zs = 0.0 if slope is None else m.direction * (slope - slope_median - peers[1]) / (1.4826 * max(slope_mad, m.min_slope_mad))
+        zs = 0.0 if slope is None else m.direction * (slope_dev - peers[1]) / (1.4826 * max(slope_mad, m.min_slope_mad))
         abnormal = z >= p.z_level or (zs >= p.z_slope and z >= p.z_level_with_slope)
         self.ring = [*self.ring[-(p.n - 1) :], abnormal]
         confirmed = sum(self.ring) >= p.k
@@ -158,47 +161,160 @@ class Unit:
             if rate is not None and rate >= m.min_rate:
                 left = max(0.0, m.direction * (m.hard_limit - self.fast.now) / rate)
             self.toward = self.toward + 1 if abnormal and confirmed and left is not None and left < p.runaway_h else 0
-        runaway = self.toward >= p.runaway_run
-        action = None
-        if self.open is None and confirmed:
-            severity = "CRITICAL" if runaway else "HIGH" if z >= 2 * p.z_level else "WARN"
-            self.open = {"bucket": int(t // p.bucket_h), "severity": severity, "runaway": runaway}
+        return {"dev": dev, "adj": dev - peers[0], "z": z, "zs": zs, "confirmed": confirmed, "hours_left": left, "runaway": self.toward >= p.runaway_run}
+
+
+class Vehicle:
+    """State of one unit: its metrics, codes by hour and family, open incidents, last repair. step() takes a reading, codes or a repair."""
+
+    def __init__(self, metrics: dict[str, tuple[str, Metric]], p: Detect):
+        self.metrics, self.p = metrics, p  # metric -> family, parameters
+        self.units: dict[str, Unit] = {}
+        self.codes: dict[str, dict[int, int]] = {}
+        self.usual: dict[str, float] = {}
+        self.open: dict[str, dict] = {}
+        self.repaired, self.seen = float("-inf"), None
+
+    def _rate(self, family: str, t: float) -> tuple[int, bool]:
+        """Codes of the family in this hour and the 23 before, and whether they are well above what is usual a day."""
+        ring, hour = self.codes.get(family, {}), int(t // 1)
+        for h in [h for h in ring if h < hour - 48]:
+            del ring[h]
+        n = sum(c for h, c in ring.items() if hour - 23 <= h <= hour)
+        return n, n >= max(self.p.code_min, self.p.code_factor * self.usual.get(family, 0.0))
+
+    def _row(self, t, family, metric=None, score=None, action=None, incident=None) -> dict:
+        s, i = score or {}, incident or {}
+        return {"metric": metric, "family": family, **{c: s.get(c) for c in ("dev", "adj", "z", "zs", "confirmed", "hours_left")}, "codes24": self._rate(family, t)[0], "action": action, "trigger": i.get("trigger"), "bucket": i.get("bucket"), "severity": i.get("severity")}
+
+    def _code_rule(self, family: str, t: float) -> list[dict]:
+        active, now = self._rate(family, t)[1], self.open.get(family)
+        if now is None and active:
+            self.open[family] = now = {"bucket": int(t // self.p.bucket_h), "trigger": "CODE_RATE", "severity": "WARN", "runaway": False}
+            return [self._row(t, family, action="OPEN", incident=now)]
+        if now is not None and now["trigger"] == "CODE_RATE" and not active:
+            del self.open[family]
+            return [self._row(t, family, action="CLOSE", incident=now)]
+        return []
+
+    def step(self, t: float, kind: str, name: str, y: float, usual: float | None, normal: tuple, peers: tuple) -> list[dict]:
+        """kind READING: name is a metric, y its value; CODES: name is a family, y their number; REPAIR: trends, rings and codes start again, open incidents stay until readings close them."""
+        if kind == "REPAIR":
+            if t > self.repaired:
+                self.repaired, self.units, self.codes = t, {}, {}
+            return []
+        if t < self.repaired:
+            return []
+        if kind == "CODES":
+            ring = self.codes.setdefault(name, {})
+            ring[int(t // 1)] = ring.get(int(t // 1), 0) + int(y)
+            self.usual[name] = usual or 0.0
+            return self._code_rule(name, t)
+        family, m = self.metrics[name]
+        if usual is not None:
+            self.usual[family] = usual
+        out = [row for f in list(self.open) if f != family and self.open[f]["trigger"] == "CODE_RATE" for row in self._code_rule(f, t)]
+        unit = self.units.setdefault(name, Unit(m, self.p))
+        score = unit.step(t, y, normal, peers)
+        if score is None:
+            return out
+        now, active = self.open.get(family), self._rate(family, t)[1]
+        severity = "CRITICAL" if score["runaway"] else "HIGH" if score["z"] >= 2 * self.p.z_level or active else "WARN"
+        action, shown = None, now
+        if now is None and score["confirmed"]:
+            shown = self.open[family] = {"bucket": int(t // self.p.bucket_h), "trigger": "SIGNAL", "severity": severity, "runaway": score["runaway"]}
             action = "OPEN"
-        elif self.open is not None and runaway and not self.open["runaway"]:
-            self.open |= {"severity": "CRITICAL", "runaway": True}
+        elif now is not None and now["trigger"] == "CODE_RATE" and score["confirmed"]:
+            now |= {"trigger": "SIGNAL", "severity": "CRITICAL" if score["runaway"] else "HIGH", "runaway": score["runaway"]}
+            action = "ESCALATE"
+        elif now is not None and score["runaway"] and not now["runaway"]:
+            now |= {"severity": "CRITICAL", "runaway": True}
             action = "ESCALATE"
-        elif self.open is not None and self.normal >= p.close_after:
-            action = "CLOSE"
-        out = {"dev": dev, "z": z, "zs": zs, "confirmed": confirmed, "hours_left": left, "action": action} | ({"bucket": self.open["bucket"], "severity": self.open["severity"]} if self.open else {"bucket": None, "severity": None})
-        if action == "CLOSE":
-            self.open, self.toward = None, 0
-        return out
+        elif now is not None and unit.normal >= self.p.close_after and not active:
+            del self.open[family]
+            unit.toward, action = 0, "CLOSE"
+        out.append(self._row(t, family, name, score, action, shown))
+        return out if shown is None or shown["trigger"] == "SIGNAL" else out + self._code_rule(family, t)
 
 
-FOLD = "vin long, metric string, seq long, ts timestamp, dev double, z double, zs double, confirmed boolean, hours_left double, action string, bucket long, severity string"
+FOLD = "vin long, seq long, ts timestamp, metric string, family string, dev double, adj double, z double, zs double, confirmed boolean, hours_left double, codes24 long, action string, trigger string, bucket long, severity string"
+#: What the fold reads, in order.
+INPUT = ("vin", "seq", "ts", "kind", "name", "y", "usual", "median", "mad", "slope_median", "slope_mad", "peer_dev", "peer_slope", "peer_fast")
 
 
-def detect_fold(rows: DataFrame, metrics: dict[str, Metric] | None = None, p: Detect = Detect()) -> DataFrame:
-    """rows(vin, metric, seq, ts, y, median, mad), qualifying readings with their normal -> FOLD, one row for each scored reading.
+def vehicle_step(v: Vehicle, row: tuple) -> list[tuple]:
+    """A row of INPUT; a (seq, kind, name) met before is skipped."""
+    vin, seq, ts, kind, name, y, usual, *rest = row
+    if v.seen is not None and (seq, kind, name) <= v.seen:
+        return []
+    v.seen = (seq, kind, name)
+    if kind != "REPAIR" and (y is None or isnan(y)):
+        return []
+    rest = [float("nan") if x is None else x for x in rest]
+    peers = tuple(0.0 if isnan(x) else x for x in rest[4:])
+    normal = (rest[0], *[0.0 if isnan(x) else x for x in rest[1:4]])
+    out = v.step(ts.value / 3.6e12, kind, name, y, None if usual is None or isnan(usual) else usual, normal, peers)
+    return [(vin, seq, ts, *r.values()) for r in out]
 
-    Readings of a unit are taken in seq order; a repeated seq is skipped. One unit's readings fit in a task; the units
-    are spread by (vin, metric).
-    """
-    metrics = metrics or METRICS
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("seq", kind="stable")
-        first = g.iloc[0]
-        unit, last, out = Unit(metrics.get(first["metric"], Metric()), p, first["median"], first["mad"]), None, []
-        for seq, ts, y in zip(g["seq"], g["ts"], g["y"], strict=True):
-            if seq == last or pd.isna(y):
-                continue
-            last = seq
-            if r := unit.step(ts.value / 3.6e12, y):
-                out.append({"vin": first["vin"], "metric": first["metric"], "seq": seq, "ts": ts, **r})
-        names = [x.split()[0] for x in FOLD.split(", ")]
-        return pd.DataFrame(out, columns=names).astype({"bucket": "Int64"})
+def detect_input(rows: DataFrame) -> DataFrame:
+    return rows.select("vin", "seq", F.col("ts").cast("timestamp").alias("ts"), "kind", "name", *[F.col(c).cast("double").alias(c) for c in INPUT[5:]])
 
-    return rows.select("vin", "metric", "seq", F.col("ts").cast("timestamp").alias("ts"), "y", "median", "mad").groupBy("vin", "metric").applyInPandas(fold, FOLD)
 
+def detect_fold(rows: DataFrame, metrics: dict[str, tuple[str, Metric]], p: Detect = Detect()) -> DataFrame:
+    """rows(INPUT), qualifying readings with their normal and their peers, codes and repairs -> FOLD, a row for each scored reading and each change by codes.
+
+    Rows of a unit are taken in seq order; a repeated one is skipped. See with_peers for the peers' columns.
+    """
+    return ordered_fold(detect_input(rows), ["vin"], ["seq", "kind", "name"], lambda r: Vehicle(metrics, p), vehicle_step, FOLD)
 
+
+def with_peers(readings: DataFrame, registry: DataFrame, p: Detect = Detect()) -> DataFrame:
+    """readings(vin, metric, seq, ts, y, median, mad, slope_median, slope_mad) with peer_dev, peer_slope and peer_fast: medians of the peers' newest values of the hour.
+
+    A first pass over all units takes trends as window sums (without the guard: medians do not mind its few readings);
+    peers are region x duty where enough of them have a value in the hour, else the region, else nothing.
+    """
+    ids, keys = ["vin", "metric", "seq"], ["vin", "metric"]
+    slow = weighted_trend(readings.select(*ids, "ts", "y"), keys, p.tau_h).select(*ids, "ts", "weight", "mean", "slope")
+    fast = weighted_trend(readings.select(*ids, "ts", "y"), keys, p.fast_tau_h).select(*ids, F.col("slope").alias("fast"))
+    both = slow.join(fast, ids).filter(F.col("weight") >= p.min_weight).join(readings.select(*keys, "median", "slope_median").distinct(), keys).join(registry.select("vin", "region_id", "duty_type_id"), "vin")
+    hour = bucket(F.col("ts"), 1).alias("hour")
+    newest = both.groupBy("vin", "metric", "region_id", "duty_type_id", hour).agg(F.max_by(F.struct((F.col("mean") - F.col("median")).alias("dev"), F.coalesce(F.col("slope") - F.col("slope_median"), F.lit(0.0)).alias("slope"), F.coalesce("fast", F.lit(0.0)).alias("fast")), "seq").alias("x"))
+    mids = lambda scope, n: newest.groupBy(*scope, "metric", "hour").agg(F.count(F.lit(1)).alias("k"), F.struct(*[F.median(f"x.{c}").alias(c) for c in ("dev", "slope", "fast")]).alias(n)).filter(F.col("k") >= p.min_peers).drop("k")
+    near, wide = mids(["region_id", "duty_type_id"], "near"), mids(["region_id"], "wide")
+    placed = readings.join(registry.select("vin", "region_id", "duty_type_id"), "vin").withColumn("hour", bucket(F.col("ts"), 1))
+    out = placed.join(near, ["region_id", "duty_type_id", "metric", "hour"], "left").join(wide, ["region_id", "metric", "hour"], "left")
+    return out.select(*readings.columns, *[F.coalesce(f"near.{c}", f"wide.{c}").alias(f"peer_{c}") for c in ("dev", "slope", "fast")])
+
+
+def qualifying(readings: DataFrame, metrics: dict[str, tuple[float, float]], warmup_min: float = 25.0, parked: tuple[str, ...] = ("lv_batt_v",)) -> DataFrame:
+    """Canonical readings -> vin, seq, ts, metric, y: those that a metric's normal and score may use.
+
+    Periodic, ignition on, not flagged as skewed, late or out of range; and, but for metrics that also count when
+    parked, driving, not charging, and long enough after the ignition came on (unknown: any time).
+    """
+    since = F.last(F.when(F.col("evt") == "IGNITION_ON", F.struct(F.col("ts").alias("on"))).when(F.col("evt") == "IGNITION_OFF", F.struct(F.lit(None).cast(readings.schema["ts"].dataType).alias("on"))), ignorenulls=True)
+    on = since.over(Window.partitionBy("vin").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))["on"]
+    flagged = lambda f: F.array_contains("quality_flags", f)
+    rows = readings.withColumn("__on", on).filter((F.col("evt") == "PERIODIC") & F.col("ignition") & ~flagged("CLOCK_SKEW") & ~flagged("LATE"))
+    warm = F.col("__on").isNull() | (hours(F.col("ts")) - hours(F.col("__on")) >= warmup_min / 60)
+    moving = ~F.col("charging") & (F.coalesce("speed_kmh", F.lit(0.0)) > 0) & warm
+    long = rows.withColumn("__moving", moving).unpivot(["vin", "seq", "ts", "quality_flags", "__moving"], [F.col(m).cast("double").alias(m) for m in metrics], "metric", "y")
+    allowed = F.lit(False)
+    for m, (low, high) in metrics.items():
+        allowed = allowed | ((F.col("metric") == m) & F.col("y").between(low, high))
+    bad = F.array_contains("quality_flags", F.concat(F.lit("OUT_OF_RANGE:"), F.col("metric")))
+    return long.filter(allowed & ~bad & (F.col("metric").isin(*parked) | F.col("__moving"))).select("vin", "seq", "ts", "metric", "y")
+
+
+def code_rate(codes: DataFrame, usual: DataFrame, p: Detect = Detect()) -> DataFrame:
+    """codes(vin, family, ts), usual(vin, family, codes_per_day) -> vin, family, hour, n24, threshold, active: hours with codes, and whether their 24 hours are well above usual."""
+    ring = codes_in_24h(codes, ["vin", "family"]).join(usual, ["vin", "family"], "left")
+    threshold = F.greatest(F.lit(float(p.code_min)), p.code_factor * F.coalesce("codes_per_day", F.lit(0.0)))
+    return ring.select("vin", "family", "hour", "n24", threshold.alias("threshold"), (F.col("n24") >= threshold).alias("active"))
+
+
+def global_hits(rows: DataFrame, keys: list[str], over: Column, p: Detect = Detect()) -> DataFrame:
+    """keys, first_hit: when the plain rule (k of the last n over one fixed threshold, no own normal, no guard) held first."""
+    return k_of_n(rows, keys, "seq", over, p.k, p.n).filter("confirmed").groupBy(*keys).agg(F.min("ts").alias("first_hit"))

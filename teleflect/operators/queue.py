@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Fix, Queue
+from .folds import ordered_fold
 
 
 def score(candidates: DataFrame, p: Queue = Queue()) -> DataFrame:
@@ -53,27 +53,25 @@ def behaviour_ratio(rates: DataFrame, group: list[str]) -> DataFrame:
     return rates.join(mid, group, "left").withColumn("ratio", F.when(F.col("upper_median") > 0, F.col("rate") / F.col("upper_median")))
 
 
-BOOKED = "depot_id long, vin long, slot string, rank int, booked boolean"
-
-
 def place_bookings(queue: DataFrame) -> DataFrame:
-    """queue(depot_id, vin, rank, pinned, eligible, booking, per_day) -> BOOKED. Pinned rows first, then bookings for today, for tomorrow, then the rest; a full day spills over."""
-
-    def place(g: pd.DataFrame) -> pd.DataFrame:
-        want = g["booking"].where(g["booking"].notna(), None)
-        g = g.assign(want=want, a=~g["pinned"], b=want.isna(), c=want.ne("TODAY")).sort_values(["a", "b", "c", "rank"], kind="stable")
-        left = dict.fromkeys(("TODAY", "TOMORROW"), int(g["per_day"].iloc[0]))
-        slots = []
-        for pinned, wish, may in zip(g["pinned"], g["want"], g["eligible"], strict=True):
-            days = ("TODAY", "TOMORROW") if pinned or (wish is None and may) or wish == "TODAY" else (wish,) if wish else ()
-            day = next((d for d in days if left[d] > 0), "WAITING")
-            if day in left:
-                left[day] -= 1
-            slots.append(day)
-        g = g.assign(slot=slots, day=[("TODAY", "TOMORROW", "WAITING").index(s) for s in slots]).sort_values("day", kind="stable")
-        return pd.DataFrame({"depot_id": g["depot_id"], "vin": g["vin"], "slot": g["slot"], "rank": range(1, len(g) + 1), "booked": g["want"].notna()})
-
-    return queue.groupBy("depot_id").applyInPandas(place, BOOKED)
+    """queue(depot_id, vin, rank, pinned, eligible, booking, per_day) -> depot_id, vin, slot, rank, booked. Pinned rows first, then bookings for today, for tomorrow, then the rest; a full day spills over."""
+    turn = F.when(F.col("pinned"), 0).when(F.col("booking") == "TODAY", 1).when(F.col("booking") == "TOMORROW", 2).otherwise(3)
+    # among pinned rows, those with a booking come first as well
+    late = F.when(F.col("booking") == "TODAY", 0).when(F.col("booking").isNotNull(), 1).otherwise(2)
+    rows = queue.select("depot_id", turn.alias("turn"), late.alias("late"), "rank", "vin", "pinned", "eligible", F.coalesce("booking", F.lit("")).alias("booking"), "per_day")
+
+    def place(left: dict[str, int], row: tuple) -> list[tuple]:
+        depot, turn, late, rank, vin, pinned, eligible, wish, _ = row
+        days = ("TODAY", "TOMORROW") if pinned or wish == "TODAY" or (not wish and eligible) else (wish,) if wish else ()
+        day = next((d for d in days if left.get(d, 0) > 0), "WAITING")
+        if day in left:
+            left[day] -= 1
+        return [(depot, vin, day, turn * 3 + late, rank, wish != "")]
+
+    placed = ordered_fold(rows, ["depot_id"], ["turn", "late", "rank"], lambda r: dict.fromkeys(("TODAY", "TOMORROW"), int(r[8])), place, "depot_id long, vin long, slot string, turn int, before int, booked boolean")
+    day = F.when(F.col("slot") == "TODAY", 0).when(F.col("slot") == "TOMORROW", 1).otherwise(2)
+    rank = F.row_number().over(Window.partitionBy("depot_id").orderBy(day, "turn", "before"))
+    return placed.select("depot_id", "vin", "slot", rank.alias("rank"), "booked")
 
 
 def fix_verdict(repairs: DataFrame, hourly: DataFrame, now, p: Fix = Fix()) -> DataFrame:

@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def tenths(x: Column) -> Column:
+    """A number that is not negative with one decimal; a half goes up, however its binary form falls short of it."""
+    return (F.floor(x * 10 + 0.5 + 1e-7) / 10).cast("decimal(12,1)").cast("string")
+
+
 def level_clues(level: Column, normal: Column, z: Column, slope: Column, hours_left: Column, unit: str) -> Column:
     """Phrases in order, only those that hold: how far from normal, how fast, how long to the limit."""
     dev = level - normal
     return F.array_compact(
         F.array(
-            F.when(F.abs(z) >= 1.5, F.concat(F.format_number(F.abs(dev), 1), F.lit(f" {unit} "), F.when(dev > 0, "above").otherwise("below"), F.lit(" its own normal"))),
-            F.when(F.abs(slope) >= 0.5, F.concat(F.when(slope > 0, "rising ").otherwise("falling "), F.format_number(F.abs(slope), 1), F.lit(f" {unit} an hour"))),
+            F.when(F.abs(z) >= 1.5, F.concat(tenths(F.abs(dev)), F.lit(f" {unit} "), F.when(dev > 0, "above").otherwise("below"), F.lit(" its own normal"))),
+            F.when(F.abs(slope) >= 0.5, F.concat(F.when(slope > 0, "rising ").otherwise("falling "), tenths(F.abs(slope)), F.lit(f" {unit} an hour"))),
             F.when(hours_left.isNotNull(), F.concat(F.lit("limit in "), F.ceil(hours_left).cast("string"), F.lit(" h"))),
         )
     )

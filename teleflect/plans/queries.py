@@ -56,17 +56,17 @@ def codes(spark: SparkSession, sf: str) -> DataFrame:
 # ---- baselines
 
 
-@query("SELECT vin, metric, w, n, round(level, 6) AS level, round(slope, 6) AS slope FROM win")
+@query("SELECT vin, metric, w, n, round(level, 6) AS level, round(slope, 6) AS slope FROM periods")
 def baseline_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(windows(spark, sf))
 
 
-@query("SELECT vin, metric, round(median, 6) AS median, round(mad, 6) AS mad, round(slope_median, 6) AS slope_median, round(slope_mad, 6) AS slope_mad, windows, readings FROM vb")
+@query("SELECT vin, metric, round(median, 6) AS median, round(mad, 6) AS mad, round(slope_median, 6) AS slope_median, round(slope_mad, 6) AS slope_mad, windows, readings FROM own_norm")
 def baseline_own_normal(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(normal(spark, sf))
 
 
-@query("SELECT model_id, duty_type_id, CAST(region_id AS BIGINT) AS region_id, metric, round(median, 6) AS median, round(mad, 6) AS mad, round(slope_median, 6) AS slope_median, round(slope_mad, 6) AS slope_mad, vins FROM cb")
+@query("SELECT model_id, duty_type_id, CAST(region_id AS BIGINT) AS region_id, metric, round(median, 6) AS median, round(mad, 6) AS mad, round(slope_median, 6) AS slope_median, round(slope_mad, 6) AS slope_mad, vins FROM group_norm")
 def baseline_cohort_sets(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(B.cohort_normal(normal(spark, sf), fleet.registry(spark, sf)))
 
@@ -80,21 +80,21 @@ def rates(spark: SparkSession, sf: str) -> DataFrame:
     return B.fault_rates(codes(spark, sf), B.days_seen(fleet.readings(spark, sf)), fleet.registry(spark, sf), fleet.families(spark))
 
 
-@query("SELECT family, model_id, duty_type_id, depot_id, vehicle_days, codes, round(per_1000, 6) AS per_1000 FROM fr")
+@query("SELECT family, model_id, duty_type_id, depot_id, vehicle_days, codes, round(per_1000, 6) AS per_1000 FROM fault")
 def fault_rate_zero_fill(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rates(spark, sf).select("family", "model_id", "duty_type_id", "depot_id", "vehicle_days", "codes", "per_1000"))
 
 
-@query("SELECT family, model_id, duty_type_id, CAST(sum(codes) AS BIGINT) AS codes, sum(vehicle_days) AS vehicle_days, round(1000.0 * sum(codes) / nullif(sum(vehicle_days), 0), 6) AS per_1000 FROM fr GROUP BY ALL")
+@query("SELECT family, model_id, duty_type_id, CAST(sum(codes) AS BIGINT) AS codes, sum(vehicle_days) AS vehicle_days, round(1000.0 * sum(codes) / nullif(sum(vehicle_days), 0), 6) AS per_1000 FROM fault GROUP BY ALL")
 def fault_rate_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(B.fault_rate_rollup(rates(spark, sf)))
 
 
 @query("""SELECT v.vin, m.metric, round(coalesce(o.median, a.median, b.median), 6) AS median, round(coalesce(o.mad, a.mad, b.mad), 6) AS mad,
   CASE WHEN o.median IS NOT NULL THEN 'own' WHEN a.median IS NOT NULL THEN 'region' WHEN b.median IS NOT NULL THEN 'all' END AS source
-FROM veh v CROSS JOIN (VALUES ('level'), ('rate')) m(metric) LEFT JOIN (SELECT * FROM vb WHERE vin % 4 <> 0) o ON o.vin = v.vin AND o.metric = m.metric
-LEFT JOIN cb a ON a.model_id = v.model_id AND a.duty_type_id = v.duty_type_id AND a.region_id = v.region_id AND a.metric = m.metric
-LEFT JOIN cb b ON b.model_id = v.model_id AND b.duty_type_id = v.duty_type_id AND b.region_id = 0 AND b.metric = m.metric""")
+FROM veh v CROSS JOIN (VALUES ('level'), ('rate')) m(metric) LEFT JOIN (SELECT * FROM own_norm WHERE vin % 4 <> 0) o ON o.vin = v.vin AND o.metric = m.metric
+LEFT JOIN group_norm a ON a.model_id = v.model_id AND a.duty_type_id = v.duty_type_id AND a.region_id = v.region_id AND a.metric = m.metric
+LEFT JOIN group_norm b ON b.model_id = v.model_id AND b.duty_type_id = v.duty_type_id AND b.region_id = 0 AND b.metric = m.metric""")
 def fallback_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Vehicles divisible by 4 stand for those too new to have a normal of their own."""
     vehicles, own = fleet.registry(spark, sf), normal(spark, sf)
@@ -148,10 +148,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     c = F.struct(vin.alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), seq.alias("sq"), F.lit("P").alias("e"), F.array(F.lit(12.5), F.lit(77.5)).alias("g"), F.lit(40.0).alias("s"), F.lit(100.5).alias("o"), F.col("y").alias("ct"), F.lit(1).alias("ig"), F.lit(0).alias("ch"), F.concat_ws("|", code, F.lit("XX9")).alias("dtc"))
     body = F.when(i % 3 == 0, F.to_json(a)).when(i % 3 == 1, F.to_json(b)).otherwise(F.to_json(c))
     body = F.when(i % 7 == 0, F.to_json(F.struct(vin.alias("who"), seq.alias("n")))).otherwise(body)
-    rows = e.select(F.lit("raw").alias("topic"), F.lit(0).alias("partition"), i.alias("offset"), F.when(i % 17 == 0, F.substring(body, 1, 20)).otherwise(body).alias("value"))
-    path = fleet.scratch(spark, "messages")
-    rows.write.parquet(path)  # a table of messages, as a feed would leave it
-    return spark.read.parquet(path)
+    return e.select(F.lit("raw").alias("topic"), F.lit(0).alias("partition"), i.alias("offset"), F.when(i % 17 == 0, F.substring(body, 1, 20)).otherwise(body).alias("value"))
 
 
 PROBLEM_SQL = "CASE WHEN seq % 17 = 0 THEN 'MALFORMED_JSON' WHEN seq % 7 = 0 THEN 'UNKNOWN_SHAPE' WHEN seq % 13 = 0 THEN 'SCHEMA_INVALID' WHEN seq % 10 = 3 THEN 'INVALID_VIN' END"
@@ -174,12 +171,15 @@ def dlq_split(spark: SparkSession, sf: str) -> DataFrame:
     return dead.select("offset", "error_code")
 
 
-@query(f"SELECT count(*) AS n_in, count(*) FILTER ({PROBLEM_SQL} IS NULL) AS n_canonical, count(*) FILTER ({PROBLEM_SQL} IS NOT NULL) AS n_dead, CAST(0 AS BIGINT) AS n_duplicate, CAST(0 AS BIGINT) AS difference FROM r")
+@query(f"SELECT count(*) + count(*) FILTER (seq % 10 = 0) AS n_in, count(*) FILTER ({PROBLEM_SQL} IS NULL) AS n_canonical, count(*) FILTER ({PROBLEM_SQL} IS NOT NULL) + count(*) FILTER (seq % 10 = 0 AND {PROBLEM_SQL} IS NOT NULL) AS n_dead, count(*) FILTER (seq % 10 = 0 AND {PROBLEM_SQL} IS NULL) AS n_duplicate, CAST(0 AS BIGINT) AS difference FROM r")
 def reconcile_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth message comes again in partition 1; what is canonical twice is a duplicate."""
     rows = messages(spark, sf)
-    good, dead = raw.split(rows)
-    offset = ["topic", "partition", "offset"]
-    return E.reconcile(rows, good, dead, rows.filter("false"), offset)
+    sent = rows.unionByName(rows.filter("offset % 10 = 0").withColumn("partition", F.lit(1)))
+    good, dead = raw.split(sent)
+    first = F.row_number().over(Window.partitionBy("seq").orderBy("partition"))
+    marked = good.withColumn("k", first)
+    return E.reconcile(sent, marked.filter("k = 1"), dead, marked.filter("k > 1"), ["topic", "partition", "offset"])
 
 
 @query(f"SELECT vin, seq, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM (SELECT vin, seq, sha1(unhex('{DNS.replace('-', '')}') || encode(vin || ':' || seq)) AS h FROM r)")
@@ -304,9 +304,9 @@ def code_ring_24h(spark: SparkSession, sf: str) -> DataFrame:
     return D.codes_in_24h(codes(spark, sf), ["vin", "family"])
 
 
-@query(""", d AS (SELECT r.vin, r.metric, region_id, duty_type_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, max_by(y - median, seq) AS dev FROM r JOIN veh USING (vin) JOIN vb ON vb.vin = r.vin AND vb.metric = r.metric GROUP BY ALL),
+@query(""", d AS (SELECT r.vin, r.metric, region_id, duty_type_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, max_by(y - median, seq) AS dev FROM r JOIN veh USING (vin) JOIN own_norm vb ON vb.vin = r.vin AND vb.metric = r.metric GROUP BY ALL),
 a AS (SELECT region_id, duty_type_id, metric, hour, median(dev) AS m FROM d GROUP BY ALL HAVING count(*) >= 2), b AS (SELECT region_id, metric, hour, median(dev) AS m FROM d GROUP BY ALL HAVING count(*) >= 2)
-SELECT d.vin, d.metric, d.hour, round(dev, 6) AS dev, round(dev - coalesce(a.m, b.m, 0), 6) AS adj, round((dev - coalesce(a.m, b.m, 0)) / (1.4826 * greatest(mad, 0.5)), 6) AS z FROM d JOIN vb ON vb.vin = d.vin AND vb.metric = d.metric
+SELECT d.vin, d.metric, d.hour, round(dev, 6) AS dev, round(dev - coalesce(a.m, b.m, 0), 6) AS adj, round((dev - coalesce(a.m, b.m, 0)) / (1.4826 * greatest(mad, 0.5)), 6) AS z FROM d JOIN own_norm vb ON vb.vin = d.vin AND vb.metric = d.metric
 LEFT JOIN a ON a.region_id = d.region_id AND a.duty_type_id = d.duty_type_id AND a.metric = d.metric AND a.hour = d.hour LEFT JOIN b ON b.region_id = d.region_id AND b.metric = d.metric AND b.hour = d.hour""")
 def peer_adjusted_score(spark: SparkSession, sf: str) -> DataFrame:
     base = normal(spark, sf).select("vin", "metric", "median", "mad")
@@ -315,11 +315,58 @@ def peer_adjusted_score(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(adjusted.select("vin", "metric", "hour", "dev", "adj", X.robust_z(F.col("adj"), F.lit(0.0), F.col("mad"), 0.5).alias("z")))
 
 
+FAMILY_OF = {"level": ("COOLING", Metric(min_mad=3.0, min_slope_mad=0.5, max_rate_per_min=40.0, spike_max=250.0, hard_limit=200.0)), "rate": ("BATTERY", Metric(min_mad=3.0, min_slope_mad=0.5, max_rate_per_min=40.0, spike_max=250.0, hard_limit=None))}
+SPARSE_DETECT = Detect(tau_h=48.0, fast_tau_h=24.0, min_weight=1.5, z_level=2.0, min_peers=3)
+
+
+def detect_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings with their normal and peers, codes by family, and repairs (errors of k = 7 stand for them)."""
+    r, veh = fleet.readings(spark, sf), fleet.registry(spark, sf)
+    base = normal(spark, sf).select("vin", "metric", "median", "mad", "slope_median", "slope_mad")
+    scored = D.with_peers(r.filter("metric is not null").select("vin", "metric", "seq", "ts", "y").join(base, ["vin", "metric"]), veh, SPARSE_DETECT)
+    usual = B.codes_per_day(codes(spark, sf), B.days_seen(r))
+    family = F.when(F.col("metric") == "level", "COOLING").otherwise("BATTERY")
+    reads = scored.withColumn("family", family).join(usual.withColumnRenamed("codes_per_day", "usual"), ["vin", "family"], "left").withColumnsRenamed({"metric": "name"}).withColumn("kind", F.lit("READING"))
+    many = B.code_rows(fleet.with_codes(r), fleet.families(spark), ("seq",)).groupBy("vin", "seq", "ts", "family").agg(F.count(F.lit(1)).cast("double").alias("y"))
+    coded = many.join(usual.withColumnRenamed("codes_per_day", "usual"), ["vin", "family"], "left").withColumnRenamed("family", "name").withColumn("kind", F.lit("CODES"))
+    repairs = r.filter("evt = 'error' and k = 7").select("vin", "seq", "ts", F.lit("").alias("name"), F.lit("REPAIR").alias("kind"))
+    return reads.select(*D.INPUT).unionByName(coded, allowMissingColumns=True).unionByName(repairs, allowMissingColumns=True).select(*D.INPUT)
+
+
 @query()
 def detect_fold(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fleet.readings(spark, sf).join(normal(spark, sf).select("vin", "metric", "median", "mad"), ["vin", "metric"])
-    loose = Metric(min_mad=3.0, max_rate_per_min=1e6, spike_max=400.0, hard_limit=200.0)
-    return D.detect_fold(rows, {"level": loose, "rate": loose}, Detect(tau_h=48.0, fast_tau_h=24.0, min_weight=1.5, z_level=2.0))
+    """The whole detection; tests hold it against a plain loop, and peers, trends, rings and code rates have queries with SQL of their own."""
+    return D.detect_fold(detect_rows(spark, sf), FAMILY_OF, SPARSE_DETECT)
+
+
+@query("""SELECT g.vin, g.family, g.hour, CAST(g.n24 AS BIGINT) AS n24, round(greatest(3.0, 4 * u.n / days), 6) AS threshold, g.n24 >= greatest(3.0, 4 * u.n / days) AS active
+FROM (SELECT vin, family, hour, sum(n) OVER (PARTITION BY vin, family ORDER BY hour RANGE BETWEEN 23 PRECEDING AND CURRENT ROW) AS n24 FROM (SELECT vin, family, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) AS n FROM cf GROUP BY ALL)) g
+JOIN (SELECT vin, family, count(*) AS n FROM cf GROUP BY ALL) u USING (vin, family) JOIN days USING (vin)""")
+def code_rate_active(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(D.code_rate(codes(spark, sf), B.codes_per_day(codes(spark, sf), B.days_seen(fleet.readings(spark, sf)))))
+
+
+@query("SELECT vin, metric, min(ts) AS first_hit FROM (SELECT vin, metric, ts, sum(CASE WHEN y > 97 THEN 1 ELSE 0 END) OVER (PARTITION BY vin, metric ORDER BY seq ROWS 5 PRECEDING) AS k FROM r WHERE metric IS NOT NULL) WHERE k >= 4 GROUP BY vin, metric")
+def global_rule_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return D.global_hits(fleet.readings(spark, sf).filter("metric is not null"), ["vin", "metric"], F.col("y") > 97)
+
+
+CANON_SQL = """, canon AS (SELECT vin, seq, ts, CASE WHEN evt = 'signup' AND k < 50 THEN 'IGNITION_ON' WHEN evt = 'signup' THEN 'IGNITION_OFF' ELSE 'PERIODIC' END AS evt, k % 5 <> 0 AS ignition, k % 7 = 0 AS charging, CASE WHEN k % 11 <> 0 THEN k * 1.0 END AS speed_kmh, CASE WHEN y < 90 THEN y END AS coolant_c, 11 + k / 50.0 AS lv_batt_v, k % 13 = 0 AS late FROM r)"""
+
+
+def canonical(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as canonical readings: sign-ups turn the ignition, the number k makes the rest."""
+    r, k = fleet.readings(spark, sf), F.col("k")
+    evt = F.when((F.col("evt") == "signup") & (k < 50), "IGNITION_ON").when(F.col("evt") == "signup", "IGNITION_OFF").otherwise("PERIODIC")
+    flags = F.when(k % 13 == 0, F.array(F.lit("LATE"))).otherwise(F.array().cast("array<string>"))
+    return r.select("vin", "seq", "ts", evt.alias("evt"), (k % 5 != 0).alias("ignition"), (k % 7 == 0).alias("charging"), F.when(k % 11 != 0, k * 1.0).alias("speed_kmh"), F.when(F.col("y") < 90, F.col("y")).alias("coolant_c"), (11 + k / 50.0).alias("lv_batt_v"), flags.alias("quality_flags"))
+
+
+@query(CANON_SQL + """, o AS (SELECT *, last_value(CASE WHEN evt = 'IGNITION_ON' THEN {'t': ts} WHEN evt = 'IGNITION_OFF' THEN {'t': CAST(NULL AS TIMESTAMP)} END IGNORE NULLS) OVER (PARTITION BY vin ORDER BY seq ROWS UNBOUNDED PRECEDING).t AS since FROM canon),
+q AS (SELECT *, NOT charging AND coalesce(speed_kmh, 0) > 0 AND (since IS NULL OR epoch(ts) - epoch(since) >= 25 * 60) AS moving FROM o WHERE evt = 'PERIODIC' AND ignition AND NOT late)
+SELECT vin, seq, 'coolant_c' AS metric, round(coolant_c, 6) AS y FROM q WHERE moving AND coolant_c BETWEEN -40 AND 150 UNION ALL SELECT vin, seq, 'lv_batt_v', round(lv_batt_v, 6) FROM q WHERE lv_batt_v BETWEEN 6 AND 18""")
+def qualifying_readings(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(D.qualifying(canonical(spark, sf), {"coolant_c": (-40, 150), "lv_batt_v": (6, 18)}).drop("ts"))
 
 
 # ---- roll-ups
@@ -393,12 +440,17 @@ def group_touching_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return C.touching_groups(incidents(spark, sf), "family_key", "b")
 
 
-@query(GROUPS_SQL + """, l AS (SELECT gs.*, 20 * (last_bucket - first_bucket + 1) * greatest(2.0, 4.0, members * 1.5) / 1000 AS lam FROM gs)
-SELECT family_key, grp, members, round(lam, 6) AS "lambda", CASE WHEN members * 1.5 > 4 THEN 'regional' ELSE 'baseline' END AS rate_source,
-round(least(1, exp(-lam) * list_sum([pow(lam, i) / factorial(CAST(i AS INTEGER)) for i in range(members, members + 25)])), 6) AS p_value, members >= 2 AND exp(-lam) * list_sum([pow(lam, i) / factorial(CAST(i AS INTEGER)) for i in range(members, members + 25)]) < 0.01 AS opens FROM l WHERE members <= 8""")
+@query(GROUPS_SQL + """, sz AS (SELECT model_id, duty_type_id, count(*) AS vans FROM veh GROUP BY ALL), tot AS (SELECT model_id, duty_type_id, sum(vehicle_days) AS days, sum(codes) AS codes FROM fault WHERE family = 'COOLING' GROUP BY ALL),
+l AS (SELECT gs.*, sz.vans * (last_bucket - first_bucket + 1) * greatest(2.0, 20.0 * codes / days) / 1000 AS lam, 20.0 * codes / days > 2 AS known FROM gs JOIN sz ON split_part(family_key, '|', 2) = CAST(sz.model_id AS VARCHAR) AND split_part(family_key, '|', 3) = CAST(sz.duty_type_id AS VARCHAR) JOIN tot USING (model_id, duty_type_id)),
+pt AS (SELECT l.*, 1 - coalesce((SELECT sum(exp(i * ln(lam) - lam - lgamma(i + 1))) FROM range(0, members) AS x(i)), 0) AS p FROM l)
+SELECT family_key, grp, members, round(lam, 6) AS "lambda", CASE WHEN known THEN 'baseline' ELSE 'floor' END AS rate_source, round(greatest(p, 0), 6) AS p_value, members >= 2 AND p < 0.01 AS opens FROM pt""")
 def campaign_open_poisson(spark: SparkSession, sf: str) -> DataFrame:
-    """20 vehicles a key. The SQL side ends at 8 members, for its factorials: it has all groups of sf0.01, not those of larger tables."""
-    groups = group_touching_buckets(spark, sf).withColumns({"vans": F.lit(20), "baseline_per_1000": F.lit(4.0), "regional_per_1000": F.col("members") * 1.5})
+    """Every group against its own cohort: its vehicles, and its rate of cooling codes (a fiftieth of them stands for incidents)."""
+    vehicles, cohort = fleet.registry(spark, sf), ["model_id", "duty_type_id"]
+    sizes = vehicles.groupBy(*cohort).agg(F.count(F.lit(1)).alias("vans"))
+    known = rates(spark, sf).filter("family = 'COOLING'").groupBy(*cohort).agg((F.sum("codes") * 20.0 / F.sum("vehicle_days")).alias("baseline_per_1000"))
+    part = lambda i: F.split_part("family_key", F.lit("|"), F.lit(i)).cast("long")
+    groups = group_touching_buckets(spark, sf).withColumns({"model_id": part(2), "duty_type_id": part(3)}).join(sizes, cohort).join(known, cohort).withColumn("regional_per_1000", F.lit(0.0))
     out = C.chance(groups, Campaign(min_vans=2, alpha=0.01)).select("family_key", "grp", "members", "lambda", "rate_source", "p_value", "opens")
     return rounded(out, 6)
 
@@ -570,7 +622,7 @@ def tenant_view(spark: SparkSession, sf: str) -> DataFrame:
     return fleet.table(spark, sf, "orders").join(customers, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT r.vin, r.seq, r.metric, round(median - 3 * 1.4826 * greatest(mad, 0.5), 8) AS low, round(median + 3 * 1.4826 * greatest(mad, 0.5), 8) AS high, CASE WHEN y > median + 3 * 1.4826 * greatest(mad, 0.5) THEN 'ABOVE' WHEN y < median - 3 * 1.4826 * greatest(mad, 0.5) THEN 'BELOW' END AS flag FROM r JOIN vb ON vb.vin = r.vin AND vb.metric = r.metric")
+@query("SELECT r.vin, r.seq, r.metric, round(median - 3 * 1.4826 * greatest(mad, 0.5), 8) AS low, round(median + 3 * 1.4826 * greatest(mad, 0.5), 8) AS high, CASE WHEN y > median + 3 * 1.4826 * greatest(mad, 0.5) THEN 'ABOVE' WHEN y < median - 3 * 1.4826 * greatest(mad, 0.5) THEN 'BELOW' END AS flag FROM r JOIN own_norm vb ON vb.vin = r.vin AND vb.metric = r.metric")
 def vehicle_vs_band(spark: SparkSession, sf: str) -> DataFrame:
     low, high = X.band(F.col("median"), F.col("mad"), 0.5)
     rows = fleet.readings(spark, sf).join(normal(spark, sf), ["vin", "metric"]).select("vin", "seq", "metric", "y", low.alias("low"), high.alias("high"))

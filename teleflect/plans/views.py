@@ -10,12 +10,10 @@ from . import fleet
 from .queries import normal, query, rounded
 
 
-@query("""SELECT r.vin, r.seq, array_to_string(list_filter([CASE WHEN abs(z) >= 1.5 THEN printf('%.1f', abs(dev)) || ' u ' || CASE WHEN dev > 0 THEN 'above' ELSE 'below' END || ' its own normal' END,
-CASE WHEN k >= 90 THEN 'limit in ' || CAST(ceil((100 - k) / 2.0) AS BIGINT) || ' h' END], lambda x: x IS NOT NULL), '; ') AS clues FROM (SELECT r.vin, r.seq, r.k, y - median AS dev, (y - median) / 25 AS z FROM r JOIN vb ON vb.vin = r.vin AND vb.metric = r.metric) r WHERE round(abs(dev) * 20, 6) <> round(abs(dev) * 20)""")
+@query("""SELECT vin, seq, array_to_string(list_filter([CASE WHEN abs(dev) >= 37.5 THEN CAST(CAST(trunc(abs(dev) * 10 + 0.5 + 1e-7) / 10 AS DECIMAL(12, 1)) AS VARCHAR) || ' u ' || if(dev > 0, 'above', 'below') || ' its own normal' END,
+CASE WHEN k >= 90 THEN 'limit in ' || CAST(ceil((100 - k) / 2.0) AS BIGINT) || ' h' END], lambda x: x IS NOT NULL), '; ') AS clues FROM (SELECT r.vin, r.seq, r.k, y - o.median AS dev FROM r JOIN own_norm o ON o.vin = r.vin AND o.metric = r.metric)""")
 def clue_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """Deviations that lie on a rounding tie are left to the unit tests: engines differ there."""
     rows = fleet.readings(spark, sf).join(normal(spark, sf).select("vin", "metric", "median"), ["vin", "metric"]).withColumn("dev", F.col("y") - F.col("median"))
-    rows = rows.filter(F.round(F.abs("dev") * 20, 6) != F.round(F.abs("dev") * 20))
     left = F.when(F.col("k") >= 90, (100 - F.col("k")) / 2.0)
     clues = V.level_clues(F.col("y"), F.col("median"), F.col("dev") / 25, F.lit(0.0), left, "u")
     return rows.select("vin", "seq", F.array_join(clues, "; ").alias("clues"))
@@ -60,7 +58,7 @@ def six_hour_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT date_trunc('day', ts) AS day, round(quantile_cont(y, 0.5), 6) AS p50, round(quantile_cont(y, 0.95), 6) AS p95, round(quantile_cont(y, 0.99), 6) AS p99, count(*) AS n FROM r GROUP BY ALL")
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact percentiles a day; a long history takes percentile_approx instead."""
+    """Exact percentiles a day (equal values are counted together in partial sums)."""
     day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
     return rounded(fleet.readings(spark, sf).groupBy(day).agg(*[F.percentile("y", q).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)], F.count(F.lit(1)).alias("n")), 6)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.folds import ordered_fold
+
 REPLAY = "vin long, seq long, ts timestamp, outcome string"
 WINDOW = 1024
 
@@ -59,15 +62,13 @@ def judge(state: tuple[int, int, int] | None, seq: int, us: int) -> tuple[str, t
 def replay_outcomes(messages: DataFrame) -> DataFrame:
     """messages(vin, arrival, seq, ts) -> REPLAY in batch: each unit's messages in order of arrival."""
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("arrival", kind="stable")
-        state, out = None, []
-        for seq, ts in zip(g["seq"], g["ts"], strict=True):
-            outcome, state = judge(state, int(seq), ts.value // 1000)
-            out.append(outcome)
-        return pd.DataFrame({"vin": g["vin"], "seq": g["seq"], "ts": g["ts"], "outcome": out})
+    def step(state: list, row: tuple) -> list[tuple]:
+        vin, _, seq, ts = row
+        outcome, state[0] = judge(state[0], int(seq), ts.value // 1000)
+        return [(vin, seq, ts, outcome)]
 
-    return messages.select("vin", "arrival", "seq", F.col("ts").cast("timestamp").alias("ts")).groupBy("vin").applyInPandas(fold, REPLAY)
+    rows = messages.select("vin", "arrival", "seq", F.col("ts").cast("timestamp").alias("ts"))
+    return ordered_fold(rows, ["vin"], ["arrival"], lambda r: [None], step, REPLAY)
 
 
 class ReplayProcessor(StatefulProcessor):
@@ -94,3 +95,34 @@ class ReplayProcessor(StatefulProcessor):
 
 def replay_stream(messages: DataFrame) -> DataFrame:
     return messages.groupBy("vin").transformWithStateInPandas(ReplayProcessor(), REPLAY, "append", "none")
+
+
+class FoldProcessor(StatefulProcessor):
+    """An ordered fold on a stream: the same start and step as in batch, state kept per key between batches of the stream."""
+
+    def __init__(self, columns: list[str], order: list[str], start, step, names: list[str], whole: dict[str, str]):
+        self.columns, self.order, self.start, self.step, self.names, self.whole = columns, order, start, step, names, whole
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("fold", "state binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # the rows of one key in one batch of the stream, bounded by maxFilesPerTrigger
+        g = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        state, out = pickle.loads(self.state.get()[0]) if self.state.exists() else None, []
+        columns = [g[c].astype(object).where(g[c].notna(), None).tolist() if g[c].dtype == object else g[c].tolist() for c in self.columns]
+        for row in zip(*columns, strict=True):
+            if state is None:
+                state = self.start(row)
+            out += self.step(state, row)
+        self.state.update((pickle.dumps(state),))
+        yield pd.DataFrame(out, columns=self.names).astype(self.whole)
+
+    def close(self) -> None: ...
+
+
+def fold_stream(rows: DataFrame, keys: list[str], order: list[str], start, step, schema: str) -> DataFrame:
+    """ordered_fold on a stream. A row that comes in a later batch than its order says is taken when it comes; steps tell it by its seq."""
+    names = [x.strip().split()[0] for x in schema.split(",")]
+    whole = {x.strip().split()[0]: "Int64" for x in schema.split(",") if x.strip().split()[1] in ("long", "int")}
+    return rows.groupBy(*keys).transformWithStateInPandas(FoldProcessor(rows.columns, order, start, step, names, whole), schema, "append", "none")
