@@ -69,10 +69,12 @@ def test_poisson_tail_of_large_groups(spark, n, rate):
 def test_campaigns_keep_large_groups(spark, monkeypatch):
     from teleflect.plans import queries as Q
 
-    groups = spark.createDataFrame([("a", 0, 1, 1, 3), ("b", 0, 1, 2, 50)], "family_key string, grp long, first_bucket long, last_bucket long, members long")
+    groups = spark.createDataFrame([("0|1|2", 0, 1, 1, 3), ("1|1|2", 0, 1, 2, 50)], "family_key string, grp long, first_bucket long, last_bucket long, members long")
     monkeypatch.setattr(Q, "group_touching_buckets", lambda spark, sf: groups)
+    monkeypatch.setattr(Q.fleet, "registry", lambda spark, sf: spark.range(400).select(F.col("id").alias("vin"), F.lit(1).cast("long").alias("model_id"), F.lit(2).cast("long").alias("duty_type_id")))
+    monkeypatch.setattr(Q, "rates", lambda spark, sf: spark.createDataFrame([("COOLING", 1, 2, 100.0, 50)], "family string, model_id long, duty_type_id long, vehicle_days double, codes long"))
     got = {r["family_key"]: r["p_value"] for r in Q.campaign_open_poisson(spark, "").collect()}
-    assert got == {"a": pytest.approx(C.tail(3, 0.09), abs=1e-6), "b": pytest.approx(C.tail(50, 3.0), abs=1e-6)}
+    assert got == {"0|1|2": pytest.approx(C.tail(3, 4.0), abs=1e-6), "1|1|2": pytest.approx(C.tail(50, 8.0), abs=1e-6)}
 
 
 def test_hours_to_limit(spark):
@@ -146,13 +148,25 @@ def test_code_ring(spark):
     assert [r["n24"] for r in got] == [1, 2, 3, 3]
 
 
-def readings(spark, f, hours=72, vin=1):
-    rows = [(vin, "coolant_c", i, T0 + dt.timedelta(minutes=30 * i), float(f(i / 2)), 90.0, 0.6) for i in range(hours * 2)]
-    return spark.createDataFrame(rows, "vin long, metric string, seq long, ts timestamp, y double, median double, mad double")
+METRICS = {"coolant_c": ("COOLING", Metric())}
+SCHEMA = "vin long, seq long, ts timestamp, kind string, name string, y double, usual double, median double, mad double, slope_median double, slope_mad double, peer_dev double, peer_slope double, peer_fast double"
+
+
+def row(i, h, kind="READING", name="coolant_c", y=None, peer=None, usual=None, vin=1):
+    normal = (90.0, 0.6, 0.0, 0.1) if kind == "READING" else (None,) * 4
+    return (vin, i, T0 + dt.timedelta(hours=h), kind, name, y, usual, *normal, peer, None, None)
+
+
+def readings(spark, f, hours=72, vin=1, peer=None):
+    return spark.createDataFrame([row(i, i / 2, y=float(f(i / 2)), peer=peer(i / 2) if peer else None, vin=vin) for i in range(hours * 2)], SCHEMA)
+
+
+def detected(df):
+    return D.detect_fold(df, METRICS).orderBy("seq").collect()
 
 
 def actions(df):
-    return [(r["action"], r["severity"]) for r in D.detect_fold(df).orderBy("seq").collect() if r["action"]]
+    return [(r["action"], r["severity"]) for r in detected(df) if r["action"]]
 
 
 def test_fold_quiet_drift_and_close(spark):
@@ -173,10 +187,167 @@ def test_fold_spike_and_runaway(spark):
 def test_fold_skips_repeats_and_order(spark):
     df = readings(spark, lambda h: 90 + (0 if h < 24 else 6))
     twice = df.unionByName(df.filter("seq % 3 = 0")).orderBy(F.rand(1))
-    key = lambda d: [(r["seq"], r["z"], r["action"]) for r in D.detect_fold(d).orderBy("seq").collect()]
+    key = lambda d: [(r["seq"], r["z"], r["action"]) for r in detected(d)]
     assert key(twice) == key(df)
 
 
+def test_fold_minus_peers(spark):
+    """What all peers do alike is no incident; what a unit does beyond them is."""
+    heat = lambda h: 6.0 if h >= 24 else 0.0
+    hot = lambda h: 90 + heat(h)
+    assert [a for a, _ in actions(readings(spark, hot))] == ["OPEN"]
+    assert actions(readings(spark, hot, peer=heat)) == []
+    assert [a for a, _ in actions(readings(spark, lambda h: hot(h) + heat(h), peer=heat))] == ["OPEN"]
+
+
+def test_fold_repair_starts_again(spark):
+    """After a repair the trend is new: the old fault does not confirm again, late readings from before it are ignored, and the incident closes by readings."""
+    rows = [row(i, i / 2, y=98.0 if 20 < i / 2 < 40 else 90.0) for i in range(160)]
+    late = [row(500, 39.0, y=99.0)]
+    repair = [row(81, 40.25, kind="REPAIR", name="")]
+    out = detected(spark.createDataFrame([*rows, *repair, *late], SCHEMA))
+    close = next(r for r in out if r["action"] == "CLOSE")
+    without = next(r for r in detected(spark.createDataFrame(rows, SCHEMA)) if r["action"] == "CLOSE")
+    assert close["seq"] < without["seq"] and not any(r["seq"] == 500 for r in out)
+
+
+def test_fold_code_rate(spark):
+    """Codes well above usual open an incident of their own; a confirmed signal makes it one of the signal; without codes it ends."""
+    quiet = [row(i, i / 2, y=90.0) for i in range(140)]
+    many = [row(1000 + i, 30 + i / 10, kind="CODES", name="COOLING", y=1.0, usual=0.2) for i in range(4)]
+    in_order = lambda rows: [(*r[:1], i, *r[2:]) for i, r in enumerate(sorted(rows, key=lambda r: (r[2], r[1])))]
+    out = [(r["action"], r["trigger"], r["severity"]) for r in detected(spark.createDataFrame(in_order([*quiet, *many]), SCHEMA)) if r["action"]]
+    assert out == [("OPEN", "CODE_RATE", "WARN"), ("CLOSE", "CODE_RATE", "WARN")]
+    drift = [row(i, i / 2, y=90.0 if i < 62 else 96.0) for i in range(90)]
+    out = [(r["action"], r["trigger"], r["severity"]) for r in detected(spark.createDataFrame(in_order([*drift, *many]), SCHEMA)) if r["action"]]
+    assert out == [("OPEN", "CODE_RATE", "WARN"), ("ESCALATE", "SIGNAL", "HIGH")]
+    usual = [(*r[:6], 5.0, *r[7:]) for r in many]
+    assert not [r for r in detected(spark.createDataFrame(in_order([*quiet, *usual]), SCHEMA)) if r["action"]]
+
+
+def test_with_peers_is_a_plain_count(spark):
+    from teleflect.params import Detect
+
+    rnd, rows, p = random.Random(9), [], Detect(min_peers=2, min_weight=1.0)
+    for vin in range(6):
+        for i in range(30):
+            rows.append((vin, "m", vin * 1000 + i, T0 + dt.timedelta(hours=i * 0.4), 50 + rnd.random() * 5 + vin, 50.0 + vin, 1.0, 0.1, 0.2))
+    df = spark.createDataFrame(rows, "vin long, metric string, seq long, ts timestamp, y double, median double, mad double, slope_median double, slope_mad double")
+    veh = spark.createDataFrame([(v, v % 2, 0 if v < 5 else 1) for v in range(6)], "vin long, region_id int, duty_type_id int")
+    newest = {}
+    for vin in range(6):
+        line = D.Line(p.tau_h)
+        for v, _, seq, ts, y, median, *_ in [r for r in rows if r[0] == vin]:
+            line.add(ts.timestamp() / 3600, y)
+            newest[vin, int(ts.timestamp() // 3600)] = line.mean - median
+    import statistics
+
+    for r in D.with_peers(df, veh, p).collect():
+        hour, out = int(r["ts"].timestamp() // 3600), None
+        for scope in (lambda v: (v % 2, v < 5), lambda v: v % 2):
+            own = [d for (v, h), d in newest.items() if h == hour and scope(v) == scope(r["vin"])]
+            if len(own) >= 2:
+                out = statistics.median(own)
+                break
+        assert r["peer_dev"] == pytest.approx(out, abs=1e-8)
+
+
+def test_trend_over_a_long_history(spark):
+    """Time spans of thousands of tau: no overflow, and the same values as the fold."""
+    rows = [(1, i, T0 + dt.timedelta(hours=h), 50.0 + (i * 7 % 11)) for i, h in enumerate(sorted([x * 3.0 for x in range(40)] + [4500 + x for x in range(30)] + [4799, 4801, 9000]))]
+    df = spark.createDataFrame(rows, "vin long, seq long, ts timestamp, y double")
+    line = D.Line(12.0)
+    for r, (_, _, ts, y) in zip(D.weighted_trend(df, ["vin"]).orderBy("seq").collect(), rows, strict=True):
+        line.add((ts - T0).total_seconds() / 3600, y)
+        assert r["weight"] == pytest.approx(line.n, rel=1e-9) and r["mean"] == pytest.approx(line.mean, rel=1e-9)
+
+
+def test_streams_are_the_batch(spark, tmp_path):
+    """Detection and the replay window on a stream in several batches give what the batch gives."""
+    df = readings(spark, lambda h: 90 + (0 if h < 24 else 6)).unionByName(readings(spark, lambda h: 90 + (8 if 20 < h < 40 else 0), 80, vin=2))
+    for i, (a, z) in enumerate(((0, 40), (40, 90), (90, 1000))):
+        df.filter(f"seq >= {a} and seq < {z}").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}.parquet"))
+    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = jobs.fold_stream(D.detect_input(s), ["vin"], ["seq", "kind", "name"], lambda r: D.Vehicle(METRICS, D.Detect()), D.vehicle_step, D.FOLD)
+        jobs.run_available(out, str(tmp_path / "out"), str(tmp_path / "c1"))
+        messages = s.select("vin", "seq", "ts", F.col("seq").alias("arrival"))
+        jobs.run_available(jobs.replay_stream(messages.unionByName(messages)), str(tmp_path / "replayed"), str(tmp_path / "c2"))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    key = lambda d: sorted((r["vin"], r["seq"], r["action"], round(r["z"], 9)) for r in d.collect())
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(D.detect_fold(df, METRICS))
+    got = {(r["outcome"], r["count"]) for r in spark.read.parquet(str(tmp_path / "replayed")).groupBy("outcome").count().collect()}
+    assert got == {("NEW", df.count()), ("DUPLICATE", df.count())}
+
+
+def test_qualifying(spark):
+    on, off, p = "IGNITION_ON", "IGNITION_OFF", "PERIODIC"
+    cases = [(on, 0, True, False, 30.0, []), (p, 10, True, False, 30.0, []), (p, 30, True, False, 30.0, []), (p, 40, True, True, 30.0, []), (p, 50, True, False, 0.0, []), (p, 60, False, False, 30.0, []), (p, 70, True, False, 30.0, ["LATE"]),
+             (p, 80, True, False, 30.0, ["OUT_OF_RANGE:coolant_c"]), ("HEARTBEAT", 90, True, False, 30.0, []), (off, 95, False, False, 0.0, []), (p, 96, True, False, 30.0, [])]
+    df = spark.createDataFrame([(1, i, T0 + dt.timedelta(minutes=m), e, ig, ch, sp, 90.0, 12.5, fl) for i, (e, m, ig, ch, sp, fl) in enumerate(cases)], "vin long, seq long, ts timestamp, evt string, ignition boolean, charging boolean, speed_kmh double, coolant_c double, lv_batt_v double, quality_flags array<string>")
+    got = sorted((r["metric"], r["seq"]) for r in D.qualifying(df, {"coolant_c": (-40, 150), "lv_batt_v": (6, 18)}).collect())
+    assert got == [("coolant_c", 2), ("coolant_c", 10), ("lv_batt_v", 1), ("lv_batt_v", 2), ("lv_batt_v", 3), ("lv_batt_v", 4), ("lv_batt_v", 7), ("lv_batt_v", 10)]
+
+
+def test_jump_checks_do_not_carry_what_they_flag(spark):
+    from teleflect.operators import checks as K
+
+    rows = [(1, 0, 100.0, 50.0, True, False), (1, 1, 40.0, 50.2, True, False), (1, 2, 101.0, 55.0, True, False), (1, 3, 100.995, 50.6, True, False), (1, 4, 102.0, 60.0, False, False), (1, 5, 103.0, 80.0, True, False), (1, 2, 50.0, 1.0, True, False), (1, 6, 104.0, 90.0, True, True)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "vin long, seq long, odo_km double, soc_pct double, driving boolean, engine boolean, arrival int")
+    got = [r["flags"] for r in K.jump_checks(df, "arrival").collect()]
+    assert got == ["", "ODOMETER_BACKWARDS", "SOC_RISING_WHILE_DRIVING", "", "", "", "", ""]
+
+
+def test_clock_ahead_is_a_plain_ring(spark):
+    from teleflect.operators import checks as K
+
+    rnd = random.Random(2)
+    rows = [("a", i, 1000 * i + rnd.randint(0, 500) + (700_000 if i % 37 == 5 else 0), 1000 * i) for i in range(900)]
+    want, ring, now = [], [], None
+    for _, _, e, g in rows:
+        want.append(None if now is None else e - g - now > 120_000)
+        ring = [*ring, e - g][-512:]
+        if (len(want)) % 64 == 0:
+            now = sorted(ring)[len(ring) // 2]
+    df = spark.createDataFrame(rows, "src string, i long, e long, g long")
+    assert [r["ahead"] for r in K.clock_ahead(df, ["src"], "i", "e", "g").orderBy("i").collect()] == want
+
+
+def test_open_at_and_digits(spark):
+    from teleflect.operators import pages as P
+
+    spans = spark.createDataFrame([(1, T0, T0 + dt.timedelta(hours=5)), (1, T0 + dt.timedelta(hours=2), T0 + dt.timedelta(hours=3)), (2, T0 + dt.timedelta(hours=9), None)], "vin long, start timestamp, end timestamp")
+    rows = spark.createDataFrame([(v, i, T0 + dt.timedelta(hours=i)) for v in (1, 2, 3) for i in (-2, -1, 0, 4, 5, 8, 20)], "vin long, i long, ts timestamp")
+    assert sorted((r["vin"], r["i"]) for r in P.open_at(rows, spans, ["vin"], "ts", "o").collect() if r["o"]) == [(1, -1), (1, 0), (1, 4), (2, 8), (2, 20)]
+    digits = {5: "5", 999: "999", 1000: "1,000", 123456: "1,23,456", 1234567: "12,34,567", 12345678: "1,23,45,678"}
+    got = spark.createDataFrame([(n,) for n in digits], "n long").select("n", P.grouped_digits(F.col("n")).alias("t")).collect()
+    assert {r["n"]: r["t"] for r in got} == digits
+
+
+def test_most_similar_in_blocks_is_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(i, [rnd.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, vector array<float>")
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 6) if (n := math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))) else 0.0
+    want = {(i, r + 1, j, s) for i, v in rows if i % 7 == 0 for r, (s, j) in enumerate(sorted((-cos(v, w), j) for j, w in rows if j != i)[:3]) for s in [-s + 0.0]}
+    got = {(r["id"], r["rank"], r["other_id"], r["similarity"] + 0.0) for r in C.most_similar(df.filter("id % 7 = 0"), df, block=5, chunk=9).collect()}
+    assert got == want
+
+
+def test_importance_finds_the_column_that_tells(spark):
+    from teleflect.operators import learn as L
+
+    rnd = random.Random(3)
+    rows = [(i, x := rnd.random(), rnd.random(), rnd.random() > 0.5, rnd.choice("ab"), int(x > 0.8)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, tells double, noise double, flag boolean, kind string, label int")
+    model = L.train(df, ["tells", "noise"], ["flag"], ["kind"], iterations=3, depth=2)
+    drop = {r["feature"]: r["drop"] for r in L.importance(model, df, ["tells", "noise"], ["flag"], ["kind"]).collect()}
+    assert drop["tells"] > 0.3 and max(abs(v) for k, v in drop.items() if k != "tells") < 0.1
+
+
 def test_touching_groups(spark):
     df = spark.createDataFrame([("k", d, v) for v, d in enumerate((0, 1, 44, 45))], "key string, b long, vin int")
     assert C.touching_groups(df, "key", "b").count() == 2
@@ -301,10 +472,10 @@ def test_most_similar_and_cosine(spark):
 def test_guard_restarts_after_agreeing_readings():
     from teleflect.params import Detect
 
-    u = D.Unit(Metric(), Detect(), 90.0, 0.6)
+    u, normal = D.Unit(Metric(), Detect()), (90.0, 0.6, 0.0, 0.1)
     for i in range(20):
-        u.step(i * 0.5, 90.0)
-    assert [u.step(10 + i * 0.5, 140.0) is None for i in range(3)] == [True, True, True]
+        u.step(i * 0.5, 90.0, normal)
+    assert [u.step(10 + i * 0.5, 140.0, normal) is None for i in range(3)] == [True, True, True]
     assert u.last[1] == 140.0
 
 
