@@ -166,7 +166,7 @@ class Identifier:
 class _Scorer:
     """Sums over the words of a text; each distinct word is scored once per worker, in a table that restarts when full."""
 
-    def __init__(self, identifier: Identifier, most: int = 400_000):
+    def __init__(self, identifier: Identifier, most: int = 200_000):
         self.identifier, self.most = identifier, most
         self._clear()
 

@@ -10,6 +10,10 @@ Texts with equal fingerprints are one class from the start, so copies cost nothi
 `most` fingerprints meet is not compared pair by pair: its fingerprints go on to whole 64-bit values within r/2, where
 all that meet differ in at most r bits, and each links to the smallest. That keeps every component whole, in work
 that grows with the number of fingerprints. Null and blank texts have fingerprint zero and link like any other.
+
+Repeated rows, and several texts under one doc_id, each have a row; a null doc_id gets its fingerprint and names no
+component (null where a component has no other). Very long texts count whole. Other columns are left out, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, partitions, stored, whole_runs
+from .common import broadcast_if_small, partitions, slices, stored, whole_runs
 from .components import components
 from .exact import text_hash
 from .words import Block, blocks, mixed, windows, worker_table
@@ -197,12 +201,10 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.RecordBatch]:
-    """batches in parts of few rows, so that a worker holds few texts as Python objects. A table left by an earlier stage is let go."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """slices; a table left by an earlier stage is let go."""
     worker_table("near-sets", lambda: None)
-    for b in batches:
-        for at in range(0, b.num_rows, most):
-            yield b.slice(at, most)
+    yield from slices(batches)
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:

@@ -29,7 +29,7 @@ def _plain(text: str | None) -> bytes:
 class WordEncoder:
     """encode(texts) gives the ids of each text. Memory is bounded: the table of words restarts after `most` of them."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -6,9 +6,12 @@ lookups, so no Python object is made for a word. `check` is a second, independen
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Odd multipliers, any will do.
 _R = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -95,10 +98,20 @@ def windows(h: np.ndarray, first: np.ndarray, k: int, which: int = 0) -> tuple[n
 _table: list = []
 
 
+def _give_back() -> None:
+    """Hand freed memory back to the system: allocators keep what an earlier stage used, and workers serve many stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def worker_table(key, make):
     """make(), kept by this Python worker until another key is asked for: workers serve many stages, and each holds one large table at a time."""
     if not _table or _table[0] != key:
         _table.clear()
+        _give_back()
         _table.extend((key, make()))
     return _table[1]
 
