@@ -8,7 +8,7 @@ covered by a window that starts in a document with a smaller doc_id.
 
 Only edges that can repeat are gathered: each window belongs to its minimizer, the m-word stretch in it of the
 smallest hash, and equal windows have equal minimizers. So rows are dealt by minimizer, about one for every five
-windows, each with 32-bit hashes of its own windows (64 bits where a minimizer is heavy). Then every span is verified
+windows, each with 40-bit hashes of its own windows (64 bits where a minimizer is heavy). Then every span is verified
 against its source by a digest of the words themselves. Where hashes of different windows met, the smallest place of
 them all stands as source, so each mistake shows as a span that fails. Only the windows of failed spans are gone over
 again, with hashes of another kind, and verified again, until none fails.
@@ -38,6 +38,8 @@ from .common import broadcast_if_small, partitions, stored, whole_runs
 from .words import Block, blocks, windows
 
 ROWS = "h long, salt int, doc_id long, tie long, pos int, wins binary"
+#: Bytes of a window hash where its minimizer is not heavy.
+SHORT = 5
 MATCHES = "doc_id long, tie long, pos int, n int, src_doc long, src_tie long, src_pos int"
 
 
@@ -102,7 +104,7 @@ def _heavy(docs: DataFrame, k: int, m: int, most: int) -> np.ndarray:
 
 
 def _minimizer_rows(docs: DataFrame, k: int, m: int, heavy: np.ndarray, seed: int = 0) -> DataFrame:
-    """One row for each minimizer: its hash, where its first window starts (in words), 32-bit hashes of its windows. Heavy ones have 64-bit hashes and as salt any positive number, to spread their rows; others 0."""
+    """One row for each minimizer: its hash, where its first window starts (in words), 40-bit hashes of its windows. Heavy ones have 64-bit hashes and as salt any positive number, to spread their rows; others 0."""
     n = partitions(docs.sparkSession)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,8 +118,8 @@ def _minimizer_rows(docs: DataFrame, k: int, m: int, heavy: np.ndarray, seed: in
                     continue
                 doc = ids[edges.text]
                 salt = np.where(np.isin(edges.h, heavy), 1 + (doc * 31 + edges.pos) % n, 0).astype(np.int32)
-                short, whole = (edges.whole >> np.uint64(32)).astype("<u4").tobytes(), edges.whole.astype("<u8").tobytes() if salt.any() else b""
-                wins = [whole[8 * x : 8 * y] if wide else short[4 * x : 4 * y] for x, y, wide in zip(edges.cuts[:-1].tolist(), edges.cuts[1:].tolist(), salt.tolist(), strict=True)]
+                short, whole = np.ascontiguousarray(edges.whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - SHORT :]).tobytes(), edges.whole.astype("<u8").tobytes() if salt.any() else b""
+                wins = [whole[8 * x : 8 * y] if wide else short[SHORT * x : SHORT * y] for x, y, wide in zip(edges.cuts[:-1].tolist(), edges.cuts[1:].tolist(), salt.tolist(), strict=True)]
                 yield pd.DataFrame({"h": edges.h, "salt": salt, "doc_id": doc, "tie": ties[edges.text], "pos": edges.pos, "wins": wins})
 
     return docs.filter("doc_id is not null").mapInPandas(each, ROWS)
@@ -127,7 +129,9 @@ def _spread(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.
     """Of each window: its row, its place in the row, its hash of `width` bytes."""
     sizes = np.array([len(x) for x in rows["wins"]], np.int64) // width
     row = np.repeat(np.arange(len(rows)), sizes)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.frombuffer(b"".join(rows["wins"]), f"<i{width}").astype(np.int64)
+    whole = np.zeros((len(row), 8), np.uint8)
+    whole[:, 8 - width :] = np.frombuffer(b"".join(rows["wins"]), np.uint8).reshape(-1, width)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes), whole.view("<i8").ravel().astype(np.int64)
 
 
 def _matches(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +154,7 @@ def _matches(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
                 continue
             cool, run, doc = cool[keep].reset_index(drop=True), run[keep], doc[keep]
             tie, start = cool["tie"].to_numpy(), cool["pos"].to_numpy()
-            row, place, win = _spread(cool, 4)
+            row, place, win = _spread(cool, SHORT)
             pos = start[row] + place
             order = np.lexsort((pos, tie[row], doc[row], win, run[row]))
             r, w = run[row][order], win[order]
@@ -182,7 +186,7 @@ def _hot_matches(rows: DataFrame) -> DataFrame:
 
     def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for width, own in ((4, b[b["salt"] == 0]), (8, b[b["salt"] > 0])):
+            for width, own in ((SHORT, b[b["salt"] == 0]), (8, b[b["salt"] > 0])):
                 row, place, win = _spread(own, width)
                 yield pd.DataFrame({c: own[c].to_numpy()[row] for c in ("h", "doc_id", "tie")} | {"pos": (own["pos"].to_numpy()[row] + place).astype(np.int32), "win": win})
 
@@ -218,7 +222,7 @@ def _mended(docs: DataFrame, spans: DataFrame, failed: DataFrame, k: int, m: int
     none = np.zeros(0, np.int64)
     bad = failed.select("doc_id", "tie", F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("z"))
     theirs = docs.join(broadcast_if_small(stored(bad.select("doc_id", "tie").distinct(), "failed-documents")), ["doc_id", "tie"], "left_semi")
-    own = _minimizer_rows(theirs, k, m, none).withColumn("end", F.col("pos") + F.floor(F.octet_length("wins") / 4))
+    own = _minimizer_rows(theirs, k, m, none).withColumn("end", F.col("pos") + F.floor(F.octet_length("wins") / SHORT))
     touched = stored(own.join(bad, ["doc_id", "tie"]).filter((F.col("pos") < F.col("z")) & (F.col("end") > F.col("a"))).select("h").distinct(), "failed-minimizers")
     again = _found(_minimizer_rows(docs, k, m, none, seed).join(broadcast_if_small(touched), "h", "left_semi"), most)
     lap = again.join(bad, ["doc_id", "tie"]).filter((F.col("pos") < F.col("z")) & (F.col("pos") + F.col("n") > F.col("a")))
