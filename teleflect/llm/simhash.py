@@ -230,9 +230,9 @@ def _similar_links(meetings: DataFrame, texts: DataFrame, k: int, least: float,
     """Links that join the same classes as all pairs of `least` that share a key of meetings(key, cls, low, n) do.
 
     A bucket of up to `most` classes has all its pairs tested. In a larger one each class is tested with the smallest
-    first; then every pair that these links leave in different components is. At least one of such a pair lies outside
-    the bucket's largest component, so only those are set against the whole bucket, and a large group of near copies
-    is gone through once instead of pair by pair.
+    first; classes of buckets that these links leave in several components then go through an exact set-similarity
+    join (`_unlinked`), so a large group of near copies is gone through once, and one of texts just under `least` is
+    not gone through pair by pair.
     """
     few, many = meetings.filter(F.col("n") <= most).select("key", "cls"), meetings.filter(F.col("n") > most)
     pairs = few.withColumnRenamed("cls", "a").join(few.withColumnRenamed("cls", "b"), "key").filter("a < b").select("a", "b")
@@ -241,11 +241,50 @@ def _similar_links(meetings: DataFrame, texts: DataFrame, k: int, least: float,
     if not many.limit(1).count():
         return links
     rows = stored(_rooted(many.select("key", "cls"), components(links)), "near-rooted")
-    sizes = rows.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
-    rows = rows.join(sizes.filter("roots > 1").drop("roots"), "key")
-    apart = rows.filter("root <> main").select("key", F.col("cls").alias("x"), F.col("root").alias("rx")).join(rows.select("key", F.col("cls").alias("y"), F.col("root").alias("ry")), "key").filter("rx <> ry")
-    apart = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return links.unionByName(stored(_alike(stored(apart, "near-apart"), texts, k, least), "near-links"))
+    split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    apart = stored(rows.join(split, "key", "left_semi").select("cls", "root").distinct(), "near-apart")
+    if not apart.limit(1).count():
+        return links
+    more = _unlinked(apart, texts, k, least).join(pairs, ["a", "b"], "left_anti")
+    return links.unionByName(stored(_alike(stored(more, "near-pairs"), texts, k, least), "near-links"))
+
+
+def _unlinked(apart: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """Of apart(cls, root) every pair a < b of different roots that can have a Jaccard similarity of `least`: prefix, length and positional filters on shingles in order of frequency.
+
+    Sets x and y, |y| <= |x|, of that similarity share at least `least` * |x| and 2 * `least` / (1 + `least`) * |y|
+    shingles, so they share one of the rarest |x| - `least` * |x| + 1 of x that is also among the rarest
+    |y| - 2 * `least` / (1 + `least`) * |y| + 1 of y. Texts of one template just under `least` differ in more of their
+    shingles than that, so few of them meet. Shingles of one class alone come first and need no row. Of the classes
+    that share a shingle, those of its most frequent root are not set against each other.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            sets = [x.view(np.int64) for x in shingle_sets(b["text"].to_pylist(), k)]
+            yield pa.RecordBatch.from_arrays([b["cls"], b["root"], pa.array(sets, pa.list_(pa.int64()))], ["cls", "root", "tokens"])
+
+    at_least = lambda x: F.ceil(x - 1e-9)  # noqa: E731  rounding must not shorten a prefix
+    size, rare = F.size("tokens"), F.size("own")
+    sets = stored(texts.join(apart, "cls").select("cls", "root", "text").mapInArrow(split, "cls long, root long, tokens array<long>"), "near-tokens")
+    tokens = sets.select("cls", "root", size.alias("size"), F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("n > 1")
+    own = tokens.join(counts, "token").groupBy("cls", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token", (F.col("low") < F.col("high")).alias("meets")))).alias("own"))
+    single = F.col("size") - rare
+    probe = F.col("size") - at_least(least * F.col("size")) + 1
+    rows = own.select("cls", "root", "size", single.alias("single"), F.posexplode(F.slice("own", F.lit(1), F.greatest(probe - single, F.lit(0)).cast("int"))))
+    rows = rows.filter("col.meets").select("cls", "root", "size", (F.col("single") + F.col("pos")).alias("pos"), F.col("col.token").alias("token"))
+    rows = rows.withColumn("indexed", F.col("pos") <= F.col("size") - at_least(2 * least / (1 + least) * F.col("size")))
+    rows = stored(rows, "near-prefixes")
+    main = rows.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token", "main")
+    rows = stored(rows.join(main, "token").withColumn("main", F.col("main") == F.col("root")), "near-shared")
+    x = rows.select("token", *(F.col(c).alias(f"x_{c}") for c in ("cls", "root", "size", "pos", "main")))
+    y = rows.filter("indexed").select("token", *(F.col(c).alias(f"y_{c}") for c in ("cls", "root", "size", "pos", "main")))
+    met = x.filter("not x_main").join(y, "token").unionByName(x.filter("x_main").join(y.filter("not y_main"), "token"))
+    both = F.col("x_size") + F.col("y_size")
+    rest = F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos"))  # shared from here on, at most
+    met = met.filter((F.col("x_root") != F.col("y_root")) & (F.col("y_size") <= F.col("x_size")) & (F.col("y_size") >= at_least(least * F.col("x_size"))) & (rest >= at_least(least / (1 + least) * both)))
+    return met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
 
 
 def _similar(docs: DataFrame, k: int, least: float, most: int) -> DataFrame:

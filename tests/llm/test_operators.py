@@ -351,6 +351,26 @@ def test_near_copies_in_hot_buckets(spark):
         assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs(spark, rows), most=most).collect()} == want
 
 
+def test_set_similarity_join_misses_no_pair(spark):
+    """Prefix, length and positional filters keep every pair of different roots at 0.8 or more, and drop most others; sets of one shingle and of equal sizes too."""
+    rnd, base, rows = random.Random(6), text(901, 120), {}
+    for c in range(60):
+        t = swapped(base, rnd.sample(range(120), rnd.randint(1, 6)), rnd.choice("uvw"))
+        rows[c] = " ".join(t.split()[: rnd.choice([120, 120, 110, 90])])
+    rows |= {60: "one", 61: "a b c d e", 62: "a b c d e f"}
+    for c in range(63, 75):  # just under 0.8 with each other, 7 places of their own in each
+        rows[c] = swapped(base, range(c % 12, 120, 17), f"own{c}")
+    texts = spark.createDataFrame(list(rows.items()), "cls long, text string").cache()
+    sets = {c: set(x.tolist()) for c, x in zip(rows, simhash.shingle_sets(rows.values()), strict=True)}
+    for root in ({c: c for c in rows}, {c: 0 if c < 40 else c for c in rows}, {c: c % 3 for c in rows}):
+        got = {(r["a"], r["b"]) for r in simhash._unlinked(spark.createDataFrame(list(root.items()), "cls long, root long"), texts, 5, 0.8).collect()}
+        every = {(a, b) for a in rows for b in rows if a < b and root[a] != root[b]}
+        near = {(a, b) for a, b in every if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+        assert near and near <= got <= every
+        assert not {(a, b) for a, b in got if a >= 63}
+    texts.unpersist()
+
+
 # ---- op5
 
 
