@@ -201,6 +201,16 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+#: Bits of a sketch; every shingle of a set flips one of them.
+SKETCH = 512
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH bits as longs, each set if an odd number of shingles fall on it. Sketches of two sets never differ in more bits than the sets differ in shingles."""
+    at = (mixed(shingles) & np.uint64(SKETCH - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """slices; a table left by an earlier stage is let go."""
     worker_table("near-sets", lambda: None)
@@ -250,23 +260,25 @@ def _similar_links(meetings: DataFrame, texts: DataFrame, k: int, least: float,
 
 
 def _unlinked(apart: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """Of apart(cls, root) every pair a < b of different roots that can have a Jaccard similarity of `least`: prefix, length and positional filters on shingles in order of frequency.
+    """Of apart(cls, root) every pair a < b of different roots that can have a Jaccard similarity of `least`: prefix, length and positional filters on shingles in order of frequency, and a filter on sketches.
 
     Sets x and y, |y| <= |x|, of that similarity share at least `least` * |x| and 2 * `least` / (1 + `least`) * |y|
     shingles, so they share one of the rarest |x| - `least` * |x| + 1 of x that is also among the rarest
     |y| - 2 * `least` / (1 + `least`) * |y| + 1 of y. Texts of one template just under `least` differ in more of their
-    shingles than that, so few of them meet. Shingles of one class alone come first and need no row. Of the classes
+    shingles than that, so few of them meet; of those, pairs whose sketches differ in over |x| + |y| - 2 * `least` /
+    (1 + `least`) * (|x| + |y|) bits differ in as many shingles at least and go. Shingles of one class alone come first and need no row. Of the classes
     that share a shingle, those of its most frequent root are not set against each other.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            sets = [x.view(np.int64) for x in shingle_sets(b["text"].to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([b["cls"], b["root"], pa.array(sets, pa.list_(pa.int64()))], ["cls", "root", "tokens"])
+            sets = list(shingle_sets(b["text"].to_pylist(), k))
+            longs = [pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in sets], [sketch(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays([b["cls"], b["root"], *longs], ["cls", "root", "tokens", "sketch"])
 
     at_least = lambda x: F.ceil(x - 1e-9)  # noqa: E731  rounding must not shorten a prefix
     size, rare = F.size("tokens"), F.size("own")
-    sets = stored(texts.join(apart, "cls").select("cls", "root", "text").mapInArrow(split, "cls long, root long, tokens array<long>"), "near-tokens")
+    sets = stored(texts.join(apart, "cls").select("cls", "root", "text").mapInArrow(split, "cls long, root long, tokens array<long>, sketch array<long>"), "near-tokens")
     tokens = sets.select("cls", "root", size.alias("size"), F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("n > 1")
     own = tokens.join(counts, "token").groupBy("cls", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token", (F.col("low") < F.col("high")).alias("meets")))).alias("own"))
@@ -277,12 +289,14 @@ def _unlinked(apart: DataFrame, texts: DataFrame, k: int, least: float) -> DataF
     rows = rows.withColumn("indexed", F.col("pos") <= F.col("size") - at_least(2 * least / (1 + least) * F.col("size")))
     rows = stored(rows, "near-prefixes")
     main = rows.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token", "main")
-    rows = stored(rows.join(main, "token").withColumn("main", F.col("main") == F.col("root")), "near-shared")
-    x = rows.select("token", *(F.col(c).alias(f"x_{c}") for c in ("cls", "root", "size", "pos", "main")))
-    y = rows.filter("indexed").select("token", *(F.col(c).alias(f"y_{c}") for c in ("cls", "root", "size", "pos", "main")))
+    rows = stored(rows.join(main, "token").withColumn("main", F.col("main") == F.col("root")).join(sets.select("cls", "sketch"), "cls"), "near-shared")
+    x = rows.select("token", *(F.col(c).alias(f"x_{c}") for c in ("cls", "root", "size", "pos", "main", "sketch")))
+    y = rows.filter("indexed").select("token", *(F.col(c).alias(f"y_{c}") for c in ("cls", "root", "size", "pos", "main", "sketch")))
     met = x.filter("not x_main").join(y, "token").unionByName(x.filter("x_main").join(y.filter("not y_main"), "token"))
     both = F.col("x_size") + F.col("y_size")
     rest = F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos"))  # shared from here on, at most
+    differ = sum(F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("y_sketch")[i])) for i in range(SKETCH // 64))
+    met = met.filter(differ <= both - 2 * at_least(least / (1 + least) * both))
     met = met.filter((F.col("x_root") != F.col("y_root")) & (F.col("y_size") <= F.col("x_size")) & (F.col("y_size") >= at_least(least * F.col("x_size"))) & (rest >= at_least(least / (1 + least) * both)))
     return met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
 

@@ -351,6 +351,16 @@ def test_near_copies_in_hot_buckets(spark):
         assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs(spark, rows), most=most).collect()} == want
 
 
+@pytest.mark.parametrize("size", [0, 1, 40, 500, 5000])
+def test_sketches_differ_in_no_more_bits_than_sets(size):
+    rng = np.random.default_rng(size)
+    for apart in (0, 1, 7, 60, 3000):
+        shared, mine, other = (rng.integers(1 << 64, size=n, dtype=np.uint64) for n in (size, apart, apart // 2))
+        x, y = simhash.sketch(np.concatenate([shared, mine])), simhash.sketch(np.concatenate([shared, other]))
+        differ = int(np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum())
+        assert len(x) == simhash.SKETCH // 64 and 0.8 * min(20, apart + apart // 2) <= differ <= apart + apart // 2
+
+
 def test_set_similarity_join_misses_no_pair(spark):
     """Prefix, length and positional filters keep every pair of different roots at 0.8 or more, and drop most others; sets of one shingle and of equal sizes too."""
     rnd, base, rows = random.Random(6), text(901, 120), {}
