@@ -114,21 +114,25 @@ def scan(docs: DataFrame, least: float = 0.8) -> DataFrame:
     often = rows.select(F.explode("hits.w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     order = templates(spark, least).select("template", "label", "need", "size", F.explode("tokens").alias("w")).join(F.broadcast(often), "w", "left").groupBy("template", "label", "need", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("tokens"))
     ordered = order.select("template", "label", "need", "size", F.col("tokens.w").alias("tokens"))
-    prefix = ordered.select("template", "need", "size", "tokens", F.posexplode("tokens").alias("rank", "w")).filter(F.col("rank") <= F.size("tokens") - F.col("need"))
 
-    # blocks that hold a prefix token: start of the block in words
-    half = F.col("size") / 2  # sizes are even
+    # blocks that hold a token of a template's prefix, by the first of them: prefix, length and positional filters
+    member = ordered.select("template", "size", "need", F.size("tokens").alias("of"), F.posexplode("tokens").alias("rank", "w"))
     hit = rows.select("row", "n_words", F.explode("hits").alias("h")).select("row", "n_words", F.col("h.w").alias("w"), F.col("h.pos").alias("pos"))
-    met = hit.join(F.broadcast(prefix.select("w", "template", "rank", "size")), "w")
-    starts = F.filter(F.array((F.floor(F.col("pos") / half) * half).cast("int"), ((F.floor(F.col("pos") / half) - 1) * half).cast("int")), lambda s: s >= 0)
-    met = met.select("row", "template", "rank", F.explode(starts).alias("start"), F.col("n_words")).groupBy("row", "template", "start").agg(F.min("rank").alias("rank"), F.first("n_words").alias("n_words"))
+    met = hit.join(F.broadcast(member.filter(F.col("rank") <= F.col("of") - F.col("need"))), "w").withColumn("start", F.explode(_blocks_of()))
     in_block = F.least(F.col("n_words") - F.col("start"), F.col("size"))
-    met = met.join(F.broadcast(ordered), "template").filter((in_block >= F.col("need")) & (F.size("tokens") - F.col("rank") >= F.col("need")))
-    pairs = met.join(rows.select("row", "hits"), "row")
-    block = F.array_distinct(F.transform(F.filter("hits", lambda h: (h["pos"] >= F.col("start")) & (h["pos"] < F.col("start") + F.col("size"))), lambda h: h["w"]))
-    shared = F.size(F.array_intersect(block, F.col("tokens")))
-    found = pairs.select("row", "label", "need", shared.alias("shared"), (shared / F.size("tokens")).alias("share")).filter(F.col("shared") >= F.col("need"))
-    found = found.groupBy("row").agg(F.collect_set("label").alias("near"), F.max("share").alias("share"))
+    met = met.filter(in_block >= F.col("need")).groupBy("row", "template", "start", "need", "of").agg(F.min("rank").alias("first")).filter(F.col("of") - F.col("first") >= F.col("need"))
+    met = stored(met.drop("first"), "license-blocks")
+
+    # each hit of these texts goes to the two blocks it is in, so work grows with the text, however long; a block's tokens are bits
+    dealt = rows.select("row", "hits").join(met.select("row", "template").distinct(), "row").select("row", "template", F.explode("hits").alias("h"))
+    dealt = dealt.select("row", "template", F.col("h.w").alias("w"), F.col("h.pos").alias("pos")).join(F.broadcast(member.select("template", "size", "rank", "w")), ["template", "w"])
+    dealt = dealt.select("row", "template", "rank", F.explode(_blocks_of()).alias("start"))
+    bit = lambda k: F.when(F.floor(F.col("rank") / 62) == k, F.expr("shiftleft(1L, rank % 62)")).otherwise(F.lit(0).cast("long"))
+    bits = [f"bits{k}" for k in range(-(-max(len(t) for _, _, t, _, _ in _template_rows(least)) // 62))]
+    own = dealt.groupBy("row", "template", "start").agg(*[F.bit_or(bit(k)).alias(b) for k, b in enumerate(bits)])
+    shared = sum((F.bit_count(b) for b in bits[1:]), F.bit_count(bits[0]))
+    found = met.join(own, ["row", "template", "start"]).select("row", "template", "need", shared.alias("shared"), (shared / F.col("of")).alias("share")).filter(F.col("shared") >= F.col("need"))
+    found = found.join(F.broadcast(ordered.select("template", "label")), "template").groupBy("row").agg(F.collect_set("label").alias("near"), F.max("share").alias("share"))
 
     # words of a phrase that stand together in the text stand together among the hits
     places = [_places(phrase.split(), label) for phrase, label in PHRASES.items()]
@@ -142,6 +146,13 @@ def scan(docs: DataFrame, least: float = 0.8) -> DataFrame:
     )
 
 
+def _blocks_of() -> Column:
+    """Starts of the blocks of `size` words at every half of it that hold the word at `pos`."""
+    half = F.col("size") / 2  # sizes are even
+    at = F.floor(F.col("pos") / half)
+    return F.filter(F.array((at * half).cast("int"), ((at - 1) * half).cast("int")), lambda s: s >= 0)
+
+
 def _places(phrase: list[str], label: str) -> Column:
     """Where a phrase's words stand consecutively: its first word's place, and the label."""
     hit = lambda i: F.get(F.col("hits"), i)
