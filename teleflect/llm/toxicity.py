@@ -276,10 +276,9 @@ def score(docs: DataFrame, model: Field | None, with_spans: bool = True) -> Data
             own: list[list] = [[] for _ in block]
             hit = np.flatnonzero(p >= 0.5)
             text = np.searchsorted(first, hit, side="right") - 1
-            for i, k in zip(hit.tolist(), text.tolist(), strict=True):
-                at = int(b.texts_at[k])
-                start = len(block[k][: b.starts[i] - at].decode())
-                end = start + len(b.word(i).decode())
+            chars = np.concatenate([[0], np.cumsum((b.bytes & 0xC0) != 0x80)])  # code points before each byte
+            from_, to = (chars[x[hit]] - chars[b.texts_at[text]] for x in (b.starts, b.ends))
+            for i, k, start, end in zip(hit.tolist(), text.tolist(), from_.tolist(), to.tolist(), strict=True):
                 if own[k] and own[k][-1]["word"] == i - 1:
                     own[k][-1] |= {"end": end, "p": max(own[k][-1]["p"], float(p[i])), "word": i}
                 else:
