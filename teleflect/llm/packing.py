@@ -7,9 +7,9 @@ end id alone. Only documents longer than a sequence are cut. Equal lengths are p
 Repeated rows are packed each; columns other than doc_id and text are left out, whatever their names; an empty table
 gives an empty result.
 
-The last groups of the tree meet in one task, with at most 2 * group_items underfull bins, or fewer than 1 % of the bins
-of the round before: what they could still save is below that share. On the 0.1 tables this packs 2,270 sequences, the
-number that the tokens fill at least.
+No group has more than about 2 * group_items bins in any round, whatever the items: a round has as many groups as that
+asks for, and where underfull bins cannot be merged into fewer they are dealt anew. On the 0.1 tables this packs 2,270
+sequences, the number that the tokens fill at least.
 """
 
 from __future__ import annotations
@@ -100,27 +100,32 @@ def _fitting(capacity: int, nearly: float, last: bool):
 def pack(items: DataFrame, capacity: int = 4096, group_items: int = 50_000, fan_in: int = 8, nearly: float = 0.998, most_rounds: int = 20) -> DataFrame:
     """items(item long, unique; length long from 1 to capacity) -> item, sequence_id, offset.
 
-    group_items bounds what one task holds in the first round. A later round takes fan_in groups of underfull bins
-    together, and the tree ends when a round saves less than 1 % of its bins while over 2 * group_items are left; what
-    is left then cannot fill each other and goes out as it is.
+    A group has at most about 2 * group_items bins in every round: their number is taken from how many are left, never
+    from the round before. A round in which underfull bins meet others of their group and their number falls by less
+    than 1 % is followed by one that deals them anew; two such rounds in a row end the tree, as what is left can hardly
+    fill each other.
     """
-    groups = -(-max(1, items.count()) // group_items)
+    left = items.count()
+    groups = max(1, -(-left // group_items))
     rest = items.select(F.pmod(F.xxhash64("item"), F.lit(groups)).alias("grp"), F.col("length").alias("size"), F.array("item").alias("items"), F.array(F.lit(0).cast("long")).alias("offsets"))
     full: list[DataFrame] = []
-    left = 0
+    idle = 0
     for r in range(most_rounds):
-
-        fit = _fitting(capacity, nearly, last=groups == 1)
-        bins = stored(rest.groupBy("grp").applyInPandas(fit, BINS), f"bins-{r}")
+        bins = stored(rest.groupBy("grp").applyInPandas(_fitting(capacity, nearly, last=groups == 1), BINS), f"bins-{r}")
         full.append(bins.filter("done"))
         rest = bins.filter("not done")
         if groups == 1:
             break
-        before, left, groups = left, rest.count(), -(-groups // fan_in)
-        if r and left > max(2 * group_items, 0.99 * before):
+        before, left = left, rest.count()
+        idle = idle + 1 if r and left > 0.99 * before else 0
+        if not left or idle == 2:
             full.append(rest)
             break
-        rest = rest.select(F.floor(F.col("grp") / fan_in).cast("long").alias("grp"), "size", "items", "offsets")
+        merged = max(-(-groups // fan_in), -(-left // group_items))
+        # neighbours merge while that keeps groups small; where none can, bins are dealt anew and meet others
+        anew = F.pmod(F.xxhash64(F.col("items")[0], F.lit(r)), F.lit(merged))
+        rest = rest.select((F.floor(F.col("grp") / -(-groups // merged)) if merged < groups else anew).cast("long").alias("grp"), "size", "items", "offsets")
+        groups = merged
     else:
         full.append(rest)
     out = full[0]
