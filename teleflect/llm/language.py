@@ -9,7 +9,8 @@ chosen by a hash, is kept from the counts and used for calibration alone (all of
 
 Fitting reads at most about `sample` documents of each language, chosen by a hash of their doc_id: a documented bound,
 so that the models stay a few MB at any size of the table. Word lists are counted by Spark and reduced to n-grams
-before the driver sees them. Languages are taken to be few: their models stand in every worker. Null and letterless
+before the driver sees them. Languages are few, as their models stand in every worker: over MOST_LANGUAGES fitting ends with
+an error, none is left out. Null and letterless
 texts are `und` with score 0; a table without labelled rows gives `und` everywhere; an empty one an empty result.
 Repeated rows are predicted alike; of very long texts all words count; columns named like a result are replaced, others
 carried.
@@ -18,6 +19,7 @@ carried.
 from __future__ import annotations
 
 import math
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -32,8 +34,9 @@ from .common import broadcast_if_small, stored
 from .words import Block, Lookup, blocks, class_of, mixed, worker_table
 
 UNKNOWN = "und"
+MOST_LANGUAGES = 500
 START, END = "\x02", "\x03"
-#: In a lower-cased text: all of ASCII but letters. What else is no letter is taken out of each distinct word.
+#: In a lower-cased text: all of ASCII but letters. At what else is no letter each distinct word is parted (`runs`).
 _GAPS = class_of(bytes(c for c in range(128) if not chr(c).isalpha()))
 
 
@@ -52,6 +55,23 @@ def letters(word: bytes) -> str:
     return "".join(c for c in word.decode(errors="ignore") if c.isalpha())
 
 
+def runs(word: bytes) -> list[str]:
+    """Runs of letters, each with the marks that follow its letters; anything else parts them."""
+    text = word.decode(errors="ignore")
+    if text.isalpha():
+        return [text]
+    out, inside = [], False
+    for c in text:
+        if c.isalpha() or inside and unicodedata.category(c)[0] == "M":
+            if not inside:
+                out.append("")
+            out[-1] += c
+            inside = True
+        else:
+            inside = False
+    return out
+
+
 def gram_hashes(words: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Of every predicted character (all but the start mark): hashes of its n-grams for n = 1..order, 0 where the word is too short; and its word."""
     text = "".join(START + w + END for w in words)
@@ -183,10 +203,10 @@ class _Scorer:
             self._clear()
             codes = self.known.find(keys)
         if len(new := np.flatnonzero(codes < 0)):
-            words = [letters(b.word(i)) for i in at[new].tolist()]
+            parts = [(k, w) for k, i in enumerate(at[new].tolist()) for w in runs(b.word(i))]
             rows = np.zeros((len(new), self.table.shape[1]))
-            if real := [i for i, w in enumerate(words) if w]:
-                rows[real] = self.identifier.words([words[i] for i in real])
+            if parts:
+                np.add.at(rows, [k for k, _ in parts], self.identifier.words([w for _, w in parts]))
             codes[new] = np.arange(len(self.known), len(self.known) + len(new))
             self.known.add(keys[new])
             self.table = np.concatenate([self.table, rows])
@@ -206,8 +226,10 @@ def fit(docs: DataFrame, sample: int = 2500, order: int = 4) -> Identifier | Non
     spark = docs.sparkSession
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")), "languages")
-    if not sizes.limit(1).count():
+    if not (kinds := sizes.count()):
         return None
+    if kinds > MOST_LANGUAGES:
+        raise ValueError(f"{kinds} languages are beyond what a worker holds models of ({MOST_LANGUAGES})")
     # some hundreds of documents beyond the bound at most: the choice is by hash, each for itself
     chosen = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) < (F.lit(sample) / F.col("__n")) * (1 << 30)
     rows = rows.join(broadcast_if_small(sizes), "lang").filter(chosen)
@@ -224,8 +246,8 @@ def fit(docs: DataFrame, sample: int = 2500, order: int = 4) -> Identifier | Non
         for lang, own in words.items():
             grams: Counter = Counter()
             for w, n in own.items():
-                if w := letters(w):
-                    t = START + w + END
+                for run in runs(w):
+                    t = START + run + END
                     for i in range(1, len(t)):
                         grams[t[max(0, i - order + 1) : i + 1]] += n
             yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
