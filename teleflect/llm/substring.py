@@ -26,7 +26,6 @@ batch; words are arrays there, not objects.
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +39,8 @@ from .words import Block, blocks, windows
 ROWS = "h long, salt int, doc_id long, tie long, pos int, wins binary"
 #: Bytes of a window hash where its minimizer is not heavy.
 SHORT = 5
+#: Times that failed spans are matched anew, by other hashes each time; in the second all words have 64 bits, so a third is not to be expected.
+ROUNDS = 6
 MATCHES = "doc_id long, tie long, pos int, n int, src_doc long, src_tie long, src_pos int"
 
 
@@ -266,7 +267,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, with_text: bool = True, most: i
 
     spans = repeated_spans(docs, k, m, most)
     source = ("src_doc", "src_tie", "src_pos", "n")
-    for seed in itertools.count(1):
+    for seed in range(1, ROUNDS + 2):
         own = spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "n", "src_doc", "src_tie", "src_pos")).alias("spans"))
         asked = spans.select(*source).distinct().groupBy(F.col("src_doc").alias("doc_id"), F.col("src_tie").alias("tie")).agg(F.collect_list(F.struct(*source)).alias("asked"))
         out = stored(docs.join(own, ["doc_id", "tie"], "left").join(asked, ["doc_id", "tie"], "left").select("doc_id", "tie", "text", "spans", "asked").mapInPandas(apply, RESULT), "kept")
@@ -274,6 +275,9 @@ def remove_repeats(docs: DataFrame, k: int = 13, with_text: bool = True, most: i
         failed = ours.join(theirs, list(source), "left").filter("not digest <=> known")
         if not failed.limit(1).count():
             return out.filter("of_source is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
+        if seed > ROUNDS:
+            named = [(r["doc_id"], r["pos"]) for r in failed.select("doc_id", "pos").limit(20).collect()]
+            raise RuntimeError(f"spans of different words still meet after {ROUNDS} hashes: {named}")
         spans = _mended(docs, spans, failed, k, m, most, seed)
 
 
