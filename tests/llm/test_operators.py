@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -192,6 +193,18 @@ def test_language_of_long_repeated_and_lowered_texts(spark):
     assert sorted((str(r["doc_id"]), r["lang_pred"]) for r in out) == [("1", "aa"), ("2", "bb"), ("2", "bb"), ("None", "bb")]
 
 
+def test_runs_of_letters():
+    runs = lambda t: language.runs(t.encode())
+    assert runs("night—day") == ["night", "day"] and runs("你好。世界") == ["你好", "世界"] and runs("हिन्दी") == ["हिन्दी"]
+    assert runs("été") == ["été"] and runs("\u0301a\u0301\u00a0") == ["a\u0301"] and runs("\u20ac\u0301") == [] == runs("")
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(docs(spark, {i: text(i) for i in range(20)}, {i: "ab"[i % 2] for i in range(20)}))
+
+
 def test_language_without_labels(spark):
     df = docs(spark, ODD, dict.fromkeys(ODD))
     assert {r["lang_pred"] for r in language.identify(df, language.fit(df)).collect()} == {"und"}
@@ -291,6 +304,10 @@ def test_simhash_hot_values_keep_components(spark):
         assert groups(root) == groups(want)
 
 
+def test_simhash_of_empty_tables(spark):
+    assert simhash.near_groups(docs(spark, {})).count() == 0 == simhash.similar_groups(docs(spark, {})).count() == simhash.drop_near_copies(docs(spark, {})).count()
+
+
 def test_components_of_a_chain(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
@@ -467,6 +484,21 @@ def test_toxic_offsets_are_of_the_text_as_it_stands(spark):
     assert toxicity.score(empty, model).count() == 0 and toxicity.fit(empty, spark.createDataFrame(labels, "doc_id long, toxic int")) is None
 
 
+def test_toxic_offsets_of_a_very_long_text(spark):
+    """Offsets are counted once for a text, not once for each span."""
+    rows, labels = toxic_corpus()
+    df = docs(spark, rows)
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    bad = next(t for i, t in rows.items() if dict(labels).get(i) == 1) if isinstance(rows, dict) else next(t for i, t in rows if dict(labels).get(i) == 1)
+    whole = f"é {bad} " * 3000
+    began = time.time()
+    r = toxicity.score(docs(spark, {1: whole}), model).first()
+    assert time.time() - began < 60 and r["score"] > 0.3 and len(r["spans"]) > 1000
+    assert all(whole[s["start"] : s["end"]].strip() == whole[s["start"] : s["end"]] for s in r["spans"][-50:])
+    words = {whole[s["start"] : s["end"]] for s in r["spans"]}
+    assert len(words) < 50  # the same words all along: no offset drifts
+
+
 def test_toxicity(spark):
     rnd, rows, labels = random.Random(6), {}, []
     for i in range(160):
@@ -517,6 +549,32 @@ def test_pack_that_cannot_fill_ends(spark):
     assert packing.pack(df, 100, group_items=5, fan_in=2).select("sequence_id").distinct().count() == 100
 
 
+def test_pack_bounds_its_groups(spark, monkeypatch):
+    """Groups stay small in every round, and little is lost by that."""
+    seen, plain = spark.sparkContext.accumulator(0), packing.best_fit
+    most = spark.sparkContext.accumulator(0)
+    fitting = packing._fitting
+
+    def counted(capacity, nearly, last):
+        fit = fitting(capacity, nearly, last)
+
+        def run(g):
+            seen.add(len(g))
+            most.add(int(len(g) > 2 * 100))
+            return fit(g)
+
+        return run
+
+    monkeypatch.setattr(packing, "_fitting", counted)
+    rnd = random.Random(9)
+    sizes = [int(min(1000, rnd.lognormvariate(5, 1) + 1)) for _ in range(6000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "item long, length long")
+    rows = packing.pack(df, 1000, group_items=100, fan_in=4).collect()
+    assert seen.value >= 6000 and most.value == 0 and len(rows) == 6000
+    n, whole = len({r["sequence_id"] for r in rows}), int(plain(np.array(sizes), 1000).max()) + 1
+    assert n <= 1.02 * whole
+
+
 def test_pack_documents(spark):
     rows = packing.pack_documents(docs(spark, [*ODD.items(), (5, ODD[5]), (None, "x")]), word_bpe(), 1, capacity=512).collect()
     e = encoder(word_bpe()).tokenizer
@@ -587,9 +645,25 @@ def test_license_scan(spark):
     assert licenses.scan(docs(spark, {})).count() == 0
 
 
+def test_license_scan_of_a_very_long_text(spark):
+    """Work grows with the text: 200,000 template words, and as many of one template's prefix."""
+    rows = {0: "all rights reserved " * 66_000, 1: "software " * 200_000 + licenses.TEMPLATES[1][0], 2: "x"}
+    began = time.time()
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert time.time() - began < 120
+    assert got[0]["n_base"] == 66_000 and got[0]["labels"] == "reserved" and "mit" in got[1]["labels"] and got[2]["score"] == 0
+
+
 # ---- op9
 
 
+def test_decontamination_of_a_document_that_repeats_an_item(spark):
+    q = "A train leaves the old station at 40 km per hour and Maria waits 40 minutes before walking another 12 miles home"
+    items = spark.createDataFrame([(1, q), (2, text(50, 30))], "item_id long, text string")
+    got = benchmark.contaminated(docs(spark, {1: f"{q} . " * 20_000, 2: text(4)}), items).collect()
+    assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in got] == [(1, 1, 1.0)]
+
+
 def test_decontamination(spark):
     q = "A train leaves the old station at 40 km per hour and Maria waits 40 minutes before walking another 12 miles home"
     other = q.replace("40", "55").replace("Maria", "Joana").replace("12", "7")
