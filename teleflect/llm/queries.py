@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark, exact, language, licenses, packing, records, simhash, substring, toxicity, warc
+from . import benchmark, exact, language, licenses, middle, packing, records, simhash, substring, topk, toxicity, warc, whiten
 from .common import table
 
 
@@ -66,5 +66,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_kneser_ney_language_id, op3_token_records, op4_simhash_ball, op5_crf_toxicity, op6_best_fit_packing, op7_exact_dedup, op8_license_set_join, op9_template_decontamination, op10_substring_dedup)}
-ORACLE_SQL = {"op1_warc_capture_index": warc.SQL, "op7_exact_dedup": exact.SQL, "op8_license_set_join": licenses.SQL, "op10_substring_dedup": substring.SQL}
+def op11_block_max_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.fill_in_middle(table(spark, sf_dir, "documents"), with_text=False).drop("output")
+
+
+def op13_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_kneser_ney_language_id, op3_token_records, op4_simhash_ball, op5_crf_toxicity, op6_best_fit_packing, op7_exact_dedup, op8_license_set_join, op9_template_decontamination, op10_substring_dedup, op11_block_max_top_k, op12_fill_in_middle, op13_jacobi_davidson_whitening)}
+ORACLE_SQL = {"op1_warc_capture_index": warc.SQL, "op7_exact_dedup": exact.SQL, "op8_license_set_join": licenses.SQL, "op10_substring_dedup": substring.SQL, "op11_block_max_top_k": topk.SQL, "op12_fill_in_middle": middle.SQL}
