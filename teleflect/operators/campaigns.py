@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -129,107 +131,137 @@ def tail(n: int, rate: float) -> float:
     return max(0.0, 1 - total) if above else min(1.0, total)
 
 
+#: What a merged group takes on from the others: the status that stands highest.
+RANK = {"WATCHING": 0, "OPEN": 1, "DISMISSED": 2}
+
+
+@dataclass
+class Group:
+    """Buckets first to last of a key, its members (unit -> "" or marks RUNAWAY, FIXED) and where it stands."""
+
+    first: int
+    last: int
+    members: dict[object, set[str]] = field(default_factory=dict)
+    status: str = "WATCHING"
+    dismissed_at: int | None = None
+    worse: bool = False  # a member has run away since the dismissal
+    rate: float | None = None
+    p: float | None = None
+    version: int = 0
+
+    def event(self, kind: str, ts: int) -> tuple:
+        self.version += 1
+        return (self.first, kind, ts, len(self.members), self.rate, self.p, self.version)
+
+    def mark(self, vin, name: str) -> None:
+        self.members.setdefault(vin, set()).add(name)
+        self.worse |= name == "RUNAWAY" and self.status == "DISMISSED"
+
+
 class Book:
-    """Live groups of one key, changed by incidents, dismissals and repair outcomes in order; changes come back as events."""
+    """Live groups of one key as disjoint stretches of buckets that do not touch, changed by actions in order; changes come back as events."""
 
     def __init__(self, p: Campaign, vans: int, per_1000: float):
-        self.p, self.vans, self.rate = p, vans, max(p.floor_per_1000, per_1000)
-        self.groups: list[dict] = []
-
-    def _event(self, g: dict, kind: str, ts) -> dict:
-        g["version"] += 1
-        return {"group_first_bucket": g["first"], "kind": kind, "ts": ts, "members": len(g["members"]), "lambda": g["lambda"], "p_value": g["p"], "version": g["version"]}
-
-    def _judge(self, g: dict, ts, grew: bool) -> list[dict]:
-        n, p = len(g["members"]), self.p
-        g["lambda"] = self.vans * (g["last"] - g["first"] + 1) * p.bucket_h / 24 * self.rate / 1000
-        g["p"] = tail(n, g["lambda"])
-        if g["status"] == "WATCHING" and n >= p.min_vans and g["p"] < p.alpha:
-            g["status"] = "OPEN"
-            return [self._event(g, "OPENED", ts)]
-        if g["status"] == "OPEN" and grew:
-            return [self._event(g, "GREW", ts)]
-        if g["status"] == "DISMISSED":
-            at, runaway = g["dismissed"]
-            if runaway or n >= min(math.ceil(at * (1 + p.reraise_pct / 100)), at + p.reraise_abs):
-                g["status"] = "OPEN"
-                return [self._event(g, "REOPENED", ts)]
-        g["version"] += grew
+        self.p, self.vans, self.per_1000 = p, vans, max(p.floor_per_1000, per_1000)
+        self.groups: list[Group] = []  # by first bucket
+        self.home: dict[object, Group] = {}  # of each member
+
+    def _settle(self, g: Group, ts: int, grew: bool) -> list[tuple]:
+        """The group's chance anew, and the event that its state calls for."""
+        p, n = self.p, len(g.members)
+        g.rate = self.vans * (g.last - g.first + 1) * p.bucket_h / 24 * self.per_1000 / 1000
+        g.p = tail(n, g.rate)
+        again = g.dismissed_at is not None and (g.worse or n >= min(math.ceil(g.dismissed_at * (1 + p.reraise_pct / 100)), g.dismissed_at + p.reraise_abs))
+        kind = {"WATCHING": "OPENED" if n >= p.min_vans and g.p < p.alpha else None, "OPEN": "GREW" if grew else None, "DISMISSED": "REOPENED" if again else None}[g.status]
+        if kind:
+            g.status = "OPEN"
+            return [g.event(kind, ts)]
+        g.version += grew
         return []
 
-    def incident(self, vin, day: int, ts, runaway: bool = False) -> list[dict]:
-        for g in self.groups:
-            if vin in g["members"]:
-                if not runaway or g["members"][vin]["runaway"]:
-                    return []
-                g["members"][vin]["runaway"] = True
-                if g["status"] == "DISMISSED":
-                    g["dismissed"] = (g["dismissed"][0], True)
-                return self._judge(g, ts, False)
-        near = sorted((g for g in self.groups if g["first"] - 1 <= day <= g["last"] + 1), key=lambda g: g["first"])
-        out = []
-        if not near:
-            near = [{"status": "WATCHING", "first": day, "last": day, "members": {}, "version": 0, "lambda": None, "p": None, "dismissed": None}]
-            self.groups.append(near[0])
-        root = near[0]
-        for other in near[1:]:
-            root["members"] = other["members"] | root["members"]
-            root["last"] = max(root["last"], other["last"])
-            if other["status"] == "DISMISSED" != root["status"]:
-                root["status"], root["dismissed"] = "DISMISSED", other["dismissed"]
-            elif other["status"] == "OPEN" and root["status"] == "WATCHING":
-                root["status"] = "OPEN"
-            other["members"] = {}
-            out.append(self._event(other, "MERGED", ts))
-            self.groups.remove(other)
-        root["members"][vin] = {"runaway": runaway, "fixed": False}
-        root["first"], root["last"] = min(root["first"], day), max(root["last"], day)
-        if runaway and root["status"] == "DISMISSED":
-            root["dismissed"] = (root["dismissed"][0], True)
-        return out + self._judge(root, ts, True)
-
-    def dismiss(self, ts) -> list[dict]:
-        out = []
-        for g in self.groups:
-            if g["status"] in ("OPEN", "WATCHING"):
-                g["status"], g["dismissed"] = "DISMISSED", (len(g["members"]), False)
-                out.append(self._event(g, "DISMISSED", ts))
-        return out
-
-    def outcome(self, vin, fixed: bool, ts) -> list[dict]:
-        for g in list(self.groups):
-            if vin in g["members"] and g["members"][vin]["fixed"] != fixed:
-                g["members"][vin]["fixed"] = fixed
-                if g["status"] == "WATCHING":
-                    g["version"] += 1
-                    return []
-                if all(m["fixed"] for m in g["members"].values()):
-                    self.groups.remove(g)
-                    return [self._event(g, "CLOSED", ts)]
-                return [self._event(g, "FIX_PROGRESS", ts)]
-        return []
+    def _stretch(self, day: int, ts: int) -> tuple[Group, list[tuple]]:
+        """The group that holds a bucket, after it took in all that touch it."""
+        low, high = bisect_left(self.groups, day - 1, key=lambda g: g.last), bisect_right(self.groups, day + 1, key=lambda g: g.first)
+        met = self.groups[low:high]
+        if not met:
+            self.groups.insert(low, Group(day, day))
+            return self.groups[low], []
+        whole, gone = met[0], met[1:]
+        whole.first, whole.last = min(whole.first, day), max(day, met[-1].last)
+        leader = max(met, key=lambda g: RANK[g.status])  # the first of the highest
+        whole.status, whole.dismissed_at, whole.worse = leader.status, leader.dismissed_at, leader.worse
+        self.groups[low:high] = [whole]
+        events = []
+        for g in gone:
+            moved, g.members = g.members, {}
+            whole.members.update(moved)
+            self.home.update(dict.fromkeys(moved, whole))
+            events.append(g.event("MERGED", ts))
+        return whole, events
+
+    def incident(self, vin, day: int, ts: int, runaway: bool = False, elsewhere: bool = False) -> list[tuple]:
+        """elsewhere: the unit belongs to a live group of another key already, and stays there."""
+        home = self.home.get(vin)
+        if home is not None and (not runaway or "RUNAWAY" in home.members[vin]) or home is None and elsewhere:
+            return []
+        group, events = (home, []) if home is not None else self._stretch(day, ts)
+        self.home[vin] = group
+        group.members.setdefault(vin, set())
+        if runaway:
+            group.mark(vin, "RUNAWAY")
+        return events + self._settle(group, ts, grew=home is None)
+
+    def dismiss(self, ts: int) -> list[tuple]:
+        live = [g for g in self.groups if g.status != "DISMISSED"]
+        for g in live:
+            g.status, g.dismissed_at, g.worse = "DISMISSED", len(g.members), False
+        return [g.event("DISMISSED", ts) for g in live]
+
+    def outcome(self, vin, fixed: bool, ts: int) -> list[tuple]:
+        g = self.home.get(vin)
+        if g is None or ("FIXED" in g.members[vin]) == fixed:
+            return []
+        g.members[vin] ^= {"FIXED"}
+        if g.status == "WATCHING":
+            g.version += 1
+            return []
+        if not all("FIXED" in marks for marks in g.members.values()):
+            return [g.event("FIX_PROGRESS", ts)]
+        self.groups.remove(g)
+        self.home = {v: h for v, h in self.home.items() if h is not g}
+        return [g.event("CLOSED", ts)]
 
 
 def book_step(book: Book, row: tuple) -> list[tuple]:
-    """One action on a key's book: the events that it makes. row: family_key, ts, seq, kind, vin, runaway, vans, per_1000."""
-    key, ts, _, kind, vin, runaway, _, _ = row
+    """One action on a key's book: the events that it makes. row: ACTIONS."""
+    key, ts, _, kind, vin, runaway, _, _, elsewhere = row
     if kind == "INCIDENT":
-        made = book.incident(vin, int(ts.value // (book.p.bucket_h * 3_600_000_000_000)), ts, bool(runaway))
-    elif kind == "DISMISS":
-        made = book.dismiss(ts)
+        made = book.incident(vin, ts // (book.p.bucket_h * 3_600_000_000), ts, bool(runaway), bool(elsewhere))
     else:
-        made = book.outcome(vin, kind == "FIXED", ts)
-    return [(key, *e.values()) for e in made]
+        made = book.dismiss(ts) if kind == "DISMISS" else book.outcome(vin, kind == "FIXED", ts)
+    return [(key, *e) for e in made]
+
+
+ACTIONS = ("family_key", "ts", "seq", "kind", "vin", "runaway", "vans", "per_1000", "elsewhere")
 
 
 def actions_in_order(actions: DataFrame) -> DataFrame:
-    return actions.select("family_key", F.col("ts").cast("timestamp").alias("ts"), "seq", "kind", "vin", "runaway", "vans", "per_1000")
+    """actions as ACTIONS; elsewhere (see Book.incident) is false where there is no such column."""
+    there = F.col("elsewhere") if "elsewhere" in actions.columns else F.lit(False)
+    return actions.withColumns({"ts": F.col("ts").cast("timestamp"), "elsewhere": there}).select(*ACTIONS)
 
 
 def campaign_fold(actions: DataFrame, p: Campaign = Campaign()) -> DataFrame:
-    """actions(family_key, seq, ts, kind, vin, runaway, vans, per_1000) -> EVENTS. kind: INCIDENT, DISMISS, FIXED or NOT_FIXED, taken in (ts, seq) order."""
+    """actions(ACTIONS but elsewhere, which may be missing) -> EVENTS. kind: INCIDENT, DISMISS, FIXED or NOT_FIXED, taken in (ts, seq) order."""
     return ordered_fold(actions_in_order(actions), ["family_key"], ["ts", "seq"], lambda r: Book(p, int(r[6]), float(r[7])), book_step, EVENTS)
 
 
+def joined_first(actions: DataFrame) -> DataFrame:
+    """actions(family_key, kind, vin, ts, seq, ...) with `elsewhere`: the unit's first incident was under another key, so it stays there."""
+    first = actions.filter("kind = 'INCIDENT'").groupBy("vin").agg(F.min_by("family_key", F.struct("ts", "seq")).alias("__home"))
+    out = actions.join(first, "vin", "left")
+    return out.withColumn("elsewhere", (F.col("kind") == "INCIDENT") & (F.col("__home") != F.col("family_key"))).drop("__home")
+
+
 def bucketed(incidents: DataFrame, p: Campaign = Campaign()) -> DataFrame:
     return incidents.withColumn("b", bucket(F.col("ts"), p.bucket_h))

@@ -8,33 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import vin_problem
-from .folds import ordered_fold
+from .folds import columns_of
+from .intake import intake
 
-# Kilometres and percentage points that rounding may take back or add.
-ODO_BACK, SOC_UP = 0.01, 0.5
 JUMPS = "vin long, seq long, odo_km double, soc_pct double, flags string"
 
 
-def jump_step(last: dict, row: tuple) -> list[tuple]:
-    """A reading against the last accepted values of its unit; a flagged value becomes null and is not carried. Late ones are left as they are."""
-    vin, seq, odo, soc, driving, engine = row
-    odo, soc = (None if x is None or x != x else x for x in (odo, soc))
-    if last and seq <= last["seq"]:
-        return [(vin, seq, odo, soc, "")]
-    flags = []
-    if odo is not None and last.get("odo") is not None and odo < last["odo"] - ODO_BACK:
-        odo, _ = None, flags.append("ODOMETER_BACKWARDS")
-    if driving and not engine and last.get("driving") and soc is not None and last["soc"] is not None and soc > last["soc"] + SOC_UP:
-        soc, _ = None, flags.append("SOC_RISING_WHILE_DRIVING")
-    carry = lambda now, c: last.get(c) if now is None else now
-    last |= {"seq": seq, "odo": carry(odo, "odo"), "soc": carry(soc, "soc"), "driving": driving}
-    return [(vin, seq, odo, soc, ",".join(flags))]
-
-
 def jump_checks(readings: DataFrame, arrival: str = "seq") -> DataFrame:
-    """readings(vin, seq, odo_km, soc_pct, driving, engine) in order of arrival -> JUMPS. engine: whether one runs, which may charge the battery."""
-    rows = readings.select("vin", "seq", F.col("odo_km").cast("double"), F.col("soc_pct").cast("double"), "driving", "engine", *([arrival] if arrival != "seq" else []))
-    return ordered_fold(rows, ["vin"], [arrival], lambda r: {}, lambda state, row: jump_step(state, row[:6]), JUMPS)
+    """readings(vin, seq, odo_km, soc_pct, driving, engine) in order of arrival -> JUMPS: what intake says, for readings whose repeats are gone. engine: whether one runs, which may charge the battery; ts, where there is one, tells a counter that starts anew from a late reading."""
+    ts = F.col("ts") if "ts" in readings.columns else F.timestamp_micros(F.lit(0).cast("long"))
+    rows = readings.select("vin", F.col(arrival).alias("arrival"), "seq", ts.alias("ts"), "odo_km", "soc_pct", "driving", "engine")
+    return intake(rows).select(*columns_of(JUMPS))
 
 
 def clock_ahead(messages: DataFrame, source: list[str], arrival: str, event_ms: str, ingest_ms: str, most_ms: int = 120_000, size: int = 512, every: int = 64, speed: float = 1.0) -> DataFrame:

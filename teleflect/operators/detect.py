@@ -253,7 +253,7 @@ def vehicle_step(v: Vehicle, row: tuple) -> list[tuple]:
     rest = [float("nan") if x is None else x for x in rest]
     peers = tuple(0.0 if isnan(x) else x for x in rest[4:])
     normal = (rest[0], *[0.0 if isnan(x) else x for x in rest[1:4]])
-    out = v.step(ts.value / 3.6e12, kind, name, y, None if usual is None or isnan(usual) else usual, normal, peers)
+    out = v.step(ts / 3.6e9, kind, name, y, None if usual is None or isnan(usual) else usual, normal, peers)
     return [(vin, seq, ts, *r.values()) for r in out]
 
 

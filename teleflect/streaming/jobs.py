@@ -5,15 +5,14 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.folds import ordered_fold
+from ..operators.folds import columns_of, in_micros, ordered_fold, plain_schema, with_times
+from ..operators.intake import ACCEPTED, Clock, Intake, clock_step, intake_input, intake_step, judge
 
 REPLAY = "vin long, seq long, ts timestamp, outcome string"
-WINDOW = 1024
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema: str, files_per_batch: int = 64) -> DataFrame:
@@ -43,86 +42,58 @@ def deduped(readings: DataFrame, late: str = "2 hours") -> DataFrame:
     return readings.withWatermark("ts", late).dropDuplicatesWithinWatermark(["vin", "seq"])
 
 
-def judge(state: tuple[int, int, int] | None, seq: int, us: int) -> tuple[str, tuple[int, int, int]]:
-    """Outcome of one message and the next state (largest seq, largest time, bits: bit d is seq largest - d)."""
-    if state is None:
-        return "NEW", (seq, us, 1)
-    most, when, bits = state
-    if seq > most:
-        step = seq - most
-        return "NEW", (seq, max(when, us), ((bits << step) | 1) & ((1 << WINDOW) - 1) if step < WINDOW else 1)
-    back = most - seq
-    if back < WINDOW:
-        if bits >> back & 1:
-            return "DUPLICATE", state
-        return "LATE_NEW", (most, max(when, us), bits | 1 << back)
-    return ("SEQ_RESET", (seq, us, 1)) if us > when else ("TOO_OLD", state)
-
-
 def replay_outcomes(messages: DataFrame) -> DataFrame:
     """messages(vin, arrival, seq, ts) -> REPLAY in batch: each unit's messages in order of arrival."""
-
-    def step(state: list, row: tuple) -> list[tuple]:
-        vin, _, seq, ts = row
-        outcome, state[0] = judge(state[0], int(seq), ts.value // 1000)
-        return [(vin, seq, ts, outcome)]
-
-    rows = messages.select("vin", "arrival", "seq", F.col("ts").cast("timestamp").alias("ts"))
-    return ordered_fold(rows, ["vin"], ["arrival"], lambda r: [None], step, REPLAY)
+    return ordered_fold(replay_input(messages), ["vin"], ["arrival"], lambda r: [None], replay_step, REPLAY)
 
 
-class ReplayProcessor(StatefulProcessor):
-    """The same outcomes on a stream, state kept per unit (RocksDB state store)."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "most long, at long, bits binary")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = None
-        if self.state.exists():
-            most, at, bits = self.state.get()
-            state = (most, at, int.from_bytes(bits, "little"))
-        for g in rows:
-            g, out = g.sort_values("arrival", kind="stable"), []
-            for seq, ts in zip(g["seq"], g["ts"], strict=True):
-                outcome, state = judge(state, int(seq), ts.value // 1000)
-                out.append(outcome)
-            yield pd.DataFrame({"vin": g["vin"], "seq": g["seq"], "ts": g["ts"], "outcome": out})
-        self.state.update((state[0], state[1], state[2].to_bytes(WINDOW // 8, "little")))
-
-    def close(self) -> None: ...
+def replay_input(messages: DataFrame) -> DataFrame:
+    return messages.select("vin", "arrival", "seq", F.col("ts").cast("timestamp").alias("ts"))
 
 
-def replay_stream(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("vin").transformWithStateInPandas(ReplayProcessor(), REPLAY, "append", "none")
+def replay_step(state: list, row: tuple) -> list[tuple]:
+    vin, _, seq, us = row
+    outcome, state[0] = judge(state[0], seq, us)
+    return [(vin, seq, us, outcome)]
 
 
 class FoldProcessor(StatefulProcessor):
     """An ordered fold on a stream: the same start and step as in batch, state kept per key between batches of the stream."""
 
-    def __init__(self, columns: list[str], order: list[str], start, step, names: list[str], whole: dict[str, str]):
-        self.columns, self.order, self.start, self.step, self.names, self.whole = columns, order, start, step, names, whole
+    def __init__(self, order: list[str], start, step, names: list[str]):
+        self.order, self.start, self.step, self.row = order, start, step, Row(*names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("fold", "state binary")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # the rows of one key in one batch of the stream, bounded by maxFilesPerTrigger
-        g = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        state, out = pickle.loads(self.state.get()[0]) if self.state.exists() else None, []
-        columns = [g[c].astype(object).where(g[c].notna(), None).tolist() if g[c].dtype == object else g[c].tolist() for c in self.columns]
-        for row in zip(*columns, strict=True):
-            if state is None:
-                state = self.start(row)
-            out += self.step(state, row)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # the rows of one key in one batch of the stream, bounded by maxFilesPerTrigger; nulls first, as Spark sorts them
+        own = sorted(rows, key=lambda r: [(r[c] is not None, r[c]) if r[c] is not None else (False,) for c in self.order])
+        state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.start(tuple(own[0]))
+        for r in own:
+            for made in self.step(state, tuple(r)):
+                yield self.row(*made)
         self.state.update((pickle.dumps(state),))
-        yield pd.DataFrame(out, columns=self.names).astype(self.whole)
 
     def close(self) -> None: ...
 
 
 def fold_stream(rows: DataFrame, keys: list[str], order: list[str], start, step, schema: str) -> DataFrame:
     """ordered_fold on a stream. A row that comes in a later batch than its order says is taken when it comes; steps tell it by its seq."""
-    names = [x.strip().split()[0] for x in schema.split(",")]
-    whole = {x.strip().split()[0]: "Int64" for x in schema.split(",") if x.strip().split()[1] in ("long", "int")}
-    return rows.groupBy(*keys).transformWithStateInPandas(FoldProcessor(rows.columns, order, start, step, names, whole), schema, "append", "none")
+    processor = FoldProcessor(order, start, step, list(columns_of(schema)))
+    return with_times(in_micros(rows).groupBy(*keys).transformWithState(processor, plain_schema(schema), "append", "none"), schema)
+
+
+def replay_stream(messages: DataFrame) -> DataFrame:
+    return fold_stream(replay_input(messages), ["vin"], ["arrival"], lambda r: [None], replay_step, REPLAY)
+
+
+def intake_stream(messages: DataFrame) -> DataFrame:
+    """intake.intake on a stream: replay window, jumps and resets in one state for each unit."""
+    return fold_stream(intake_input(messages), ["vin"], ["arrival"], lambda r: Intake(), intake_step, ACCEPTED)
+
+
+def clock_stream(messages: DataFrame, source: str = "source", most_ms: int = 120_000) -> DataFrame:
+    """messages(source, arrival, event_ms, ingest_ms) -> source, arrival, ahead: a ring of offsets in the state of each source."""
+    rows = messages.select(F.col(source).cast("string").alias("source"), "arrival", F.col("event_ms").cast("long"), F.col("ingest_ms").cast("long"))
+    return fold_stream(rows, ["source"], ["arrival"], lambda r: Clock(), clock_step(most_ms), "source string, arrival long, ahead boolean")

@@ -298,7 +298,7 @@ def test_jump_checks_do_not_carry_what_they_flag(spark):
     rows = [(1, 0, 100.0, 50.0, True, False), (1, 1, 40.0, 50.2, True, False), (1, 2, 101.0, 55.0, True, False), (1, 3, 100.995, 50.6, True, False), (1, 4, 102.0, 60.0, False, False), (1, 5, 103.0, 80.0, True, False), (1, 2, 50.0, 1.0, True, False), (1, 6, 104.0, 90.0, True, True)]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "vin long, seq long, odo_km double, soc_pct double, driving boolean, engine boolean, arrival int")
     got = [r["flags"] for r in K.jump_checks(df, "arrival").collect()]
-    assert got == ["", "ODOMETER_BACKWARDS", "SOC_RISING_WHILE_DRIVING", "", "", "", "", ""]
+    assert got == ["", "ODOMETER_BACKWARDS", "SOC_RISING_WHILE_DRIVING", "", "", "", ""]  # the repeated message is gone
 
 
 def test_clock_ahead_is_a_plain_ring(spark):
@@ -372,8 +372,8 @@ def test_book_opens_grows_merges_closes(spark):
     late = [(*x[:1], *x[1:]) for x in apart]
     book, out = C.Book(Campaign(), 60, 0.1), []
     for ts, _, vin, _ in late:
-        out += book.incident(vin, int(ts.timestamp() // 86400), ts)
-    assert [e["kind"] for e in out] == ["MERGED", "OPENED"] or [e["kind"] for e in out][-1] == "OPENED"
+        out += book.incident(vin, int(ts.timestamp() // 86400), 0)
+    assert [e[1] for e in out] == ["MERGED", "OPENED"] or [e[1] for e in out][-1] == "OPENED"
     five = [(h(i), "INCIDENT", i, False) for i in range(5)] + [(h(10 + i), "FIXED", i, False) for i in range(5)]
     assert book_events(spark, five)[-1] == ("CLOSED", 5)
 
