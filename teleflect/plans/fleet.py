@@ -56,7 +56,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 #: The same roles for the SQL side.
 SQL = """
-WITH r AS (SELECT user_id AS vin, event_id AS seq, ts, event_type AS evt, value AS y, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
+WITH RECURSIVE r AS (SELECT user_id AS vin, event_id AS seq, ts, event_type AS evt, value AS y, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
   CASE WHEN event_type IN ('view', 'click') THEN 'level' WHEN event_type IN ('purchase', 'signup') THEN 'rate' END AS metric FROM events),
 veh AS (SELECT vin, vin % 8 AS model_id, vin % 5 AS duty_type_id, vin % 25 AS depot_id, n_regionkey + 1 AS region_id FROM (SELECT DISTINCT user_id AS vin FROM events) JOIN nation ON n_nationkey = vin % 25),
 fam AS (SELECT 'P' || (100 + i) AS code, CASE WHEN i < 10 THEN 'COOLING' WHEN i < 20 THEN 'BATTERY' ELSE 'EXHAUST' END AS family FROM range(30) AS t(i)),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import campaigns as C
 from ..operators import checks as K
 from ..operators import evaluate as E
+from ..operators import intake as I
 from ..operators import joins as J
 from ..operators import learn as L
 from ..operators import pages as P
@@ -31,13 +32,37 @@ def errors(spark: SparkSession, sf: str) -> DataFrame:
 # ---- checks
 
 
-@query("SELECT vin, seq, CASE WHEN odo >= most - 0.01 OR most IS NULL THEN odo END AS odo_km, CASE WHEN odo < most - 0.01 THEN 'ODOMETER_BACKWARDS' ELSE '' END AS flags FROM (SELECT vin, seq, odo, max(odo) OVER (PARTITION BY vin ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM (SELECT vin, seq, CAST(seq // 100 - CASE WHEN k = 13 THEN 50 ELSE 0 END AS DOUBLE) AS odo FROM r))")
+#: A unit's n-th message: its counter starts anew at the 15th, its odometer and charge jump now and then.
+INTAKE_SQL = """, m AS (SELECT vin, n, CASE WHEN n < 15 THEN 5000 + n ELSE n END AS seq, ts, CASE WHEN k % 11 <> 3 THEN CAST(n * 10 - CASE WHEN k % 13 = 5 THEN 55 ELSE 0 END AS DOUBLE) END AS odo, CASE WHEN k % 7 <> 2 THEN 90 - n * 0.25 + CASE WHEN k % 5 = 1 THEN 6 ELSE 0 END END AS soc, k % 4 <> 0 AS driving, k % 9 = 0 AS engine
+  FROM (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY ts, seq) - 1 AS n FROM r)),
+s AS (SELECT vin, n, seq, odo, soc, '' AS flags, coalesce(odo, -1e9) AS o, coalesce(soc, 1e9) AS c, driving FROM m WHERE n = 0
+  UNION ALL SELECT m.vin, m.n, m.seq, CASE WHEN NOT bad_o THEN m.odo END, CASE WHEN NOT bad_c THEN m.soc END, concat_ws(',', CASE WHEN bad_o THEN 'ODOMETER_BACKWARDS' END, CASE WHEN bad_c THEN 'SOC_RISING_WHILE_DRIVING' END, CASE WHEN m.n = 15 THEN 'SEQ_RESET' END),
+    CASE WHEN bad_o OR m.odo IS NULL THEN before_o ELSE m.odo END, CASE WHEN bad_c OR m.soc IS NULL THEN before_c ELSE m.soc END, m.driving
+  FROM s JOIN m ON m.vin = s.vin AND m.n = s.n + 1, LATERAL (SELECT CASE WHEN m.n = 15 THEN -1e9 ELSE s.o END AS before_o, CASE WHEN m.n = 15 THEN 1e9 ELSE s.c END AS before_c, m.n <> 15 AND s.driving AS drove) b,
+  LATERAL (SELECT coalesce(m.odo < before_o - 0.01, false) AS bad_o, coalesce(drove AND m.driving AND NOT m.engine AND before_c < 1e8 AND m.soc > before_c + 0.5, false) AS bad_c) x)
+SELECT vin, seq, odo AS odo_km, soc AS soc_pct, flags FROM s"""
+
+
+def arriving(spark: SparkSession, sf: str) -> DataFrame:
+    n, k = F.row_number().over(Window.partitionBy("vin").orderBy("ts", "seq")) - 1, F.col("k")
+    rows = fleet.readings(spark, sf).withColumn("n", n)
+    odo = F.when(k % 11 != 3, F.col("n") * 10 - F.when(k % 13 == 5, 55).otherwise(0)).cast("double")
+    soc = F.when(k % 7 != 2, 90 - F.col("n") * 0.25 + F.when(k % 5 == 1, 6).otherwise(0))
+    return rows.select("vin", F.col("n").alias("arrival"), F.when(F.col("n") < 15, F.col("n") + 5000).otherwise(F.col("n")).cast("long").alias("seq"), "ts", odo.alias("odo_km"), soc.alias("soc_pct"), (k % 4 != 0).alias("driving"), (k % 9 == 0).alias("engine"))
+
+
+@query(INTAKE_SQL)
 def jump_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """An odometer that falls back now and then; charge levels, whose check feeds back, are left to the tests."""
-    r = fleet.readings(spark, sf)
-    odo = F.floor(F.col("seq") / 100) - F.when(F.col("k") == 13, 50).otherwise(0)
-    rows = r.select("vin", "seq", odo.alias("odo_km"), F.lit(None).cast("double").alias("soc_pct"), F.lit(True).alias("driving"), F.lit(False).alias("engine"))
-    return K.jump_checks(rows).drop("soc_pct")
+    """Odometers that fall back, charge that rises on the road, counters that start anew: what a message shows is judged by what was believed before it, and nothing before a reset counts."""
+    return I.intake(arriving(spark, sf)).select("vin", "seq", "odo_km", "soc_pct", "flags")
+
+
+@query(INTAKE_SQL.replace("SELECT vin, seq, odo AS odo_km, soc AS soc_pct, flags FROM s", "SELECT vin, seq, CASE WHEN n = 15 THEN 'SEQ_RESET' ELSE 'NEW' END AS outcome FROM s"))
+def intake_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every message comes twice: the second is gone."""
+    rows = arriving(spark, sf)
+    again = rows.withColumns({"arrival": F.col("arrival") * 2, "copy": F.explode(F.array(F.lit(0), F.lit(1)))}).withColumn("arrival", (F.col("arrival") + F.col("copy")).cast("long")).drop("copy")
+    return I.intake(again).select("vin", "seq", "outcome")
 
 
 @query(""", a AS (SELECT seq, vin % 4 AS part, CASE WHEN k = 50 THEN 600000 ELSE k * 100 END - CAST(seq % 1000 AS BIGINT) AS off, row_number() OVER (PARTITION BY vin % 4 ORDER BY seq) - 1 AS n FROM r),
