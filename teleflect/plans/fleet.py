@@ -54,6 +54,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: worked out once, and lineage ends here."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: The same roles for the SQL side.
 SQL = """
 WITH RECURSIVE r AS (SELECT user_id AS vin, event_id AS seq, ts, event_type AS evt, value AS y, CAST(json_extract(props, '$.k') AS INTEGER) AS k,

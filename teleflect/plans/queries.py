@@ -136,7 +136,7 @@ GOOD_VIN, BAD_VIN = "1HGCM82633A004352", "1HGCM82643A004352"
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as raw messages in three shapes; every 17th cut short, every 13th without a seq, every 10th with a bad identifier, every 7th of no known shape."""
+    """The raw table, as a feed leaves it: events as raw messages in three shapes; every 17th cut short, every 13th without a seq, every 10th with a bad identifier, every 7th of no known shape."""
     e, i = fleet.readings(spark, sf), F.col("seq")
     vin = F.when(i % 10 == 3, BAD_VIN).otherwise(GOOD_VIN)
     seq = F.when(i % 13 != 0, i)
@@ -148,7 +148,8 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     c = F.struct(vin.alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), seq.alias("sq"), F.lit("P").alias("e"), F.array(F.lit(12.5), F.lit(77.5)).alias("g"), F.lit(40.0).alias("s"), F.lit(100.5).alias("o"), F.col("y").alias("ct"), F.lit(1).alias("ig"), F.lit(0).alias("ch"), F.concat_ws("|", code, F.lit("XX9")).alias("dtc"))
     body = F.when(i % 3 == 0, F.to_json(a)).when(i % 3 == 1, F.to_json(b)).otherwise(F.to_json(c))
     body = F.when(i % 7 == 0, F.to_json(F.struct(vin.alias("who"), seq.alias("n")))).otherwise(body)
-    return e.select(F.lit("raw").alias("topic"), F.lit(0).alias("partition"), i.alias("offset"), F.when(i % 17 == 0, F.substring(body, 1, 20)).otherwise(body).alias("value"))
+    rows = e.select(F.lit("raw").alias("topic"), F.lit(0).alias("partition"), i.alias("offset"), F.when(i % 17 == 0, F.substring(body, 1, 20)).otherwise(body).alias("value"))
+    return fleet.stored(rows.repartition(spark.sparkContext.defaultParallelism, "offset"), "raw-messages")
 
 
 PROBLEM_SQL = "CASE WHEN seq % 17 = 0 THEN 'MALFORMED_JSON' WHEN seq % 7 = 0 THEN 'UNKNOWN_SHAPE' WHEN seq % 13 = 0 THEN 'SCHEMA_INVALID' WHEN seq % 10 = 3 THEN 'INVALID_VIN' END"
@@ -165,10 +166,14 @@ def json_decode_fields(spark: SparkSession, sf: str) -> DataFrame:
     return good.select("offset", "vin", "seq", "evt", F.unix_millis("event_ts").alias("ms"), F.round("coolant_c", 2).alias("coolant_c"), F.array_join("quality_flags", ",").alias("flags"), F.array_join("dtc", ",").alias("dtc"))
 
 
-@query(f"SELECT seq AS \"offset\", {PROBLEM_SQL} AS error_code FROM r WHERE {PROBLEM_SQL} IS NOT NULL")
+SHAPE_SQL = "CASE seq % 3 WHEN 0 THEN 'nested_f' WHEN 1 THEN 'nested_c' ELSE 'flat' END"
+
+
+@query(f"""SELECT seq AS "offset", p AS error_code, CASE p WHEN 'MALFORMED_JSON' THEN p || ' no shape no JSON object' WHEN 'UNKNOWN_SHAPE' THEN p || ' no shape keys who' || if(seq % 13 = 0, '', ' n')
+WHEN 'SCHEMA_INVALID' THEN p || ' ' || {SHAPE_SQL} || ' ' || CASE seq % 3 WHEN 0 THEN 'n' WHEN 1 THEN 'seqNo' ELSE 'sq' END || ' is not a whole number of 0 or more' ELSE p || ' ' || {SHAPE_SQL} || ' identifier CHECK_DIGIT' END AS error_detail FROM (SELECT seq, {PROBLEM_SQL} AS p FROM r) WHERE p IS NOT NULL""")
 def dlq_split(spark: SparkSession, sf: str) -> DataFrame:
     _, dead = raw.split(messages(spark, sf))
-    return dead.select("offset", "error_code")
+    return dead.select("offset", "error_code", "error_detail")
 
 
 @query(f"SELECT count(*) + count(*) FILTER (seq % 10 = 0) AS n_in, count(*) FILTER ({PROBLEM_SQL} IS NULL) AS n_canonical, count(*) FILTER ({PROBLEM_SQL} IS NOT NULL) + count(*) FILTER (seq % 10 = 0 AND {PROBLEM_SQL} IS NOT NULL) AS n_dead, count(*) FILTER (seq % 10 = 0 AND {PROBLEM_SQL} IS NULL) AS n_duplicate, CAST(0 AS BIGINT) AS difference FROM r")

@@ -502,3 +502,20 @@ def test_history_round_trip(spark, tmp_path):
     assert back.count() == df.count() and back.select("dt").distinct().count() >= 4
     files.publish_run({"a": df.limit(3)}, str(tmp_path / "runs"), "r1")
     assert files.read_run(spark, str(tmp_path / "runs"), "a").count() == 3
+
+
+def test_errors_name_the_path(spark):
+    good = {"id": "1HGCM82633A004352", "ts": 1790568000000, "sq": 7, "e": "P", "g": [1.0, 2.0], "s": 40, "o": 9, "ct": 90.0, "ig": 1, "ch": 0, "dtc": "P0217|XX1"}
+    import json
+
+    cases = {"sq": ("7", "sq is not a whole number of 0 or more"), "ig": (2, "ig is not 0 or 1"), "e": ("ZZ", "e is not a known event"), "ct": ("hot", "ct is not a number"), "g": (["x", 2.0], "g[0] is not a number"), "dtc": ([1], "dtc is not a text"), "id": (None, "id is not a text"), "s": (None, None), "hb": (1.5, "hb is not a whole number")}
+    rows = [("t", 0, i, json.dumps(good | {k: v})) for i, (k, (v, _)) in enumerate(cases.items())] + [("t", 0, 90, '{"x": 1, "y": 2}'), ("t", 0, 91, "[]"), ("t", 0, 92, None), ("t", 0, 93, json.dumps(good | {"id": "1HGCM82643A004352"}))]
+    _, dead = raw.split(spark.createDataFrame(rows, "topic string, partition int, offset long, value string"))
+    got = {r["offset"]: r["error_detail"] for r in dead.collect()}
+    for i, (_, said) in enumerate(cases.values()):
+        assert got.get(i) == (said and f"SCHEMA_INVALID flat {said}")
+    assert got[90] == "UNKNOWN_SHAPE no shape keys x y" and got[91] == got[92] == "MALFORMED_JSON no shape no JSON object" and got[93] == "INVALID_VIN flat identifier CHECK_DIGIT"
+    nested = '{"vehicle":{"vin":"1HGCM82633A004352"},"time":"soon","seqNo":7,"event":"PERIODIC","position":{"lat":1.0,"lon":2.0},"speedKmh":40,"odometerKm":9,"ignition":true,"charging":false,"engine":{"coolant":{"tempC":"x"}}}'
+    two = [nested, nested.replace('"soon"', '"2026-09-28T04:00:00Z"'), nested.replace('"soon"', '"2026-09-28T04:00:00Z"').replace('"x"', "7"), nested.replace('{"vin":"1HGCM82633A004352"}', "5")]
+    rows = raw.decode(spark.createDataFrame([(i, x) for i, x in enumerate(two)], "i int, value string")).orderBy("i").collect()
+    assert [r["detail"] for r in rows] == ["time is not an ISO 8601 time", "engine.coolant.tempC is not a number", None, "vehicle.vin is not a text"] and rows[2]["r"]["coolant_c"] == 7.0
