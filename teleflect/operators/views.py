@@ -38,6 +38,23 @@ def merge_actions(actions: DataFrame, key: str) -> DataFrame:
     )
 
 
+RECORD = "status string, severity long, runaway boolean, critical_ts timestamp, value double, actions long, ts timestamp, seq long"
+
+
+def as_records(actions: DataFrame, key: str) -> DataFrame:
+    """actions as merge_actions takes them, each as the RECORD it leaves by itself."""
+    at = F.col("ts").cast("timestamp")
+    return actions.select(
+        key, F.col("action").alias("status"), F.col("severity").cast("long").alias("severity"), "runaway", F.when(F.col("runaway"), at).alias("critical_ts"), F.col("value").cast("double").alias("value"), F.lit(1).cast("long").alias("actions"), at.alias("ts"), F.col("seq").cast("long").alias("seq"),
+    )
+
+
+def merge_records(records: DataFrame, key: str) -> DataFrame:
+    """records(key, RECORD): one for each key. Merging merged ones with new ones gives what merging all at once gives, in any order and grouping."""
+    newest = lambda c: F.max_by(c, F.struct("ts", "seq")).alias(c)
+    return records.groupBy(key).agg(newest("status"), F.max("severity").alias("severity"), F.bool_or("runaway").alias("runaway"), F.min("critical_ts").alias("critical_ts"), newest("value"), F.sum("actions").alias("actions"), F.max("ts").alias("ts"), newest("seq"))
+
+
 def decide(state: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     """decisions(key, version, status) against state(key, version, status): applied if the version is current and the state open, else a conflict. The first decision on a version wins."""
     first = F.row_number().over(Window.partitionBy(key, "version").orderBy("decision_id"))

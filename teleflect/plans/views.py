@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import views as V
+from ..sources import runs
+from ..sources.keyed import KeyedTable
 from . import fleet
 from .queries import normal, query, rounded
 
@@ -32,6 +34,39 @@ def incident_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.merge_actions(acts, "vin"), 4)
 
 
+@query("SELECT run_id, rows_read, units, tables, skipped FROM (SELECT 'first' AS run_id, count(*) FILTER (seq % 2 = 0) AS rows_read, count(DISTINCT vin) FILTER (seq % 2 = 0) AS units, count(*) FILTER (seq % 2 = 0 AND evt = 'error') AS tables, true AS skipped FROM r UNION ALL SELECT 'second', count(*), count(DISTINCT vin), count(*) FILTER (evt = 'error'), false FROM r)")
+def committed_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over half the readings, the same input again (skipped by its hash), then a run over all: the run table, and the rows that each run's table has."""
+    base, r = fleet.scratch(spark, "runs"), fleet.readings(spark, sf)
+
+    def run(name: str, rows: DataFrame) -> bool:
+        return runs.commit_run({"errors": rows.filter("evt = 'error'")}, base, name, runs.row_hash(rows, ["vin", "seq", "y"], "v1"), rows)
+
+    half = r.filter("seq % 2 = 0")
+    run("first", half)
+    skipped = not run("again", half)
+    run("second", r)
+    table = runs.run_table(spark, base).select("run_id", "rows_read", "units")
+    sizes = None
+    for name in ("first", "second"):
+        one = runs.read_run(spark, base, "errors", name).agg(F.count(F.lit(1)).alias("tables")).select(F.lit(name).alias("run_id"), "tables")
+        sizes = one if sizes is None else sizes.unionByName(one)
+    return table.join(sizes, "run_id").withColumn("skipped", F.lit(skipped) & (F.col("run_id") == "first"))
+
+
+@query("SELECT vin, max_by(evt, seq) AS status, CAST(max(1 + k // 40) AS BIGINT) AS severity, bool_or(k >= 97) AS runaway, round(max_by(y, seq), 4) AS value, count(*) AS actions, count(DISTINCT seq % 4) AS version FROM r GROUP BY vin")
+def stream_incident_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The same records kept up to date by a stream of four batches (events by the rest of their number), each merged into the buckets it touches."""
+    acts = fleet.readings(spark, sf).select("vin", "seq", "ts", F.col("evt").alias("action"), F.floor(1 + F.col("k") / 40).alias("severity"), (F.col("k") >= 97).alias("runaway"), F.col("y").alias("value"))
+    base = fleet.scratch(spark, "records")
+    for i in range(4):
+        V.as_records(acts.filter(F.col("seq") % 4 == i), "vin").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    schema = f"vin long, {V.RECORD}"
+    kept = KeyedTable(f"{base}/table", ["vin"], schema, lambda d: V.merge_records(d, "vin"), 4)
+    kept.follow(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), f"{base}/checkpoint")
+    return rounded(kept.read(spark).select("vin", "status", "severity", "runaway", "value", "actions", "version"), 4)
+
+
 @query("SELECT l_orderkey * 10 + l_linenumber AS decision_id, l_orderkey AS o_orderkey, 'DONE' AS new_status, CASE WHEN o_orderkey IS NULL THEN 'UNKNOWN' WHEN l_linenumber = o_custkey % 7 AND o_orderstatus = 'O' AND rn = 1 THEN 'APPLIED' ELSE 'CONFLICT' END AS result FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_orderkey * 10 + l_linenumber) AS rn FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) LEFT JOIN orders ON o_orderkey = l_orderkey", roles=False)
 def decisions_applied(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines stand for decisions on a version of their order."""

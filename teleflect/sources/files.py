@@ -29,21 +29,3 @@ def export_features(features: DataFrame, path: str) -> None:
 def read_features(spark: SparkSession, path: str, booleans: tuple[str, ...] = ()) -> DataFrame:
     df = spark.read.option("header", True).option("inferSchema", True).csv(path)
     return df.withColumns({c: F.lower(F.col(c).cast("string")).isin("true", "t", "1") for c in booleans}) if booleans else df
-
-
-def input_hash(spark: SparkSession, version: str, manifest: str) -> DataFrame:
-    """One row, `run_hash`: equal hashes mean that a batch job has nothing to do."""
-    return spark.read.option("wholetext", True).text(manifest).select(F.sha2(F.concat(F.lit(version), "value"), 256).alias("run_hash"))
-
-
-def publish_run(results: dict[str, DataFrame], base: str, run_id: str) -> None:
-    """Write all tables of a run, then one small pointer: a reader that follows it sees a whole run or the one before."""
-    spark = next(iter(results.values())).sparkSession
-    for name, df in results.items():
-        df.write.mode("overwrite").parquet(f"{base}/{name}/run_id={run_id}")
-    spark.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").json(f"{base}/current")
-
-
-def read_run(spark: SparkSession, base: str, name: str) -> DataFrame:
-    run_id = spark.read.json(f"{base}/current").first()["run_id"]
-    return spark.read.parquet(f"{base}/{name}/run_id={run_id}")
