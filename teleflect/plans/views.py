@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import views as V
-from ..sources import runs
+from ..sources import feed, runs
 from ..sources.keyed import KeyedTable
 from . import fleet
-from .queries import normal, query, rounded
+from .queries import GOOD_VIN, PROBLEM_SQL, messages, normal, query, rounded
 
 
 @query("""SELECT vin, seq, array_to_string(list_filter([CASE WHEN abs(dev) >= 37.5 THEN CAST(CAST(trunc(abs(dev) * 10 + 0.5 + 1e-7) / 10 AS DECIMAL(12, 1)) AS VARCHAR) || ' u ' || if(dev > 0, 'above', 'below') || ' its own normal' END,
@@ -34,6 +34,20 @@ def incident_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.merge_actions(acts, "vin"), 4)
 
 
+@query(f"""SELECT seq % 4 AS "partition", if(p IS NULL, 'canonical', 'dead') AS topic, if(p IS NULL, '{GOOD_VIN}', 'k' || seq % 100) AS "key", p AS error_code, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS sources FROM (SELECT seq, {PROBLEM_SQL} AS p FROM r) GROUP BY ALL""")
+def feed_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw messages written to a feed of four partitions, read by a stream, judged, and written to canonical and dead-letter topics by one writer."""
+    feed.register(spark)
+    base, number = fleet.scratch(spark, "feed"), F.col("offset") % 4
+    raw = messages(spark, sf).select("topic", number.cast("int").alias("partition"), F.concat(F.lit("k"), (F.col("offset") % 100).cast("string")).alias("key"), F.create_map(F.lit("n"), F.col("offset").cast("string")).alias("headers"), F.col("value").cast("binary").alias("value"), F.lit(None).cast("timestamp").alias("ts"))
+    raw.write.format("feed").mode("append").option("path", f"{base}/in").save()
+    stream = feed.normalised(spark.readStream.format("feed").option("path", f"{base}/in").load())
+    stream.writeStream.format("feed").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.format("feed").option("path", f"{base}/out").load()
+    code = F.get_json_object(F.col("value").cast("string"), "$.error_code")
+    return out.groupBy(F.col("partition").cast("long").alias("partition"), "topic", "key", F.when(F.col("topic") == "dead", code).alias("error_code")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.element_at("headers", "source")).alias("sources"))
+
+
 @query("SELECT run_id, rows_read, units, tables, skipped FROM (SELECT 'first' AS run_id, count(*) FILTER (seq % 2 = 0) AS rows_read, count(DISTINCT vin) FILTER (seq % 2 = 0) AS units, count(*) FILTER (seq % 2 = 0 AND evt = 'error') AS tables, true AS skipped FROM r UNION ALL SELECT 'second', count(*), count(DISTINCT vin), count(*) FILTER (evt = 'error'), false FROM r)")
 def committed_runs(spark: SparkSession, sf: str) -> DataFrame:
     """A run over half the readings, the same input again (skipped by its hash), then a run over all: the run table, and the rows that each run's table has."""

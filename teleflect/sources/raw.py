@@ -158,11 +158,20 @@ def validate(readings: DataFrame, ranges: dict[str, tuple[float, float]] | None
     return readings.withColumn("quality_flags", quality).withColumns(values | extra)
 
 
+def judged(raw: DataFrame) -> DataFrame:
+    """decode(raw) with `problem`: its error, or INVALID_VIN where the identifier is bad."""
+    d = _held(decode(raw), __vin=vin_problem(F.col("r.vin")))
+    return d.withColumn("problem", F.coalesce("error", F.when(F.col("__vin").isNotNull(), "INVALID_VIN")))
+
+
+def error_detail() -> Column:
+    """Of a row of judged: what is wrong, in which shape, where."""
+    return F.substring(F.concat_ws(" ", "problem", F.coalesce("shape", F.lit("no shape")), F.coalesce("detail", F.concat(F.lit("identifier "), "__vin"))), 1, 500)
+
+
 def split(raw: DataFrame, offsets: tuple[str, ...] = ("topic", "partition", "offset"), families: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(canonical, dead): a message that does not decode or has a bad identifier goes to the dead letters with its payload."""
-    d = _held(decode(raw), __vin=vin_problem(F.col("r.vin")))
-    d = d.withColumn("problem", F.coalesce("error", F.when(F.col("__vin").isNotNull(), "INVALID_VIN")))
-    detail = F.concat_ws(" ", "problem", F.coalesce("shape", F.lit("no shape")), F.coalesce("detail", F.concat(F.lit("identifier "), "__vin")))
-    dead = d.filter("problem is not null").select(*offsets, F.col("problem").alias("error_code"), F.substring(detail, 1, 500).alias("error_detail"), F.base64(F.col("value").cast("binary")).alias("raw_payload_b64"))
+    d = judged(raw)
+    dead = d.filter("problem is not null").select(*offsets, F.col("problem").alias("error_code"), error_detail().alias("error_detail"), F.base64(F.col("value").cast("binary")).alias("raw_payload_b64"))
     good = d.filter("problem is null").select(*offsets, "r.*").withColumn("event_id", uuid5(EVENT_NAMESPACE, F.concat_ws(":", "vin", F.col("seq").cast("string"))))
     return validate(good, families=families), dead

@@ -117,3 +117,93 @@ def test_a_stream_keeps_a_table(spark, tmp_path):
     parts[0].coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     table.follow(stream(), str(tmp_path / "c"))  # goes on from its checkpoint
     assert table.read(spark).agg(F.sum("actions")).first()[0] == 240 and table.state(spark)[0] == 3
+
+
+# ---- the raw feed
+
+
+VIN = "1HGCM82633A004352"
+
+
+def message(i, bad=False):
+    value = "{" if bad else '{"id":"%s","ts":1790568000000,"sq":%d,"e":"P","g":[1.0,2.0],"s":40,"o":9,"ct":90.0,"ig":1,"ch":0}' % (VIN, i)
+    return (f"k{i}", {"x-sent-at": str(i)}, value.encode(), T0 + dt.timedelta(seconds=i))
+
+
+def test_feed_offsets_and_ranges(spark, tmp_path):
+    from teleflect.sources import feed
+
+    base = str(tmp_path / "feed")
+    assert [feed.append(base, "raw", p, [message(i) for i in range(n)]) for p, n in ((0, 5), (0, 3), (1, 4))] == [0, 5, 0]
+    feed.append(base, "other", 0, [(None, None, None, None)])
+    assert feed.ends(base) == {"raw/0": 8, "raw/1": 4, "other/0": 1}
+    feed.register(spark)
+    df = spark.read.format("feed").option("path", base).option("topics", "raw").option("rowsPerPartition", "3").load()
+    assert df.rdd.getNumPartitions() == 5
+    rows = df.orderBy("partition", "offset").collect()
+    assert [(r["partition"], r["offset"]) for r in rows] == [(0, i) for i in range(8)] + [(1, i) for i in range(4)]
+    assert rows[6]["headers"] == {"x-sent-at": "1"} and bytes(rows[6]["value"]) == message(1)[2] and rows[6]["ts"].astimezone(dt.timezone.utc) == T0 + dt.timedelta(seconds=1)
+    assert [tuple(r)[3:] for r in spark.read.format("feed").option("path", base).option("topics", "other").load().collect()] == [(None, {}, None, None)]
+    parts = feed.ranges(base, {"raw/0": 4}, {"raw/0": 7, "raw/1": 1}, 100, ["raw"])
+    assert [[r[2] for r in feed.records(p)] for p in parts] == [[4, 5, 6], [0]]
+    assert spark.read.format("feed").option("path", str(tmp_path / "none")).load().count() == 0
+
+
+def test_a_killed_query_leaves_each_row_once(spark, tmp_path):
+    """A batch fails in the middle of its work; the query starts again and reads the same offsets, with good and dead rows in one writer."""
+    from teleflect.sources import feed
+
+    feed.register(spark)
+    base, out, flag = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "broken"
+    sent = 0
+
+    def run():
+        stream = spark.readStream.format("feed").option("path", base).option("rowsPerPartition", "7").load()
+
+        @F.udf("binary")
+        def through(value, offset):
+            if flag.exists() and offset == 25:
+                raise OSError("killed")
+            return value
+
+        rows = feed.normalised(stream.withColumn("value", through("value", "offset")))
+        rows.writeStream.format("feed").option("path", out).option("writer", "w").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    for p in range(3):
+        feed.append(base, "raw", p, [message(i, bad=i % 4 == 0) for i in range(20)])
+        sent += 20
+    run()
+    for p in range(3):
+        feed.append(base, "raw", p, [message(20 + i, bad=i % 4 == 0) for i in range(20)])
+        sent += 20
+    flag.write_text("")
+    with pytest.raises(Exception, match="killed"):
+        run()
+    flag.unlink()
+    run()
+    run()  # nothing new
+    got = spark.read.format("feed").option("path", out).load().collect()
+    sources = [r["headers"]["source"] for r in got]
+    assert len(got) == sent == len(set(sources))
+    assert sum(r["topic"] == "dead" for r in got) == sent // 4 and {r["key"] for r in got if r["topic"] == "canonical"} == {VIN}
+    assert {r["headers"]["x-sent-at"] for r in got} == {str(i) for i in range(40)}
+
+
+def test_a_commit_that_runs_again(spark, tmp_path):
+    """After the manifest is there, a second commit of the batch finishes its renames and drops its own files."""
+    from pyspark.sql import Row
+
+    from teleflect.sources import feed
+
+    w = feed.FeedStreamWriter({"path": str(tmp_path / "out"), "writer": "w"})
+    rows = lambda n: iter([Row(topic="a", partition=i % 2, key=None, headers={}, value=b"x", ts=None) for i in range(n)])
+    one, two = w.write(rows(6)), w.write(rows(6))
+    finish, w._finish = w._finish, lambda *_: (_ for _ in ()).throw(OSError("killed"))
+    with pytest.raises(OSError, match="killed"):
+        w.commit([one, None], 0)
+    assert feed.ends(w.base, ["a"]) == {}
+    w._finish = finish
+    w.commit([two], 0)
+    w.commit([w.write(rows(2))], 1)
+    w.abort([w.write(rows(2))], 2)
+    assert feed.ends(w.base, ["a"]) == {"a/0": 4, "a/1": 4}
