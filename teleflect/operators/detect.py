@@ -13,27 +13,40 @@ from .folds import ordered_fold
 
 
 def weighted_trend(rows: DataFrame, keys: list[str], tau_h: float = 12.0, order: str = "seq") -> DataFrame:
-    """rows(keys, ts, y, order), in event order per key -> weight, mean, slope of an exponentially forgetting line at each row.
+    """rows(keys, ts, y, order), in event order per key -> weight, mean, slope of an exponentially forgetting line at each row."""
+    return weighted_trends(rows, keys, {"": tau_h}, order)
+
+
+def weighted_trends(rows: DataFrame, keys: list[str], taus: dict[str, float], order: str = "seq") -> DataFrame:
+    """The same for several lines at once (suffix of their columns -> tau), in one sort of the rows.
 
     Running sums of exp(t / tau) * {1, t, t^2, y, ty}, re-centred at each row. A key's time is cut into stretches of 400
-    tau that each begin anew, fed with the 40 tau before them (what is older weighs under 1e-17), so no span overflows.
+    of the shortest tau that each begin anew, fed with 40 of the longest before them (what is older weighs under
+    1e-17), so no span overflows.
     """
+    short, long = min(taus.values()), max(taus.values())
+    size, before = max(400.0 * short, 80.0 * long), 40.0 * long
+    if size / short > 600:
+        raise ValueError("the longest tau must not be over 7 times the shortest")
     t = hours(F.col("ts")) - F.min(hours(F.col("ts"))).over(Window.partitionBy(*keys))
-    length = F.lit(400.0 * tau_h)
+    length = F.lit(size)
     d = rows.select("*", t.alias("__t")).withColumn("__p", F.floor(F.col("__t") / length).cast("long"))
-    late = F.col("__t") - F.col("__p") * length >= 360.0 * tau_h
+    late = F.col("__t") - F.col("__p") * length >= size - before
     d = d.withColumn("__in", F.explode(F.when(late, F.array(F.col("__p"), F.col("__p") + 1)).otherwise(F.array("__p"))))
     d = d.withColumn("t", F.col("__t") - F.col("__in") * length)
     run = Window.partitionBy(*keys, "__in").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    g = F.exp(F.col("t") / tau_h)
-    sums = {"s0": g, "s1": g * F.col("t"), "s2": g * F.col("t") * F.col("t"), "sy": g * F.col("y"), "sty": g * F.col("t") * F.col("y")}
+    sums = {}
+    for name, tau in taus.items():
+        g = F.exp(F.col("t") / tau)
+        sums |= {f"s0{name}": g, f"s1{name}": g * F.col("t"), f"s2{name}": g * F.col("t") * F.col("t"), f"sy{name}": g * F.col("y"), f"sty{name}": g * F.col("t") * F.col("y")}
     d = d.withColumns({k: F.sum(v).over(run) for k, v in sums.items()}).filter(F.col("__in") == F.col("__p"))
-    shrink = F.exp(-F.col("t") / tau_h)
-    weight = F.col("s0") * shrink
-    mt, my = F.col("s1") / F.col("s0"), F.col("sy") / F.col("s0")
-    var = F.col("s2") / F.col("s0") - mt * mt
-    cov = F.col("sty") / F.col("s0") - mt * my
-    return d.select(*rows.columns, weight.alias("weight"), my.alias("mean"), F.when(var >= 0.01, cov / var).alias("slope"))
+    out = []
+    for name, tau in taus.items():
+        s0, s1, s2, sy, sty = (F.col(f"{k}{name}") for k in ("s0", "s1", "s2", "sy", "sty"))
+        mt, my = s1 / s0, sy / s0
+        var, cov = s2 / s0 - mt * mt, sty / s0 - mt * my
+        out += [(s0 * F.exp(-F.col("t") / tau)).alias(f"weight{name}"), my.alias(f"mean{name}"), F.when(var >= 0.01, cov / var).alias(f"slope{name}")]
+    return d.select(*rows.columns, *out)
 
 
 def k_of_n(rows: DataFrame, keys: list[str], order: str, abnormal: Column, k: int = 4, n: int = 6) -> DataFrame:
@@ -136,14 +149,20 @@ class Unit:
             return True
         return False
 
-    def step(self, t: float, y: float, normal: tuple[float, float, float, float], peers: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> dict | None:
-        """t in hours; normal: median, MAD, slope median, slope MAD; peers: their deviation, slope deviation and fast slope now. Returns the score, if scored."""
-        m, p = self.m, self.p
+    def take(self, t: float, y: float) -> bool:
+        """Whether the guard takes the reading; its trends then hold it."""
         if not self._guard(t, y):
-            return None
+            return False
         self.slow.add(t, y)
         self.fast.add(t, y)
         self.last = (t, y)
+        return True
+
+    def step(self, t: float, y: float, normal: tuple[float, float, float, float], peers: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> dict | None:
+        """t in hours; normal: median, MAD, slope median, slope MAD; peers: their deviation, slope deviation and fast slope now. Returns the score, if scored."""
+        m, p = self.m, self.p
+        if not self.take(t, y):
+            return None
         median, mad, slope_median, slope_mad = normal
         if self.slow.n < p.min_weight or isnan(median):
             return None
@@ -272,19 +291,18 @@ def detect_fold(rows: DataFrame, metrics: dict[str, tuple[str, Metric]], p: Dete
 def with_peers(readings: DataFrame, registry: DataFrame, p: Detect = Detect()) -> DataFrame:
     """readings(vin, metric, seq, ts, y, median, mad, slope_median, slope_mad) with peer_dev, peer_slope and peer_fast: medians of the peers' newest values of the hour.
 
-    A first pass over all units takes trends as window sums (without the guard: medians do not mind its few readings);
-    peers are region x duty where enough of them have a value in the hour, else the region, else nothing.
+    A first pass over all units takes trends as window sums (without the guard: medians do not mind its few readings),
+    both in one sort; peers are region x duty where enough of them have a value in the hour, else the region, else
+    nothing. See peers.py for the form whose peers are those of the last hours at each reading.
     """
-    ids, keys = ["vin", "metric", "seq"], ["vin", "metric"]
-    slow = weighted_trend(readings.select(*ids, "ts", "y"), keys, p.tau_h).select(*ids, "ts", "weight", "mean", "slope")
-    fast = weighted_trend(readings.select(*ids, "ts", "y"), keys, p.fast_tau_h).select(*ids, F.col("slope").alias("fast"))
-    both = slow.join(fast, ids).filter(F.col("weight") >= p.min_weight).join(readings.select(*keys, "median", "slope_median").distinct(), keys).join(registry.select("vin", "region_id", "duty_type_id"), "vin")
-    hour = bucket(F.col("ts"), 1).alias("hour")
-    newest = both.groupBy("vin", "metric", "region_id", "duty_type_id", hour).agg(F.max_by(F.struct((F.col("mean") - F.col("median")).alias("dev"), F.coalesce(F.col("slope") - F.col("slope_median"), F.lit(0.0)).alias("slope"), F.coalesce("fast", F.lit(0.0)).alias("fast")), "seq").alias("x"))
-    mids = lambda scope, n: newest.groupBy(*scope, "metric", "hour").agg(F.count(F.lit(1)).alias("k"), F.struct(*[F.median(f"x.{c}").alias(c) for c in ("dev", "slope", "fast")]).alias(n)).filter(F.col("k") >= p.min_peers).drop("k")
-    near, wide = mids(["region_id", "duty_type_id"], "near"), mids(["region_id"], "wide")
     placed = readings.join(registry.select("vin", "region_id", "duty_type_id"), "vin").withColumn("hour", bucket(F.col("ts"), 1))
-    out = placed.join(near, ["region_id", "duty_type_id", "metric", "hour"], "left").join(wide, ["region_id", "metric", "hour"], "left")
+    scope = ["region_id", "duty_type_id", "metric", "hour"]
+    both = weighted_trends(placed.select("vin", "seq", "ts", "y", "median", "slope_median", *scope), ["vin", "metric"], {"": p.tau_h, "_fast": p.fast_tau_h}).filter(F.col("weight") >= p.min_weight)
+    value = F.struct((F.col("mean") - F.col("median")).alias("dev"), F.coalesce(F.col("slope") - F.col("slope_median"), F.lit(0.0)).alias("slope"), F.coalesce("slope_fast", F.lit(0.0)).alias("fast"))
+    newest = both.groupBy("vin", *scope).agg(F.max_by(value, "seq").alias("x"))
+    mids = lambda own, n: newest.groupBy(*own).agg(F.count(F.lit(1)).alias("k"), F.struct(*[F.median(f"x.{c}").alias(c) for c in ("dev", "slope", "fast")]).alias(n)).filter(F.col("k") >= p.min_peers).drop("k")
+    wider = ["region_id", "metric", "hour"]
+    out = placed.join(mids(scope, "near"), scope, "left").join(mids(wider, "wide"), wider, "left")
     return out.select(*readings.columns, *[F.coalesce(f"near.{c}", f"wide.{c}").alias(f"peer_{c}") for c in ("dev", "slope", "fast")])
 
 

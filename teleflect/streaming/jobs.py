@@ -97,3 +97,19 @@ def clock_stream(messages: DataFrame, source: str = "source", most_ms: int = 120
     """messages(source, arrival, event_ms, ingest_ms) -> source, arrival, ahead: a ring of offsets in the state of each source."""
     rows = messages.select(F.col(source).cast("string").alias("source"), "arrival", F.col("event_ms").cast("long"), F.col("ingest_ms").cast("long"))
     return fold_stream(rows, ["source"], ["arrival"], lambda r: Clock(), clock_step(most_ms), "source string, arrival long, ahead boolean")
+
+
+def detect_with_peers_stream(rows: DataFrame, metrics: dict, p) -> DataFrame:
+    """peers.detect_with_peers on a stream: three states one after the other, in one query."""
+    from ..operators import peers
+
+    out = peers.peers_input(rows)
+    for (keys, order, schema), (start, step) in zip(peers.STAGES, peers.steps(metrics, p), strict=True):
+        out = fold_stream(out, keys, order, start, step, schema)
+    return out
+
+
+def use_rocksdb(spark: SparkSession) -> SparkSession:
+    """States of Python steps live in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
