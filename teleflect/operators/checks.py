@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import vin_problem
 from .folds import columns_of
 from .intake import intake
+from .ranks import ranked
 
 JUMPS = "vin long, seq long, odo_km double, soc_pct double, flags string"
 
@@ -25,14 +26,17 @@ def clock_ahead(messages: DataFrame, source: list[str], arrival: str, event_ms:
     """messages with `ahead`: event time over most_ms beyond what ingest time implies; null until `every` messages of its source have come.
 
     The offset between the clocks is the middle one of the last `size` before, taken anew after every `every` messages:
-    a table of one row for that many messages, whose windows hold size / every of them.
+    a table of one row for that many messages, whose windows hold size / every of them. Messages are numbered in ranges
+    of arrival, and the table is cut into stretches, so a source may be as busy as it likes.
     """
-    n = F.row_number().over(Window.partitionBy(*source).orderBy(arrival)) - 1
     off = F.col(event_ms) - F.lit(speed) * F.col(ingest_ms)
-    rows = messages.withColumns({"__b": F.floor(n / every).cast("long"), "__off": off})
+    rows = ranked(messages.withColumn("__off", off), source, [F.col(arrival)], "__n")
+    rows = rows.withColumn("__b", F.floor((F.col("__n") - 1) / every).cast("long")).drop("__n")
     blocks = rows.groupBy(*source, "__b").agg(F.collect_list("__off").alias("o"), F.count(F.lit(1)).alias("k"))
-    recent = F.flatten(F.collect_list("o").over(Window.partitionBy(*source).orderBy("__b").rowsBetween(1 - size // every, 0)))
-    middle = blocks.withColumn("r", F.array_sort(recent)).filter(F.col("k") == every)
+    held, stretch = size // every, 256
+    into = F.explode(F.when(F.col("__b") % stretch > stretch - held, F.array(F.floor(F.col("__b") / stretch), F.floor(F.col("__b") / stretch) + 1)).otherwise(F.array(F.floor(F.col("__b") / stretch))))
+    recent = F.flatten(F.collect_list("o").over(Window.partitionBy(*source, "__s").orderBy("__b").rowsBetween(1 - held, 0)))
+    middle = blocks.withColumn("__s", into).withColumn("r", F.array_sort(recent)).filter((F.col("k") == every) & (F.col("__s") == F.floor(F.col("__b") / stretch)))
     middle = middle.select(*source, (F.col("__b") + 1).alias("__b"), F.element_at("r", (F.floor(F.size("r") / 2) + 1).cast("int")).alias("__mid"))
     return rows.join(middle, [*source, "__b"], "left").withColumn("ahead", F.col("__off") - F.col("__mid") > most_ms).drop("__b", "__off", "__mid")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running_totals
+
 
 def precision_at_k(scored: DataFrame, group: list[str], k: int) -> DataFrame:
     """scored(group, id, score, label): share of true labels among the k largest scores of each group; ties by id."""
@@ -12,11 +14,18 @@ def precision_at_k(scored: DataFrame, group: list[str], k: int) -> DataFrame:
     return scored.withColumn("k", rank).filter(F.col("k") <= k).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("label").cast("double")).alias("precision"))
 
 
-def average_precision(scored: DataFrame, group: list[str]) -> DataFrame:
-    """Area under the precision-recall curve: sum of precision times recall gained, equal scores taken together."""
+def average_precision(scored: DataFrame, group: list[str], spread: bool = False) -> DataFrame:
+    """Area under the precision-recall curve: sum of precision times recall gained, equal scores taken together.
+
+    spread: running counts by ranges of the score, for few groups with many different scores.
+    """
     at = scored.groupBy(*group, "score").agg(F.sum("label").alias("tp"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*group).orderBy(F.desc("score"))
-    run = at.withColumns({"tps": F.sum("tp").over(w), "ns": F.sum("n").over(w), "all": F.sum("tp").over(Window.partitionBy(*group))})
+    if spread:
+        run = running_totals(at, group, [F.desc("score")], {"tps": F.col("tp"), "ns": F.col("n")})
+        run = run.join(at.groupBy(*group).agg(F.sum("tp").alias("all")), group)
+    else:
+        w = Window.partitionBy(*group).orderBy(F.desc("score"))
+        run = at.withColumns({"tps": F.sum("tp").over(w), "ns": F.sum("n").over(w), "all": F.sum("tp").over(Window.partitionBy(*group))})
     return run.groupBy(*group).agg(F.sum(F.when(F.col("all") > 0, F.col("tp") / F.col("all") * F.col("tps") / F.col("ns"))).alias("average_precision"))
 
 

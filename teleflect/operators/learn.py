@@ -6,10 +6,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .evaluate import average_precision
+from .ranks import ranked
 
 
 def matrix(numeric: list[str], boolean: list[str], category: list[str]) -> list:
@@ -39,17 +41,15 @@ def predicted(model: PipelineModel, rows: DataFrame, numeric: list[str], boolean
 
 
 def permuted(rows: DataFrame, column: str, seed: int) -> DataFrame:
-    """rows with one column's values dealt anew, each once: ranks by one hash take values by another.
-
-    Ranks are one window over all rows: for a bounded sample.
-    """
-    rank = lambda s: F.row_number().over(Window.orderBy(F.xxhash64(F.struct(*rows.columns), F.lit(s))))
-    values = rows.select(rank(seed).alias("__k"), F.col(column).alias("__v"))
-    return rows.withColumn("__k", rank(seed + 1)).join(values, "__k").withColumn(column, F.col("__v")).drop("__k", "__v")
+    """rows with one column's values dealt anew, each once: ranks by one hash take values by another. Equal rows are told apart by their place in a stored table."""
+    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "shuffled")
+    by = lambda s: [F.xxhash64(F.col("__row"), F.lit(s)), F.col("__row")]
+    values = ranked(rows.select("__row", F.col(column).alias("__v")), [], by(seed), "__k").select("__k", "__v")
+    return ranked(rows, [], by(seed + 1), "__k").join(values, "__k").withColumn(column, F.col("__v")).drop("__k", "__v", "__row")
 
 
 def importance(model: PipelineModel, sample: DataFrame, numeric: list[str], boolean: list[str], category: list[str], seed: int = 7) -> DataFrame:
-    """feature, drop: how much average precision a bounded sample(…, label) loses when a column is shuffled."""
-    spark, ap = sample.sparkSession, lambda d: average_precision(predicted(model, d, numeric, boolean, category).select(F.lit(0).alias("g"), "score", "label"), ["g"]).first()[1] or 0.0
+    """feature, drop: how much average precision a sample(…, label) loses when a column is shuffled."""
+    spark, ap = sample.sparkSession, lambda d: average_precision(predicted(model, d, numeric, boolean, category).select(F.lit(0).alias("g"), "score", "label"), ["g"], spread=True).first()[1] or 0.0
     whole = ap(sample)
     return spark.createDataFrame([(c, whole - ap(permuted(sample, c, seed))) for c in [*numeric, *boolean, *category]], "feature string, drop double")

@@ -176,10 +176,10 @@ def with_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def member_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """family_key, grp, vin and what each member shows."""
+    """family_key, grp, vin and what each member shows: joined by key and bucket, as a bucket is in one group."""
     rows = incidents(spark, sf)
-    spans = groups(spark, sf).select("family_key", "grp", "first_bucket", "last_bucket")
-    return rows.join(spans, "family_key").filter(F.col("b").between(F.col("first_bucket"), F.col("last_bucket"))).select("family_key", "grp", "vin", "seq", "ts", "y", "k")
+    spans = groups(spark, sf).select("family_key", "grp", F.explode(F.sequence("first_bucket", "last_bucket")).alias("b"))
+    return rows.join(spans, ["family_key", "b"]).select("family_key", "grp", "vin", "seq", "ts", "y", "k")
 
 
 @query(STATUS_SQL + "SELECT DISTINCT family_key, CAST(grp AS BIGINT) AS grp, vin, status NOT IN ('MERGED', 'CLOSED') AS active FROM inc JOIN g0 USING (family_key, b) JOIN st USING (family_key, grp)")
@@ -423,7 +423,7 @@ def at_risk_model(spark: SparkSession, sf: str) -> DataFrame:
     test = rows.filter("vin % 3 = 0").withColumn("id", F.concat_ws("|", "vin", "hour"))
     scored = L.predicted(model, test, NUMERIC, BOOLEAN, CATEGORY).select(F.lit("trees").alias("by"), "id", "score", "label")
     both = scored.unionByName(test.select(F.lit("rule").alias("by"), "id", F.col("avg_3").alias("score"), "label"))
-    return E.average_precision(both, ["by"]).join(E.precision_at_k(both, ["by"], 50), "by")
+    return E.average_precision(both, ["by"], spread=True).join(E.precision_at_k(both, ["by"], 50), "by")
 
 
 @query("SELECT CAST(floor(epoch(ts) / 300) AS BIGINT) AS slot, count(*) AS n, CAST(max(seq) - min(seq) AS BIGINT) AS increase FROM r GROUP BY 1")

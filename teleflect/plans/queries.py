@@ -46,7 +46,8 @@ def windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normal(spark: SparkSession, sf: str) -> DataFrame:
-    return B.own_normal(windows(spark, sf), fleet.registry(spark, sf), SPARSE)
+    """Windows and registry are worked out once: the windows stand in four places of the plan."""
+    return B.own_normal(fleet.stored(windows(spark, sf), "windows"), fleet.stored(fleet.registry(spark, sf), "registry"), SPARSE)
 
 
 def codes(spark: SparkSession, sf: str) -> DataFrame:
