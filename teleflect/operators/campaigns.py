@@ -50,6 +50,29 @@ def rate_elsewhere(incidents: DataFrame, cohort: list[str], place: str, sizes: D
     return out.withColumn("per_1000", F.when(F.col("other_vans") > 0, F.lit(1000.0) * F.col("vins") / (F.col("other_vans") * days)).otherwise(0.0))
 
 
+def rate_in_window(incidents: DataFrame, cohort: list[str], place: str, sizes: DataFrame, asked: DataFrame, days: int) -> DataFrame:
+    """asked(cohort, place, until) with vins, other_vans and per_1000: distinct units with incidents of the cohort in other places in (until - days, until], per 1,000 unit-days there (0 without units).
+
+    A question meets the incidents of its cohort by day, so it reads the days of its window and no others.
+    """
+    day = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 86_400_000_000).cast("long")
+    rows = incidents.select(*cohort, F.col(place).alias("__place"), "vin", F.col("ts").alias("__ts"), day("ts").alias("__day"))
+    each = asked.select(*cohort, place, "until").distinct().withColumn("__day", F.explode(F.sequence(day("until") - days, day("until"))))
+    span = F.expr(f"INTERVAL {days} DAYS")
+    met = each.join(rows, [*cohort, "__day"]).filter((F.col("__place") != F.col(place)) & (F.col("__ts") > F.col("until") - span) & (F.col("__ts") <= F.col("until")))
+    seen = met.groupBy(*cohort, place, "until").agg(F.countDistinct("vin").alias("vins"))
+    other = (F.sum("vans").over(Window.partitionBy(*cohort)) - F.col("vans")).alias("other_vans")
+    out = asked.join(sizes.select(*cohort, place, other), [*cohort, place], "left").join(seen, [*cohort, place, "until"], "left").withColumns({"vins": F.coalesce("vins", F.lit(0).cast("long")), "other_vans": F.coalesce("other_vans", F.lit(0).cast("long"))})
+    return out.withColumn("per_1000", F.when(F.col("other_vans") > 0, F.lit(1000.0) * F.col("vins") / (F.col("other_vans") * days)).otherwise(0.0))
+
+
+def installed_before(installs: DataFrame, units: DataFrame, group: str, days: int = 3) -> DataFrame:
+    """units(group, vin, first_ts) with version: that of the unit's newest install in (first_ts - days, first_ts], null where there is none. installs(vin, version, ts)."""
+    near = units.join(installs, "vin").filter((F.col("ts") > F.col("first_ts") - F.expr(f"INTERVAL {days} DAYS")) & (F.col("ts") <= F.col("first_ts")))
+    newest = near.groupBy(group, "vin").agg(F.max_by("version", F.struct("ts", "version")).alias("version"))
+    return units.join(newest, [group, "vin"], "left")
+
+
 def modal_share(members: DataFrame, sisters: DataFrame, group: str, p: Campaign = Campaign()) -> DataFrame:
     """group, version, members_with, members, sisters_with, sisters, shown. members and sisters(group, vin, version or null), versions in their window."""
     size = lambda d, n: d.groupBy(group).agg(F.countDistinct("vin").alias(n))

@@ -1,4 +1,4 @@
-"""What people look at: reasons, campaign clues, boards, pages, cards, suggestions, the change feed."""
+"""What people look at (their phrases are in phrases.py): boards, pages, cards, suggestions, the change feed."""
 
 from __future__ import annotations
 
@@ -7,26 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import uuid5
 from .joins import changes
-from .views import tenths
-
-
-def queue_reasons() -> Column:
-    """Phrases in a fixed order, only those that hold, from a queue row (severity, pinned, hours_left, deviation, unit, trigger, family, members, campaign_members, at_risk_groups, not_fixed, repaired_day, codes24, behaviour, in_service)."""
-    c, text = F.col, lambda x: F.col(x).cast("string")
-    known = c("deviation").isNotNull()
-    own = F.concat(c("family"), F.lit(" incident"), F.when(known, F.concat(F.lit(": "), tenths(F.abs("deviation")), F.lit(" "), c("unit"), F.when(c("deviation") >= 0, " above").otherwise(" below"), F.lit(" its own normal"))).otherwise(""))
-    return F.array_compact(
-        F.array(
-            F.when(c("pinned") & c("hours_left").isNotNull(), F.concat(F.lit("runaway: about "), F.greatest(F.floor(c("hours_left") + 0.5), F.lit(0)).cast("string"), F.lit(" h to the limit"))).when(c("pinned"), F.concat(F.lit("runaway: "), c("family"), F.lit(" critical"))),
-            F.when(~c("pinned") & (c("severity") > 0), F.when(c("trigger") == "CODE_RATE", F.concat(c("family"), F.lit(" codes well above its own usual rate"))).otherwise(own)),
-            F.when(c("members") > 0, F.concat(F.lit("member of a "), c("family"), F.lit(" campaign ("), text("campaign_members"), F.lit(" vans)"))),
-            F.when(c("at_risk_groups") > 0, F.concat(F.lit("at-risk: same model and depot as "), text("at_risk_groups"), F.lit(" open campaigns"))),
-            F.when(c("not_fixed"), F.concat(F.lit("repair on "), c("repaired_day"), F.lit(" did not hold"))),
-            F.when(c("codes24") > 0, F.concat(text("codes24"), F.lit(" fault codes in the last 24 h"))),
-            F.when(c("behaviour") >= 1.5, F.concat(F.lit("harsh driving "), tenths(c("behaviour")), F.lit(" times its duty's usual (small, capped weight)"))),
-            F.when(c("in_service"), F.lit("in service tomorrow")),
-        )
-    )
 
 
 def member_medians(members: DataFrame, group: list[str]) -> DataFrame:
@@ -34,22 +14,6 @@ def member_medians(members: DataFrame, group: list[str]) -> DataFrame:
     return members.groupBy(*group).agg(F.countDistinct("vin").alias("members"), F.median("deviation").alias("dev"), F.median("slope").alias("slope"))
 
 
-def campaign_clues() -> Column:
-    """type, text and value of each clue of a campaign row (members, model, duty, depot, family, unit, dev, slope, top_codes, days, lambda, regional_per_1000, key_per_1000)."""
-    c, text = F.col, lambda x: F.col(x).cast("string")
-    clue = lambda kind, phrase, value: F.struct(F.lit(kind).alias("type"), phrase.alias("text"), value.cast("double").alias("value"))
-    rising = F.when(c("slope") > 0, F.concat(F.lit(", rising "), tenths(c("slope")), F.lit(" "), c("unit"), F.lit("/h"))).otherwise("")
-    return F.array_compact(
-        F.array(
-            clue("PLACE", F.concat(text("members"), F.lit(" "), text("model"), F.lit(" vans on "), text("duty"), F.lit(" duty at depot "), text("depot"), F.lit(", same "), c("family"), F.lit(" fault")), c("members")),
-            F.when(c("dev").isNotNull(), clue("TREND", F.concat(F.lit("typical member is "), tenths(F.abs("dev")), F.lit(" "), c("unit"), F.when(c("dev") >= 0, " above").otherwise(" below"), F.lit(" its own normal"), rising), c("dev"))),
-            F.when(F.size("top_codes") > 0, clue("CODES", F.concat(F.lit("top codes: "), F.array_join("top_codes", ", ")), F.size("top_codes"))),
-            clue("SURPRISE", F.concat(text("members"), F.lit(" vans in "), text("days"), F.when(c("days") >= 2, " days").otherwise(" day"), F.lit(" where "), tenths(c("lambda")), F.lit(" would be expected by chance")), c("members")),
-            clue("REGION", F.when(c("regional_per_1000") * 3 < c("key_per_1000"), F.concat(F.lit("peers elsewhere in the region are normal ("), tenths(c("regional_per_1000")), F.lit(" per 1,000 van-days)"))).otherwise(F.concat(F.lit("the rest of the region is elevated too ("), tenths(c("regional_per_1000")), F.lit(" per 1,000 van-days)"))), c("regional_per_1000")),
-        )
-    )
-
-
 def cost_if_not_fixed(members: Column, at_risk: Column, breakdown: float, planned: float) -> Column:
     return (members + F.coalesce(at_risk, F.lit(0))) * max(0.0, breakdown - planned)
 

@@ -208,7 +208,7 @@ def campaign_cards(spark: SparkSession, sf: str) -> DataFrame:
     return P.cards(events).select(F.col("subject").alias("family_key"), "grp", "kind", "version")
 
 
-# ---- campaign and queue phrases
+# ---- campaigns
 
 
 CLUE_SQL = GROUPS_SQL + """, mm AS (SELECT family_key, CAST(grp AS BIGINT) AS grp, vin, y - 50 AS dev FROM inc JOIN g0 USING (family_key, b) JOIN (SELECT vin, seq, y FROM r) USING (vin, seq)),
@@ -221,20 +221,6 @@ def member_medians(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.member_medians(rows, ["family_key", "grp"]))
 
 
-TENTH_SQL = "CAST(CAST(floor(({0}) * 10 + 0.5 + 1e-7) / 10 AS DECIMAL(12, 1)) AS VARCHAR)"
-
-
-@query(CLUE_SQL + f""", x AS (SELECT md.*, last_bucket - first_bucket + 1 AS days, split_part(family_key, '|', 2) AS model, split_part(family_key, '|', 3) AS duty FROM md JOIN gs USING (family_key, grp)),
-c AS (SELECT family_key, grp, members || ' M' || model || ' vans on D' || duty || ' duty at depot all, same COOLING fault' AS c1, 'typical member is ' || {TENTH_SQL.format('abs(dev)')} || ' u' || if(dev >= 0, ' above', ' below') || ' its own normal' AS c2,
-members || ' vans in ' || days || if(days >= 2, ' days', ' day') || ' where ' || {TENTH_SQL.format('days * 0.25')} || ' would be expected by chance' AS c3, if(1.5 < members * 10.0 / days, 'peers elsewhere in the region are normal (0.5 per 1,000 van-days)', 'the rest of the region is elevated too (0.5 per 1,000 van-days)') AS c4 FROM x)
-SELECT family_key, grp, concat_ws('; ', c1, c2, c3, c4) AS clues FROM c""")
-def campaign_clues(spark: SparkSession, sf: str) -> DataFrame:
-    key = ["family_key", "grp"]
-    rows = P.member_medians(member_rows(spark, sf).select(*key, "vin", (F.col("y") - 50).alias("deviation"), F.lit(None).cast("double").alias("slope")), key).join(groups(spark, sf).select(*key, "first_bucket", "last_bucket"), key)
-    part = lambda i, p: F.concat(F.lit(p), F.split_part("family_key", F.lit("|"), F.lit(i)))
-    rows = rows.withColumns({"days": F.col("last_bucket") - F.col("first_bucket") + 1, "model": part(2, "M"), "duty": part(3, "D"), "depot": F.lit("all"), "family": F.lit("COOLING"), "unit": F.lit("u"), "top_codes": F.array().cast("array<string>"), "regional_per_1000": F.lit(0.5)})
-    rows = rows.withColumns({"lambda": F.col("days") * 0.25, "key_per_1000": F.col("members") * 10.0 / F.col("days")})
-    return rows.select(*key, F.array_join(F.transform(P.campaign_clues(), lambda c: c["text"]), "; ").alias("clues"))
 
 
 @query(GROUPS_SQL + "SELECT family_key, grp, members * 38000.0 AS cost, CASE WHEN members * 38000 >= 10000000 THEN CAST(members * 38000 // 10000000 AS VARCHAR) || ',' || lpad(CAST(members * 38000 // 100000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(members * 38000 // 1000 % 100 AS VARCHAR), 2, '0') WHEN members * 38000 >= 100000 THEN CAST(members * 38000 // 100000 AS VARCHAR) || ',' || lpad(CAST(members * 38000 // 1000 % 100 AS VARCHAR), 2, '0') ELSE CAST(members * 38000 // 1000 AS VARCHAR) END || ',000' AS cost_text FROM gs")
@@ -243,25 +229,6 @@ def campaign_cost(spark: SparkSession, sf: str) -> DataFrame:
     return groups(spark, sf).select("family_key", "grp", cost.alias("cost"), P.grouped_digits(cost).alias("cost_text"))
 
 
-def reason_rows(spark: SparkSession, sf: str) -> DataFrame:
-    q = filled(spark, sf)
-    text = {"unit": "u", "family": "COOLING", "repaired_day": "2024-01-20"}
-    return q.withColumns({c: F.lit(v) for c, v in text.items()} | {
-        "deviation": F.when(F.col("vin") % 3 != 0, (F.col("vin") % 40 - 20) * 1.0), "trigger": F.when(F.col("vin") % 5 == 0, "CODE_RATE").otherwise("SIGNAL"), "campaign_members": F.col("members"), "codes24": F.col("vin") % 4,
-    })
-
-
-@query(QUEUE_SQL + f""", w AS (SELECT f.depot_id, rank, f.vin, p.members, p.arg, p.severity, f.pinned, f.hl FROM f JOIN p USING (vin))
-SELECT depot_id, rank, vin, array_to_string(list_filter([
-CASE WHEN pinned AND hl IS NOT NULL THEN 'runaway: about ' || greatest(CAST(floor(hl + 0.5) AS BIGINT), 0) || ' h to the limit' WHEN pinned THEN 'runaway: COOLING critical' END,
-CASE WHEN NOT pinned AND severity > 0 THEN CASE WHEN vin % 5 = 0 THEN 'COOLING codes well above its own usual rate' ELSE 'COOLING incident' || CASE WHEN vin % 3 <> 0 THEN ': ' || {TENTH_SQL.format('abs(vin % 40 - 20)')} || ' u' || if(vin % 40 >= 20, ' above', ' below') || ' its own normal' ELSE '' END END END,
-CASE WHEN members > 0 THEN 'member of a COOLING campaign (' || members || ' vans)' END, CASE WHEN arg > 0 THEN 'at-risk: same model and depot as ' || arg || ' open campaigns' END,
-CASE WHEN vin % 9 = 0 THEN 'repair on 2024-01-20 did not hold' END, CASE WHEN vin % 4 > 0 THEN vin % 4 || ' fault codes in the last 24 h' END,
-CASE WHEN 1 + vin % 4 * 0.5 >= 1.5 THEN 'harsh driving ' || {TENTH_SQL.format('1 + vin % 4 * 0.5')} || ' times its duty''s usual (small, capped weight)' END, CASE WHEN vin % 2 = 0 THEN 'in service tomorrow' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM w""")
-def queue_with_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return reason_rows(spark, sf).select("depot_id", "rank", "vin", F.array_join(P.queue_reasons(), "; ").alias("reasons"))
-
-
 # ---- pages
 
 
@@ -438,12 +405,3 @@ def six_hour_by_vehicle(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.exprs import bucket
 
     return rounded(fleet.readings(spark, sf).filter("metric = 'level'").groupBy(bucket(F.col("ts"), 6).alias("b"), "vin").agg(F.avg("y").alias("mean"), count().alias("n")))
-
-
-@query("SELECT cell, b, count(*) AS n FROM (SELECT 'c' || (vin % 50) AS cell, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS b FROM r) GROUP BY ALL")
-def cell_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Readings of each grid cell in each day; a unit's cell stands in the registry."""
-    from ..functions.exprs import bucket
-
-    cell = F.concat(F.lit("c"), (F.col("vin") % 50).cast("string")).alias("cell")
-    return fleet.readings(spark, sf).groupBy(cell, bucket(F.col("ts"), 24).alias("b")).agg(count().alias("n"))
