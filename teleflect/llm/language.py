@@ -250,7 +250,8 @@ def fit(docs: DataFrame, sample: int = 2500, order: int = 4) -> Identifier | Non
                     t = START + run + END
                     for i in range(1, len(t)):
                         grams[t[max(0, i - order + 1) : i + 1]] += n
-            yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
+            if grams:
+                yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
 
     counts: dict[str, dict[str, int]] = {}
     for r in rows.filter("not aside").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas().itertuples():
