@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -484,6 +485,43 @@ def test_toxic_offsets_are_of_the_text_as_it_stands(spark):
     assert toxicity.score(empty, model).count() == 0 and toxicity.fit(empty, spark.createDataFrame(labels, "doc_id long, toxic int")) is None
 
 
+def test_toxic_scores_are_the_definition(spark):
+    """Scores and spans of whole texts against a forward-backward pass in log space, word by word."""
+    rows, labels = toxic_corpus()
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = {i: rows[i] for i in range(0, 40)} | {300: "Vileword", 301: "", 302: None, 303: "1 2 ! ?", 304: f"É {rows[4]} — nastyword\n\nfoulword foulword", 305: text(8, 700)}
+
+    def plain(t):
+        words = [(m, w) for m in re.finditer(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", t or "") for w in [m.group().lower()]]
+        if not words:
+            return 0.0, []
+        e = [0.0 if not w else float(np.clip(model.emit(["".join(c for c in w if c.isalpha())])[0], -30, 30)) for _, w in words]
+        n, t_ = len(e), model.trans
+        f, b = np.zeros((n, 2)), np.zeros((n, 2))
+        f[0] = [0.0, e[0]]
+        for i in range(1, n):
+            f[i] = [np.logaddexp(f[i - 1, 0] + t_[0, y], f[i - 1, 1] + t_[1, y]) + y * e[i] for y in (0, 1)]
+        for i in range(n - 2, -1, -1):
+            b[i] = [np.logaddexp(t_[y, 0] + b[i + 1, 0], t_[y, 1] + e[i + 1] + b[i + 1, 1]) for y in (0, 1)]
+        g = f + b
+        p = 1 / (1 + np.exp(g[:, 0] - g[:, 1]))
+        ev = sum(x for x in p if x > 0.1)
+        spans = []
+        for i, (m, _) in enumerate(words):
+            if p[i] >= 0.5:
+                if spans and spans[-1][2] == i - 1:
+                    spans[-1] = [spans[-1][0], m.end(), i]
+                else:
+                    spans.append([m.start(), m.end(), i])
+        return ev / (ev + model.c), [(a, z) for a, z, _ in spans]
+
+    got = {r["doc_id"]: r for r in toxicity.score(docs(spark, texts), model).collect()}
+    for i, t in texts.items():
+        want, spans = plain(t)
+        assert got[i]["score"] == pytest.approx(want, abs=1e-9) and [(s["start"], s["end"]) for s in got[i]["spans"]] == spans
+    assert sum(len(r["spans"]) > 0 for r in got.values()) >= 12
+
+
 def test_toxic_offsets_of_a_very_long_text(spark):
     """Offsets are counted once for a text, not once for each span."""
     rows, labels = toxic_corpus()

@@ -33,3 +33,40 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in out} == kept["benchmark-decontamination"] and len(corpus_pipeline.STAGES) == 5
     assert all(0 < r["length"] <= 4096 and r["offset"] + r["length"] <= 4096 for r in out)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def run(spark, sf, rows, items):
+    spark.createDataFrame([(i, t, la, "s", len(t or "")) for i, t, la in rows], SCHEMA).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    return corpus_pipeline.run(spark, sf).collect()
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    assert run(spark, str(tmp_path / "a"), [], []) == []
+    assert run(spark, str(tmp_path / "b"), [(1, None, None), (2, "", "aa"), (None, "12 !", "aa")], [(1, "x")]) == []
+
+
+def words(seed, n, kinds="aa"):
+    rnd, parts = random.Random(seed), {"aa": "bal dor mik tan sul per", "bb": "xyo qwi zzu vyx kwo uyi"}[kinds].split()
+    return " ".join("".join(rnd.choice(parts) for _ in range(3)) for _ in range(n))
+
+
+def test_pipeline_without_a_benchmark_keeps_all_clean_rows(spark, tmp_path):
+    rows = [(i, words(i, 80), "aa") for i in range(40)]
+    out = run(spark, str(tmp_path), rows, [])
+    assert sorted(r["doc_id"] for r in out) == list(range(40))
+
+
+def test_pipeline_tells_null_and_repeated_ids_apart(spark, tmp_path):
+    """Rows go by their texts: a null id, or one that two texts share, takes no other row with it."""
+    rows = [(i, words(i, 80, ("aa", "bb")[i % 2]), ("aa", "bb")[i % 2]) for i in range(40)]
+    item = words(999, 30)
+    rows += [(None, words(100, 80), "aa"), (None, words(101, 80), "aa"), (None, words(100, 80), "aa"), (7, words(102, 80), "aa"), (None, f"{words(103, 60)} {item}", "aa"), (8, f"{words(104, 60)} {item}", "aa"), (9, rows[9][1], "bb"), (10, rows[10][1].replace(" ", "  "), "aa")]
+    out = run(spark, str(tmp_path), rows, [(1, item), (None, item), (2, None)])
+    ids = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in out)
+    # both texts of id 7, one text of 8 and none of the null one that hold the item; rows that repeat an id and its text all stay (9, 10, null)
+    assert ids == sorted([(True, i) for i in range(40)] + [(True, 7), (True, 9), (True, 10), (False, 0), (False, 0), (False, 0)])
+    assert all(r["piece"] == 0 and r["start"] == 0 for r in out)
