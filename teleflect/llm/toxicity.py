@@ -276,7 +276,9 @@ def score(docs: DataFrame, model: Field | None, with_spans: bool = True) -> Data
             own: list[list] = [[] for _ in block]
             hit = np.flatnonzero(p >= 0.5)
             text = np.searchsorted(first, hit, side="right") - 1
-            chars = np.concatenate([[0], np.cumsum((b.bytes & 0xC0) != 0x80)])  # code points before each byte
+            chars = np.zeros(len(b.bytes) + 1 if len(hit) else 1, np.int32)  # code points before each byte
+            if len(hit):
+                np.cumsum((b.bytes & 0xC0) != 0x80, out=chars[1:])
             from_, to = (chars[x[hit]] - chars[b.texts_at[text]] for x in (b.starts, b.ends))
             for i, k, start, end in zip(hit.tolist(), text.tolist(), from_.tolist(), to.tolist(), strict=True):
                 if own[k] and own[k][-1]["word"] == i - 1:
