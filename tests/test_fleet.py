@@ -517,3 +517,19 @@ def test_errors_name_the_path(spark):
     two = [nested, nested.replace('"soon"', '"2026-09-28T04:00:00Z"'), nested.replace('"soon"', '"2026-09-28T04:00:00Z"').replace('"x"', "7"), nested.replace('{"vin":"1HGCM82633A004352"}', "5")]
     rows = raw.decode(spark.createDataFrame([(i, x) for i, x in enumerate(two)], "i int, value string")).orderBy("i").collect()
     assert [r["detail"] for r in rows] == ["time is not an ISO 8601 time", "engine.coolant.tempC is not a number", None, "vehicle.vin is not a text"] and rows[2]["r"]["coolant_c"] == 7.0
+
+
+def test_dimension_and_feature_files(spark, tmp_path):
+    """CSV with a header: empty fields are null, types are those asked for; features survive their round trip, booleans in any spelling."""
+    from teleflect.sources import files
+
+    (tmp_path / "depots.csv").write_text('id,name,bays\n1,"North, 1",3\n2,,\n')
+    got = [tuple(r) for r in files.read_dimension(spark, str(tmp_path / "depots.csv"), "id long, name string, bays int").orderBy("id").collect()]
+    assert got == [(1, "North, 1", 3), (2, None, None)]
+    df = spark.createDataFrame([(1, 0.25, True, "a"), (2, None, False, None), (3, 1.5, None, "b,c")], "vin long, x double, late boolean, kind string")
+    files.export_features(df, str(tmp_path / "features"))
+    assert all(p.suffix == ".gz" for p in (tmp_path / "features").glob("part-*"))
+    back = files.read_features(spark, str(tmp_path / "features"), ("late",))
+    assert sorted(map(tuple, back.collect())) == [(1, 0.25, True, "a"), (2, None, False, None), (3, 1.5, None, "b,c")]
+    (tmp_path / "flags.csv").write_text("vin,ok\n1,t\n2,TRUE\n3,0\n4,1\n")
+    assert [r["ok"] for r in files.read_features(spark, str(tmp_path / "flags.csv"), ("ok",)).orderBy("vin").collect()] == [True, True, False, True]
