@@ -205,6 +205,10 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 SKETCH = 512
 
 
+#: Shingles before one in a prefix that tell whether a pair has met already.
+BEFORE = 16
+
+
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """SKETCH bits as longs, each set if an odd number of shingles fall on it. Sketches of two sets never differ in more bits than the sets differ in shingles."""
     at = (mixed(shingles) & np.uint64(SKETCH - 1)).astype(np.int64)
@@ -236,8 +240,8 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
 
 
-def _similar_links(meetings: DataFrame, texts: DataFrame, k: int, least: float, most: int) -> DataFrame:
-    """Links that join the same classes as all pairs of `least` that share a key of meetings(key, cls, low, n) do.
+def _similar_links(meetings: DataFrame, texts: DataFrame, k: int, least: float, most: int, known: DataFrame | None = None) -> DataFrame:
+    """Links that join the same classes as the links `known` and all pairs of `least` that share a key of meetings(key, cls, low, n) do.
 
     A bucket of up to `most` classes has all its pairs tested. In a larger one each class is tested with the smallest
     first; classes of buckets that these links leave in several components then go through an exact set-similarity
@@ -248,6 +252,7 @@ def _similar_links(meetings: DataFrame, texts: DataFrame, k: int, least: float,
     pairs = few.withColumnRenamed("cls", "a").join(few.withColumnRenamed("cls", "b"), "key").filter("a < b").select("a", "b")
     pairs = stored(pairs.unionByName(many.filter("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b"))).distinct(), "near-pairs")
     links = stored(_alike(pairs, texts, k, least), "near-links")
+    links = links if known is None else links.unionByName(known)
     if not many.limit(1).count():
         return links
     rows = stored(_rooted(many.select("key", "cls"), components(links)), "near-rooted")
@@ -267,7 +272,8 @@ def _unlinked(apart: DataFrame, texts: DataFrame, k: int, least: float) -> DataF
     |y| - 2 * `least` / (1 + `least`) * |y| + 1 of y. Texts of one template just under `least` differ in more of their
     shingles than that, so few of them meet; of those, pairs whose sketches differ in over |x| + |y| - 2 * `least` /
     (1 + `least`) * (|x| + |y|) bits differ in as many shingles at least and go. Shingles of one class alone come first and need no row. Of the classes
-    that share a shingle, those of its most frequent root are not set against each other.
+    that share a shingle, those of its most frequent root are not set against each other. A pair comes out where it
+    shares its first shingle: not where both had another one in common among the BEFORE shingles before this one.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,31 +293,46 @@ def _unlinked(apart: DataFrame, texts: DataFrame, k: int, least: float) -> DataF
     rows = own.select("cls", "root", "size", single.alias("single"), F.posexplode(F.slice("own", F.lit(1), F.greatest(probe - single, F.lit(0)).cast("int"))))
     rows = rows.filter("col.meets").select("cls", "root", "size", (F.col("single") + F.col("pos")).alias("pos"), F.col("col.token").alias("token"))
     rows = rows.withColumn("indexed", F.col("pos") <= F.col("size") - at_least(2 * least / (1 + least) * F.col("size")))
-    rows = stored(rows, "near-prefixes")
+    order = Window.partitionBy("cls").orderBy("pos")
+    rows = stored(rows.withColumn("before", F.collect_list("token").over(order.rowsBetween(-BEFORE, -1))), "near-prefixes")
     main = rows.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token", "main")
     rows = stored(rows.join(main, "token").withColumn("main", F.col("main") == F.col("root")).join(sets.select("cls", "sketch"), "cls"), "near-shared")
-    x = rows.select("token", *(F.col(c).alias(f"x_{c}") for c in ("cls", "root", "size", "pos", "main", "sketch")))
-    y = rows.filter("indexed").select("token", *(F.col(c).alias(f"y_{c}") for c in ("cls", "root", "size", "pos", "main", "sketch")))
+    kept = ("cls", "root", "size", "pos", "main", "sketch", "before")
+    x = rows.select("token", *(F.col(c).alias(f"x_{c}") for c in kept))
+    y = rows.filter("indexed").select("token", *(F.col(c).alias(f"y_{c}") for c in kept))
     met = x.filter("not x_main").join(y, "token").unionByName(x.filter("x_main").join(y.filter("not y_main"), "token"))
     both = F.col("x_size") + F.col("y_size")
     rest = F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos"))  # shared from here on, at most
     differ = sum(F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("y_sketch")[i])) for i in range(SKETCH // 64))
     met = met.filter(differ <= both - 2 * at_least(least / (1 + least) * both))
+    met = met.filter(~F.arrays_overlap("x_before", "y_before"))
     met = met.filter((F.col("x_root") != F.col("y_root")) & (F.col("y_size") <= F.col("x_size")) & (F.col("y_size") >= at_least(least * F.col("x_size"))) & (rest >= at_least(least / (1 + least) * both)))
     return met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
 
 
-def _similar(docs: DataFrame, k: int, least: float, most: int) -> DataFrame:
-    """doc_id, h (hash of its text), component_id and kept of every row, kept: its component's smallest doc_id, and of several texts with that one of them."""
+def _print_links(known: DataFrame, radius: int) -> DataFrame:
+    """known(cls, fp): the links of ball hashing between classes, as u, v: each fingerprint stands for its smallest class, and its other classes link to that."""
+    both = stored(known.select("cls", "fp").distinct(), "near-prints")
+    first = stored(both.groupBy("fp").agg(F.min("cls").alias("first")), "near-classes")
+    same = both.join(first, "fp").filter("cls <> first").select(F.col("first").alias("u"), F.col("cls").alias("v"))
+    side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    met = links(first.select("fp"), radius).join(side("u"), "u").join(side("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    return stored(same.unionByName(met.filter("u <> v")).distinct(), "near-ball-links")
+
+
+def _similar(docs: DataFrame, k: int, least: float, most: int, radius: int | None = None) -> DataFrame:
+    """doc_id, h (hash of its text), component_id and kept of every row, kept: its component's smallest doc_id, and of several texts with that one of them. With `radius`, SimHash links of up to so many bits count too."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            sets = [(xxhash.xxh64_intdigest(s.tobytes()), band_keys(s)) for s in shingle_sets(b["text"].to_pylist(), k)]
+            texts = b["text"].to_pylist()
+            sets = [(xxhash.xxh64_intdigest(s.tobytes()), band_keys(s)) for s in shingle_sets(texts, k)]
             cls = pa.array(np.array([c for c, _ in sets], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], cls, pa.array([keys for _, keys in sets], pa.list_(pa.int64()))], ["doc_id", "h", "cls", "keys"])
+            fps = pa.array(np.array([0 if radius is None else fingerprint(t) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], cls, fps, pa.array([keys for _, keys in sets], pa.list_(pa.int64()))], ["doc_id", "h", "cls", "fp", "keys"])
 
     docs = docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("h"))
-    prints = stored(docs.mapInArrow(each, "doc_id long, h long, cls long, keys array<long>"), "near-sets")
+    prints = stored(docs.mapInArrow(each, "doc_id long, h long, cls long, fp long, keys array<long>"), "near-sets")
     known = prints.filter("doc_id is not null")
     rows = known.select("cls", F.explode("keys").alias("key")).repartition(partitions(docs.sparkSession), "key").dropDuplicates(["key", "cls"])
     bucket = Window.partitionBy("key")
@@ -319,7 +340,8 @@ def _similar(docs: DataFrame, k: int, least: float, most: int) -> DataFrame:
     meetings = stored(meetings, "near-meetings")
     met = known.join(meetings.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("h").alias("h"))
     texts = docs.join(broadcast_if_small(stored(met, "near-met")), "h").groupBy("cls").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    roots = components(_similar_links(meetings, stored(texts, "near-texts"), k, least, most))
+    close = None if radius is None else _print_links(known, radius)
+    roots = components(_similar_links(meetings, stored(texts, "near-texts"), k, least, most, close))
     rows = stored(_rooted(prints.select("doc_id", "h", "cls"), roots), "near-roots")
     best = rows.filter("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "cls")).alias("best"))
     kept = F.col("doc_id").isNull() | (F.struct("doc_id", "cls") == F.col("best"))
@@ -337,7 +359,12 @@ def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, most: int =
     return _similar(docs, k, least, most).select("doc_id", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, most: int = 16) -> DataFrame:
-    """docs with one row of each group of similar_groups: that with its smallest doc_id. Every column stays, and so do rows without a doc_id."""
-    gone = stored(_similar(docs, k, least, most).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct(), "near-copies")
+def drop_near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, most: int = 16, radius: int = 4) -> DataFrame:
+    """docs with one row of each group of near copies: that with its smallest doc_id. Every column stays, and so do rows without a doc_id.
+
+    Near copies are texts whose SimHash fingerprints differ in at most `radius` bits, found by ball hashing as in
+    near_groups and all linked; and, as texts of similarity 0.8 mostly lie further apart than that, those of
+    similar_groups as well. Groups are what links of both kinds reach.
+    """
+    gone = stored(_similar(docs, k, least, most, radius).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct(), "near-copies")
     return docs.join(broadcast_if_small(gone), (F.col("doc_id") == F.col("__gone")) & (text_hash() == F.col("__h")), "left_anti")

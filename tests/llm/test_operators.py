@@ -844,3 +844,34 @@ def test_substring_null_and_repeated_ids(spark):
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"].split()[:2]) for r in substring.remove_repeats(docs(spark, rows)).collect())
     assert [x[:3] for x in got] == [("1", 30, 0), ("2", 31, 30), ("2", 32, 30), ("2", 32, 30), ("None", 30, 0), ("None", 30, 0)]
     assert substring.remove_repeats(docs(spark, {})).count() == 0
+
+
+def test_near_copies_go_by_fingerprints_too(spark):
+    """Texts whose fingerprints differ in at most 4 bits are one group of the near-dedup stage, as in op4, even if their shingle sets are less alike than 0.8."""
+    rows, fps = {0: text(50, 400)}, {0: reference_fingerprint(text(50, 400))}
+    rnd = random.Random(8)
+    while len(rows) < 4:  # a dozen places changed: similarity under 0.8, mostly further than 4 bits apart
+        t = swapped(rows[0], sorted(rnd.sample(range(400), 12)), "x")
+        if 0 < bin(reference_fingerprint(t) ^ fps[0]).count("1") <= 4:
+            rows[len(rows)] = t
+    rows[9] = text(51, 400)
+    assert set(near_brute({0: rows[0], 1: rows[1]}).values()) == {0, 1}
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(docs(spark, rows)).collect()) == [0, 9]
+
+
+def test_set_similarity_join_meets_a_pair_once(spark, monkeypatch):
+    """Pairs come out of the join about once each, not once for each rare shingle that they share; and none is lost, however few shingles before are looked at."""
+    base, rows = text(902, 200), {}
+    for c in range(40):
+        rows[c] = swapped(base, [c % 20 * 10, (c // 2) % 20 * 10 + 3], "u")
+    texts = spark.createDataFrame(list(rows.items()), "cls long, text string").cache()
+    apart = spark.createDataFrame([(c, c) for c in rows], "cls long, root long")
+    want = None
+    for before in (1, 3, 16):
+        monkeypatch.setattr(simhash, "BEFORE", before)
+        got = {(r["a"], r["b"]) for r in simhash._unlinked(apart, texts, 5, 0.8).collect()}
+        assert want is None or got == want
+        want = got
+    sets = {c: set(x.tolist()) for c, x in zip(rows, simhash.shingle_sets(rows.values()), strict=True)}
+    assert {(a, b) for a in rows for b in rows if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} <= want
+    texts.unpersist()
