@@ -14,18 +14,22 @@ from .more import INTAKE_SQL, arriving
 from .queries import normal, query, rounded
 
 BATCHES = 4
+FILE_ROWS = 100_000
 
 
 def in_batches(rows: DataFrame, name: str, order: str = "ts") -> DataFrame:
-    """rows as a stream of BATCHES files, each a stretch of the order."""
+    """rows as a stream of BATCHES batches, each a stretch of the order in files of some FILE_ROWS rows: as many tasks write and read a batch as its size asks for."""
     spark, base = rows.sparkSession, fleet.scratch(rows.sparkSession, name)
     at = F.col(order).cast("double") if order != "ts" else F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
     edges = rows.select(at.alias("x")).agg(F.percentile_approx("x", [i / BATCHES for i in range(1, BATCHES)], F.lit(10_000))).first()[0] or []
     number = sum((F.when(at > e, 1).otherwise(0) for e in edges), F.lit(0))
     held = fleet.stored(rows.withColumn("__batch", number), f"{name}-rows")
+    sizes = {r["__batch"]: r["count"] for r in held.groupBy("__batch").count().collect()}  # a row for each batch
+    files = max(1, min(sizes.get(i, 0) for i in range(BATCHES)) // FILE_ROWS)  # the same number for each, as a trigger takes so many
     for i in range(BATCHES):
-        held.filter(F.col("__batch") == i).drop("__batch").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        own = held.filter(F.col("__batch") == i).drop("__batch")
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
 
 
 def landed(stream: DataFrame, name: str) -> DataFrame:

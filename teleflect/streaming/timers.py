@@ -84,19 +84,23 @@ class HourProcessor(StatefulProcessor):
         return (start + 2 * self.size) // 1000
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """Hours that open and close within one call need no timer: only the one left open gets it, in place of the one found open."""
         open_: Hour | None = pickle.loads(self.state.get()[0]) if self.state.exists() else None
+        found = None if open_ is None else open_.start
         for r in sorted(rows, key=lambda r: (r["us"], r["seq"])):
             start = r["us"] // self.size * self.size
             if open_ is not None and start < open_.start:
                 continue
             if open_ is not None and start > open_.start:
-                self.handle.deleteTimer(self._timer(open_.start))
                 yield self._closed(open_, key[0], r["us"])
                 open_ = None
             if open_ is None:
                 open_ = Hour(start)
-                self.handle.registerTimer(self._timer(start))
             open_.add(r)
+        if open_.start != found:
+            if found is not None:
+                self.handle.deleteTimer(self._timer(found))
+            self.handle.registerTimer(self._timer(open_.start))
         self.state.update((pickle.dumps(open_),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:

@@ -95,3 +95,40 @@ def test_a_tick_fires_once_an_hour(rocks, tmp_path):
             own[1] += 1
             own[2] += r[10]
     assert got == {k: (len(v[0]), v[1], v[2]) for k, v in want.items()} and len(got) > 15
+
+
+def test_one_timer_for_the_hours_of_a_call():
+    """Hours that open and close within one batch register and delete no timer; the one left open has one."""
+    calls, kept = [], {}
+
+    class State:
+        exists = staticmethod(lambda: "x" in kept)
+        get = staticmethod(lambda: kept["x"])
+        update = staticmethod(lambda x: kept.update(x=x))
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema: State)
+        registerTimer = staticmethod(lambda at: calls.append(("register", at)))
+        deleteTimer = staticmethod(lambda at: calls.append(("delete", at)))
+
+    p, hour = timers.HourProcessor(timers.HOUR), timers.HOUR
+    p.init(Handle)
+    row = lambda us: dict.fromkeys(timers.READING) | {"us": us, "seq": us}
+    assert len(list(p.handleInputRows((1,), iter([row(i * hour) for i in range(50)]), None))) == 49
+    assert calls == [("register", 51 * hour // 1000)]
+    assert list(p.handleInputRows((1,), iter([row(49 * hour + 5)]), None)) == [] and len(calls) == 1
+    assert len(list(p.handleInputRows((1,), iter([row(60 * hour)]), None))) == 1
+    assert calls[1:] == [("delete", 51 * hour // 1000), ("register", 62 * hour // 1000)]
+
+
+def test_batches_of_several_files(spark, monkeypatch):
+    """A batch of a stream is as many files as its rows ask for, and a trigger takes those of one batch only."""
+    from teleflect.plans import streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    rows = spark.range(1000).selectExpr("id", "timestamp_seconds(id) AS ts")
+    stream, seen = streams.in_batches(rows, "several"), []
+    base = streams.fleet.scratch(spark, "several-checkpoint")
+    stream.writeStream.foreachBatch(lambda b, n: seen.append((b.rdd.getNumPartitions(), b.agg({"id": "min"}).first()[0], b.agg({"id": "max"}).first()[0]))).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == streams.BATCHES and seen[0][1] == 0 and seen[-1][2] == 999
+    assert all(n > 1 for n, _, _ in seen) and all(a[2] + 1 == b[1] for a, b in zip(seen, seen[1:]))
