@@ -546,3 +546,13 @@ def test_dimension_and_feature_files(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == [(1, 0.25, True, "a"), (2, None, False, None), (3, 1.5, None, "b,c")]
     (tmp_path / "flags.csv").write_text("vin,ok\n1,t\n2,TRUE\n3,0\n4,1\n")
     assert [r["ok"] for r in files.read_features(spark, str(tmp_path / "flags.csv"), ("ok",)).orderBy("vin").collect()] == [True, True, False, True]
+
+
+def test_reconcile_decodes_a_message_once(spark):
+    """The counts read stored rows of judged: no message is parsed in their plan."""
+    from teleflect.plans import queries as fleet_queries
+
+    out = fleet_queries.reconcile_counts(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "json_object_keys" not in plan and "parse_json" not in plan
+    assert out.first()["difference"] == 0
