@@ -207,3 +207,34 @@ def test_a_commit_that_runs_again(spark, tmp_path):
     w.commit([w.write(rows(2))], 1)
     w.abort([w.write(rows(2))], 2)
     assert feed.ends(w.base, ["a"]) == {"a/0": 4, "a/1": 4}
+
+
+def test_feed_segments_have_a_largest_size(tmp_path):
+    """What one task writes to a partition is cut, in order, so a range never passes over more than a segment before its own lines."""
+    from pyspark.sql import Row
+
+    from teleflect.sources import feed
+
+    n = 2 * feed.SEGMENT + 10
+    w = feed.FeedStreamWriter({"path": str(tmp_path / "out")})
+    w.commit([w.write(Row(topic="a", partition=0, key=str(i), headers={}, value=None, ts=None) for i in range(n))], 0)
+    assert [x[1] for x in feed.segments(w.base)["a/0"]] == [feed.SEGMENT, feed.SEGMENT, 10]
+    parts = feed.ranges(w.base, {"a/0": 3}, {"a/0": n}, 7_000, None)
+    assert max(skip for p in parts for _, _, skip, _ in p.parts) < feed.SEGMENT and max(len(p.parts) for p in parts) <= 2
+    assert [int(r[3]) for p in parts for r in feed.records(p)] == list(range(3, n))
+    got = [b for p in parts for b in feed.batches(p, 1_000)]
+    assert max(b.num_rows for b in got) == 1_000 and [x for b in got for x in b.column("offset").to_pylist()] == list(range(3, n))
+
+
+def test_feed_takes_arrow_as_it_takes_rows():
+    import pyarrow as pa
+
+    from teleflect.sources import feed
+
+    rows = [("a", 0, "k", {"x": "1", "y": None}, b"v", T0), ("b", None, None, None, None, None), ("a", 1, "", {}, b"", T0 + dt.timedelta(microseconds=-1)), ("a", 1, "z", {"w": "2"}, b"u", T0)]
+    types = (pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.timestamp("us", "UTC"))
+    batch = pa.RecordBatch.from_arrays([pa.array([list(x.items()) if isinstance(x, dict) else x for x in c], t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(feed.WRITTEN))
+    want = [(*r[:5], feed.micros(r[5])) for r in rows]
+    assert list(feed.rows_of([batch])) == want and list(feed.rows_of([batch.slice(2), batch.slice(1, 1)])) == want[2:] + want[1:2]
+    bare = batch.set_column(5, "ts", batch.column("ts").cast(pa.timestamp("us")))
+    assert [r[5] for r in feed.rows_of([bare])] == [feed.micros(None if r[5] is None else r[5].replace(tzinfo=None)) for r in rows]
