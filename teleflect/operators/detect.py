@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bucket, hours
 from ..params import Detect, Metric
+from ..sources.scratch import stored
 from .folds import ordered_fold
 
 
@@ -183,6 +184,10 @@ class Unit:
         return {"dev": dev, "adj": dev - peers[0], "z": z, "zs": zs, "confirmed": confirmed, "hours_left": left, "runaway": self.toward >= p.runaway_run}
 
 
+#: What a row without a score or an incident shows.
+NONE = dict.fromkeys(("dev", "adj", "z", "zs", "confirmed", "hours_left", "trigger", "bucket", "severity"))
+
+
 class Vehicle:
     """State of one unit: its metrics, codes by hour and family, open incidents, last repair. step() takes a reading, codes or a repair."""
 
@@ -196,24 +201,26 @@ class Vehicle:
 
     def _rate(self, family: str, t: float) -> tuple[int, bool]:
         """Codes of the family in this hour and the 23 before, and whether they are well above what is usual a day."""
-        ring, hour = self.codes.get(family, {}), int(t // 1)
-        for h in [h for h in ring if h < hour - 48]:
-            del ring[h]
-        n = sum(c for h, c in ring.items() if hour - 23 <= h <= hour)
+        ring, n = self.codes.get(family), 0
+        if ring:
+            hour = int(t // 1)
+            for h in [h for h in ring if h < hour - 48]:
+                del ring[h]
+            n = sum(c for h, c in ring.items() if hour - 23 <= h <= hour)
         return n, n >= max(self.p.code_min, self.p.code_factor * self.usual.get(family, 0.0))
 
-    def _row(self, t, family, metric=None, score=None, action=None, incident=None) -> dict:
-        s, i = score or {}, incident or {}
-        return {"metric": metric, "family": family, **{c: s.get(c) for c in ("dev", "adj", "z", "zs", "confirmed", "hours_left")}, "codes24": self._rate(family, t)[0], "action": action, "trigger": i.get("trigger"), "bucket": i.get("bucket"), "severity": i.get("severity")}
+    def _row(self, codes24, family, metric=None, score=None, action=None, incident=None) -> dict:
+        s, i = score or NONE, incident or NONE
+        return {"metric": metric, "family": family, "dev": s["dev"], "adj": s["adj"], "z": s["z"], "zs": s["zs"], "confirmed": s["confirmed"], "hours_left": s["hours_left"], "codes24": codes24, "action": action, "trigger": i["trigger"], "bucket": i["bucket"], "severity": i["severity"]}
 
     def _code_rule(self, family: str, t: float) -> list[dict]:
-        active, now = self._rate(family, t)[1], self.open.get(family)
+        (n, active), now = self._rate(family, t), self.open.get(family)
         if now is None and active:
             self.open[family] = now = {"bucket": int(t // self.p.bucket_h), "trigger": "CODE_RATE", "severity": "WARN", "runaway": False}
-            return [self._row(t, family, action="OPEN", incident=now)]
+            return [self._row(n, family, action="OPEN", incident=now)]
         if now is not None and now["trigger"] == "CODE_RATE" and not active:
             del self.open[family]
-            return [self._row(t, family, action="CLOSE", incident=now)]
+            return [self._row(n, family, action="CLOSE", incident=now)]
         return []
 
     def step(self, t: float, kind: str, name: str, y: float, usual: float | None, normal: tuple, peers: tuple) -> list[dict]:
@@ -237,7 +244,7 @@ class Vehicle:
         score = unit.step(t, y, normal, peers)
         if score is None:
             return out
-        now, active = self.open.get(family), self._rate(family, t)[1]
+        now, (n, active) = self.open.get(family), self._rate(family, t)
         severity = "CRITICAL" if score["runaway"] else "HIGH" if score["z"] >= 2 * self.p.z_level or active else "WARN"
         action, shown = None, now
         if now is None and score["confirmed"]:
@@ -252,7 +259,7 @@ class Vehicle:
         elif now is not None and unit.normal >= self.p.close_after and not active:
             del self.open[family]
             unit.toward, action = 0, "CLOSE"
-        out.append(self._row(t, family, name, score, action, shown))
+        out.append(self._row(n, family, name, score, action, shown))
         return out if shown is None or shown["trigger"] == "SIGNAL" else out + self._code_rule(family, t)
 
 
@@ -300,9 +307,14 @@ def with_peers(readings: DataFrame, registry: DataFrame, p: Detect = Detect()) -
     both = weighted_trends(placed.select("vin", "seq", "ts", "y", "median", "slope_median", *scope), ["vin", "metric"], {"": p.tau_h, "_fast": p.fast_tau_h}).filter(F.col("weight") >= p.min_weight)
     value = F.struct((F.col("mean") - F.col("median")).alias("dev"), F.coalesce(F.col("slope") - F.col("slope_median"), F.lit(0.0)).alias("slope"), F.coalesce("slope_fast", F.lit(0.0)).alias("fast"))
     newest = both.groupBy("vin", *scope).agg(F.max_by(value, "seq").alias("x"))
-    mids = lambda own, n: newest.groupBy(*own).agg(F.count(F.lit(1)).alias("k"), F.struct(*[F.median(f"x.{c}").alias(c) for c in ("dev", "slope", "fast")]).alias(n)).filter(F.col("k") >= p.min_peers).drop("k")
     wider = ["region_id", "metric", "hour"]
-    out = placed.join(mids(scope, "near"), scope, "left").join(mids(wider, "wide"), wider, "left")
+    # both medians in one pass over the trends, dealt first, so that a task meets a place and hour whole; a row for each of
+    # these, however many units, so they are stored
+    whole = F.grouping("duty_type_id").alias("whole")
+    mids = newest.repartition(*wider).groupingSets([[F.col(c) for c in scope], [F.col(c) for c in wider]], *[F.col(c) for c in scope]).agg(F.count(F.lit(1)).alias("k"), F.struct(*[F.median(f"x.{c}").alias(c) for c in ("dev", "slope", "fast")]).alias("mid"), whole)
+    mids = stored(mids.filter(F.col("k") >= p.min_peers), "peers")
+    near, wide = mids.filter("whole = 0").select(*scope, F.col("mid").alias("near")), mids.filter("whole = 1").select(*wider, F.col("mid").alias("wide"))
+    out = placed.join(near, scope, "left").join(wide, wider, "left")
     return out.select(*readings.columns, *[F.coalesce(f"near.{c}", f"wide.{c}").alias(f"peer_{c}") for c in ("dev", "slope", "fast")])
 
 

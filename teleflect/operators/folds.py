@@ -35,8 +35,14 @@ def with_times(rows: DataFrame, schema: str) -> DataFrame:
 
 
 def _values(column: pa.Array) -> list:
-    fast = column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type))
-    return column.to_numpy(zero_copy_only=False).tolist() if fast else column.to_pylist()
+    if not (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    values = column.fill_null(0).to_numpy(zero_copy_only=False).tolist()
+    for i in column.is_null().to_numpy(zero_copy_only=False).nonzero()[0].tolist():
+        values[i] = None
+    return values
 
 
 def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[tuple], object], step: Callable[[object, tuple], list[tuple]], schema: str) -> DataFrame:

@@ -557,3 +557,32 @@ def test_reconcile_decodes_a_message_once(spark):
     decoding = raw.split(fleet_queries.messages(spark, "/root/testdata/sf0.001"))[1]
     assert "__held" in plan(decoding) and "__held" not in plan(out)
     assert out.first()["difference"] == 0
+
+
+def test_peers_trends_are_worked_out_once(spark):
+    """Both medians come from one pass whose result is stored, so no trend is left in the plan of the rows."""
+    from teleflect.params import Detect
+
+    rows = [(v, "level", v * 10 + i, dt.datetime(2024, 1, 1, i), float(i + v), 1.0, 1.0, 0.0, 1.0) for v in range(6) for i in range(4)]
+    df = spark.createDataFrame(rows, "vin long, metric string, seq long, ts timestamp, y double, median double, mad double, slope_median double, slope_mad double")
+    veh = spark.createDataFrame([(v, 1, v % 2) for v in range(6)], "vin long, region_id long, duty_type_id long")
+    out = D.with_peers(df, veh, Detect(min_peers=4, min_weight=1.0))
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.filter("peer_dev is not null").count() > 0
+
+
+def test_composed_queries_read_events_once(spark):
+    """Within one query of many others, messages are parsed and units listed once; outside, nothing is stored."""
+    from teleflect.plans import fleet, queries
+
+    sf, plan = "/root/testdata/sf0.001", lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    alone = fleet.readings(spark, sf)
+    with fleet.shared():
+        held = fleet.readings(spark, sf)
+        assert fleet.readings(spark, sf) is held and fleet.registry(spark, sf) is fleet.registry(spark, sf)
+        assert "get_json_object" in plan(alone) and "get_json_object" not in plan(held)
+        risk = queries.at_risk_last4(spark, sf)
+    assert "get_json_object" in plan(fleet.readings(spark, sf))
+    assert sorted(map(tuple, held.collect()), key=str) == sorted(map(tuple, alone.collect()), key=str)
+    assert sorted(map(tuple, risk.collect()), key=str) == sorted(map(tuple, queries.at_risk_last4(spark, sf).collect()), key=str)
+    assert "get_json_object" not in plan(queries.QUERIES["detect_fold"](spark, sf))
