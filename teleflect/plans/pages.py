@@ -120,6 +120,11 @@ SELECT q.depot_id, q.rank, q.vin, concat_ws('; ', inc.t, cmp.t, 'AT_RISK ' || {s
 FROM q LEFT JOIN inc USING (vin) LEFT JOIN cmp USING (vin) LEFT JOIN ar ON ar.vin = q.vin LEFT JOIN fv ON fv.vin = q.vin LEFT JOIN t24 ON t24.vin = q.vin LEFT JOIN bh ON bh.vin = q.vin LEFT JOIN bf ON bf.vin = q.vin""", roles=False)
 def queue_with_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """Every unit of the queue with its reasons of all nine types: incidents by signal and by codes, campaigns as member or sister, risk, repairs that did not hold, codes, driving, service, bays."""
+    with fleet.shared():
+        return _with_reasons(spark, sf)
+
+
+def _with_reasons(spark: SparkSession, sf: str) -> DataFrame:
     ranked = fleet.stored(queries.filled(spark, sf), "queue").select("depot_id", "rank", "vin", "pinned", "slot", "in_service")
     levels, vehicles = fleet.stored(now(spark, sf), "levels"), fleet.registry(spark, sf)
     confirmed = newest(queries.confirmed(spark, sf), "vin", F.desc("seq")).filter("confirmed").select("vin")
@@ -132,8 +137,8 @@ def queue_with_reasons(spark: SparkSession, sf: str) -> DataFrame:
     inc = listed_(signal.unionByName(by_codes), ["i"], "incidents")
 
     opened = fleet.stored(open_campaigns(spark, sf), "open-campaigns")
-    members = more.member_table(spark, sf).join(opened, ["family_key", "grp"]).select("vin", "family_key", "members").distinct()
-    risk = queries.at_risk_last4(spark, sf).filter("at_risk").select("vin", F.lower("reason").alias("reason"))
+    members = fleet.stored(more.member_table(spark, sf).join(opened, ["family_key", "grp"]).select("vin", "family_key", "members").distinct(), "open-members")
+    risk = fleet.stored(queries.at_risk_last4(spark, sf).filter("at_risk").select("vin", F.lower("reason").alias("reason")), "at-risk")
     key = F.concat_ws("|", F.col("model_id").cast("string"), F.col("duty_type_id").cast("string"))
     sisters = opened.withColumn("cohort", F.substring("family_key", 3, 100)).join(vehicles.select("vin", key.alias("cohort")).join(risk, "vin"), "cohort").join(members.select("vin", "family_key"), ["vin", "family_key"], "left_anti").join(levels.select("vin", "deviation"), "vin", "left")
     group = lambda d, role, o: d.select("vin", F.lit(o).alias("o"), F.col("family_key").alias("k"), F.struct(F.lit(role).alias("role"), F.lit("COOLING").alias("family"), F.col("family_key").alias("place"), F.col("members").cast("long").alias("members"), (F.col("deviation") if "deviation" in d.columns else null("double")).alias("deviation"), F.lit("u").alias("unit")).alias("i"))

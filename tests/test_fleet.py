@@ -586,3 +586,11 @@ def test_composed_queries_read_events_once(spark):
     assert sorted(map(tuple, held.collect()), key=str) == sorted(map(tuple, alone.collect()), key=str)
     assert sorted(map(tuple, risk.collect()), key=str) == sorted(map(tuple, queries.at_risk_last4(spark, sf).collect()), key=str)
     assert "get_json_object" not in plan(queries.QUERIES["detect_fold"](spark, sf))
+
+
+def test_queue_with_reasons_reads_events_once(spark):
+    from teleflect.plans import pages
+
+    out = pages.queue_with_reasons(spark, "/root/testdata/sf0.001")
+    assert "get_json_object" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == out.select("vin").distinct().count() > 0
