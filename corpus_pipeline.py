@@ -6,37 +6,54 @@ A null, blank or letterless text goes in the first stage, as no language can be
 a null or repeated doc_id takes no other row with it; of equal texts the longest original stays, then the smallest
 doc_id, of near copies the row with the smallest doc_id (rows without one all stay). Texts of any length are read whole.
 Columns beyond those of documents are dropped after the first stage, whatever their names. Empty documents, or an empty
-benchmark, give empty results, or leave the documents as they are.
+benchmark, give empty results, or leave the documents as they are. Texts go to Python in small batches (`small_batches`);
+a stage whose last step is in Python stores its result, so that this step runs so as well.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from teleflect.llm import benchmark, exact, language, packing, simhash
-from teleflect.llm.common import stored, table
+from teleflect.llm.common import small_batches, stored, table
 from teleflect.llm.queries import word_bpe
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with small_batches(spark):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the models know; they learn from the labelled documents of this input."""
-    return language.identify(docs, language.fit(docs)).filter("not rejected").select(*COLUMNS)
+    return stored(language.identify(docs, language.fit(docs)).filter("not rejected").select(*COLUMNS), "known-languages")
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_copies(docs).select(*COLUMNS)
 
 
+@in_small_batches
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_copies(docs).select(*COLUMNS)
 
 
+@in_small_batches
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return benchmark.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
+@in_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece: its document, its place there and in its sequence."""
     return packing.pack_documents(docs, word_bpe(), end_id=1, with_ids=False)

@@ -70,3 +70,36 @@ def test_pipeline_tells_null_and_repeated_ids_apart(spark, tmp_path):
     # both texts of id 7, one text of 8 and none of the null one that hold the item; rows that repeat an id and its text all stay (9, 10, null)
     assert ids == sorted([(True, i) for i in range(40)] + [(True, 7), (True, 9), (True, 10), (False, 0), (False, 0), (False, 0)])
     assert all(r["piece"] == 0 and r["start"] == 0 for r in out)
+
+
+def test_stages_give_python_small_batches(spark, tmp_path, monkeypatch):
+    """Texts of 24 MB in one partition, 200 rows: by Spark's own limits one batch, which fills an executor's memory beside its heap."""
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 200, 1, 1).selectExpr("id as doc_id", "repeat('bal dor mik ', 10000) as text", "'aa' as lang", "'s' as source", "120000L as n_chars")
+
+    def sizes(docs, *_):
+        def each(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({c: [1 if c == "doc_id" else b.nbytes if c == "n_chars" else 0 if c == "rejected" else "x"] for c in (*corpus_pipeline.COLUMNS, "rejected")})
+
+        return docs.mapInArrow(each, "doc_id long, text string, lang string, source string, n_chars long, rejected long").withColumn("rejected", corpus_pipeline.language.F.col("rejected") > 0)
+
+    monkeypatch.setattr(corpus_pipeline.language, "fit", lambda docs: None)
+    monkeypatch.setattr(corpus_pipeline.language, "identify", sizes)
+    for module, name in ((corpus_pipeline.simhash, "drop_near_copies"), (corpus_pipeline.benchmark, "drop_contaminated"), (corpus_pipeline.packing, "pack_documents")):
+        monkeypatch.setattr(module, name, lambda docs, *_, **__: corpus_pipeline.stored(sizes(docs), "sizes"))
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "exact-dedup":  # all in the JVM
+            found = [r["n_chars"] for r in stage(spark, docs, "").collect()]
+            assert sum(found) > 20_000_000 and max(found) < 6_000_000, name
+        assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "1m")  # the session's own limit stays
+    try:
+        with corpus_pipeline.small_batches(spark):
+            assert spark.conf.get(key) == "1m"
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
