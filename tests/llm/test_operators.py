@@ -766,6 +766,19 @@ def test_decontamination_is_brute_force(spark):
     assert sorted(repr((r["doc_id"], r["text"])) for r in benchmark.drop_contaminated(docs(spark, rows), df).collect()) == stay
 
 
+def test_items_of_one_template_are_judged_by_their_own_values(spark):
+    """Items that differ in values only: what contradicts itself in one of them fits in another, and the flag is each one's own."""
+    say = "The farmer sells {} apples at the market and the teacher buys {} apples for the school on the same day"
+    values = [(i, i) for i in range(1, 21)] + [(i, i + 1) for i in range(1, 21)]
+    items = [(n, say.format(*v)) for n, v in enumerate(values)]
+    rows = [(1, f"{text(4)} {say.format(3, 4)}."), (2, say.format(7, 7)), (3, f"{say.format(30, 40)} {text(5)}"), (4, say.format(50, 50)), (5, text(6))]
+    got = {(r["doc_id"], r["item_id"]): r for r in benchmark.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {key: r["n_windows"] for key, r in got.items()} == brute_contaminated(rows, items)
+    whole = lambda d: {i for (x, i), r in got.items() if x == d and r["coverage"] == 1}
+    assert whole(1) == whole(3) == set(range(20, 40)) and whole(2) == whole(4) == set(range(20))
+    assert not got[1, 22]["reparameterised"] and got[1, 23]["reparameterised"] and not got[2, 6]["reparameterised"] and got[4, 6]["reparameterised"]
+
+
 # ---- op10
 
 
