@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +53,22 @@ def test_counts_in_a_cut_window(spark):
     us = lambda t: (t - T0) // dt.timedelta(microseconds=1)
     want = {i: sum(e and a == k and j != i and -86_400_000_000 < us(u) - us(t) <= 3_600_000_000 for a, j, u, e in rows) for k, i, t, _ in rows}
     assert got == want
+
+
+def test_counts_in_a_window_without_time_or_kind(spark):
+    """A row without a time is in no window and has none in its own; one of unknown kind has not the event, and counts what is around it."""
+    rows = [("k", 0, T0, True), ("k", 1, T0, None), ("k", 2, None, True), ("k", 3, None, False), ("k", 4, T0 + dt.timedelta(minutes=5), False)]
+    df = spark.createDataFrame(rows, "k string, i long, ts timestamp, e boolean")
+    got = {r["i"]: r["n"] for r in J.counts_in_window(df, ["k"], "ts", F.col("e"), 86_400, 3600, "n").collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}
+
+
+def test_counts_in_a_full_window(spark):
+    """Work grows with the rows, not with rows times those in a window: 400,000 rows of one key at times of their own, within a day."""
+    n = 400_000
+    ts = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 100_000)
+    began = time.time()
+    out = J.counts_in_window(spark.range(n).select("id", F.lit("hot").alias("k"), ts.alias("ts")), ["k"], "ts", F.col("id") % 2 == 0, 86_400, 3600, "n")
+    after = F.least(F.col("id") + 36_000, F.lit(n - 1))  # the last row within an hour
+    want = F.floor(after / 2) + 1 - F.when(F.col("id") % 2 == 0, 1).otherwise(0)
+    assert out.filter(F.col("n") == want).count() == n and time.time() - began < 60
